@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from gaugeworks.llm.shared import slices
 
 MARK = "▁"
-#: Segments up to so many characters are kept, so many of them per Python worker.
-CACHED_CHARS, CACHED = 48, 200_000
+#: Segments up to so many characters are kept: two generations of so many of them per Python worker.
+CACHED_CHARS, CACHED = 48, 350_000
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -50,19 +50,17 @@ class Merger:
         if lib.encode(" a  ") and lib.decode(lib.encode(" a  ")) != " a  ":
             raise ValueError("this model's normaliser changes white space")
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, segment: str) -> list[int]:
-        symbols, scores = list(segment), self.scores
+        symbols, get = list(segment), self.scores.get
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            score = scores.get(symbols[i] + symbols[i + 1])
-            if score is not None:
-                agenda.append((-score, i, symbols[i] + symbols[i + 1]))
+        agenda = [(-score, i, pair) for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if (score := get(pair)) is not None]
         heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, i, joined = heapq.heappop(agenda)
+            _, i, joined = pop(agenda)
             j = after[i]
             if j >= n or not symbols[i] or symbols[i] + symbols[j] != joined:
                 continue  # one of the two has been merged since
@@ -70,18 +68,17 @@ class Merger:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                pair = joined + symbols[k]
-                if (score := scores.get(pair)) is not None:
-                    heapq.heappush(agenda, (-score, i, pair))
-            if (h := before[i]) >= 0:
-                pair = symbols[h] + joined
-                if (score := scores.get(pair)) is not None:
-                    heapq.heappush(agenda, (-score, h, pair))
-        ids = []
+                if (score := get(pair := joined + symbols[k])) is not None:
+                    push(agenda, (-score, i, pair))
+            if (h := before[i]) >= 0 and (score := get(pair := symbols[h] + joined)) is not None:
+                push(agenda, (-score, h, pair))
+        ids, pieces = [], self.pieces
         for s in symbols:
             if s:
-                i = self.pieces.get(s)
-                ids.extend([i] if i is not None else [self.bytes[b] for b in s.encode()])
+                if (i := pieces.get(s)) is not None:
+                    ids.append(i)
+                else:
+                    ids.extend(self.bytes[b] for b in s.encode())
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -113,14 +110,17 @@ class Merger:
 
     def texts(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         parts = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > CACHED:  # what is used again comes back from the older generation
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = {s for p in parts for s in p if s not in known}
+        again = [s for s in new if s in older]
+        known.update((s, older[s]) for s in again)
+        new.difference_update(again)
         got: dict[str, tuple[bytes, str]] = {}
         if new:
             got = self.learn(sorted(new))
-            self.known.update((s, x) for s, x in got.items() if len(s) <= CACHED_CHARS)
+            known.update((s, x) for s, x in got.items() if len(s) <= CACHED_CHARS)
         ids, out = [], []
         for p in parts:
             pairs = [known.get(s) or got[s] for s in p]
