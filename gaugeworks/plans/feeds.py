@@ -66,7 +66,7 @@ def con_fill_days(spark, d):
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1800000000 AS s, CASE WHEN event_type = 'error' THEN NULL ELSE value - 3 END AS wh, CASE WHEN event_id % 30 = 0 THEN 0.5 ELSE event_id % 9 END AS points FROM events),
 c AS (SELECT *, count(*) OVER (PARTITION BY user_id, s) = 1 AND coalesce(wh >= 0, true) AND points = floor(points) AS ok FROM e),
 g AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY s) AS step FROM c WHERE ok)
-SELECT user_id, count(*) AS n_rows, count_if(step <> 1)::BIGINT AS broken_steps, count_if(wh IS NULL)::BIGINT AS missing_energy, round(avg(wh * 2), 6) AS mean_power_w FROM g GROUP BY 1""")
+SELECT user_id, count(*) AS n_rows, count_if(coalesce(step <> 1, false))::BIGINT AS broken_steps, count_if(wh IS NULL)::BIGINT AS missing_energy, round(avg(wh * 2), 6) AS mean_power_w FROM g GROUP BY 1""")
 def con_energy(spark, d):
     e = slotted(table(spark, d, "events"), 1800)
     e = e.withColumn("wh", F.when(F.col("event_type") != "error", F.col("value") - 3)).withColumn("points", F.when(F.col("event_id") % 30 == 0, 0.5).otherwise(F.col("event_id") % 9))
