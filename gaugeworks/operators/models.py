@@ -6,9 +6,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.ranking import global_rank
 from gaugeworks.operators.evaluate import average_precision
 
 
@@ -54,3 +55,38 @@ def select(df: DataFrame, features: list[str], names: list[str], folds: int = 3)
 def platt(scores: DataFrame) -> PipelineModel:
     """Sigmoid calibration of a score column on held-back rows."""
     return Pipeline(stages=[VectorAssembler(inputCols=["score"], outputCol="s"), LogisticRegression(featuresCol="s", labelCol="label", regParam=0.0, probabilityCol="calibrated", rawPredictionCol="raw_c", predictionCol="pred_c")]).fit(scores)
+
+
+def importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float, float | None]]:
+    """(feature, importance, signed value) of a fitted candidate, most important first; forests have no sign."""
+    fitted = model.stages[-1]
+    if hasattr(fitted, "coefficients"):
+        rows = [(f, abs(float(c)), float(c)) for f, c in zip(features, fitted.coefficients.toArray(), strict=True)]
+    else:
+        rows = [(f, float(v), None) for f, v in zip(features, fitted.featureImportances.toArray(), strict=True)]
+    return sorted(rows, key=lambda r: (-r[1], r[0]))
+
+
+def stability(importances: DataFrame, folds: int, first: int = 20) -> DataFrame:
+    """By feature over folds, from rows (fold, feature, importance, signed): how often it is among the first, median rank and
+    its spread, median importance, share of positive signs."""
+    w = Window.partitionBy("fold").orderBy(F.desc("importance"), "feature")  # a fold's features
+    ranked = importances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= first)
+    half = lambda p: F.percentile("rank", F.lit(p))
+    out = ranked.groupBy("feature").agg(
+        F.count_distinct("fold").alias("top_frequency"), half(0.5).alias("median_rank"), (half(0.75) - half(0.25)).alias("rank_iqr"),
+        F.percentile("importance", F.lit(0.5)).alias("median_importance"), F.avg((F.col("signed") > 0).cast("int")).alias("positive_sign_rate"),
+    )
+    return out.withColumn("top_rate", F.col("top_frequency") / folds)
+
+
+def evidence(df: DataFrame, weights: dict[str, float], first: int = 5) -> DataFrame:
+    """Adds suggested: the features with the largest absolute contribution (value times weight) to a row's linear score."""
+    parts = F.array(*[F.struct((-F.abs(F.coalesce(F.col(c), F.lit(0.0)) * w)).alias("size"), F.lit(c).alias("feature")) for c, w in weights.items()])
+    return df.withColumn("suggested", F.transform(F.slice(F.array_sort(parts), 1, first), lambda x: x["feature"]))
+
+
+def priority_table(scored: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    """Adds rank (score descending, then id as text) and prediction."""
+    named = scored.withColumn("_name", F.col(id_col).cast("string"))
+    return global_rank(named, F.desc("score"), F.asc("_name")).drop("_name").withColumn("prediction", (F.col("score") >= threshold).cast("int"))
