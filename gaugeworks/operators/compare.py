@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.ranking import top
@@ -46,3 +46,37 @@ def cohort_gate(original: DataFrame, eligible: DataFrame, held: DataFrame, id_co
     """Whether eligible and held part the original: what is in both, in neither, and not of it."""
     j = original.select(id_col, F.lit(1).alias("o")).join(eligible.select(id_col, F.lit(1).alias("e")), id_col, "full").join(held.select(id_col, F.lit(1).alias("h")), id_col, "full")
     return j.agg(F.count_if(F.col("e").isNotNull() & F.col("h").isNotNull()).alias("in_both"), F.count_if(F.col("o").isNotNull() & F.col("e").isNull() & F.col("h").isNull()).alias("in_neither"), F.count_if(F.col("o").isNull()).alias("foreign"))
+
+
+def score_contract(df: DataFrame, k: int, cutoff: Column) -> DataFrame:
+    """One row: rows, repeated ids, scores outside 0 to 1, labels other than 0, 1 and null, rows after the cutoff, and whether k may be taken."""
+    s = F.col("score")
+    out = df.agg(
+        F.count("*").alias("n_rows"), (F.count("*") - F.count_distinct("id")).alias("repeated_ids"), F.count_if(~F.coalesce(s.between(0, 1), F.lit(False))).alias("bad_scores"),
+        F.count_if(~F.col("label").isin(0, 1)).alias("bad_labels"), F.count_if(F.col("ts") > cutoff).alias("after_cutoff"),
+    )
+    return out.withColumn("accepted", (F.col("repeated_ids") + F.col("bad_scores") + F.col("bad_labels") + F.col("after_cutoff") == 0) & (F.col("n_rows") >= k))
+
+
+def windows_disjoint(df: DataFrame, window: str, id_col: str, ts: str) -> DataFrame:
+    """By window: rows, ids that other windows have too, and whether it begins after all earlier windows end."""
+    shared = df.groupBy(id_col).agg((F.count_distinct(window) > 1).alias("shared"))
+    each = df.join(shared, id_col).groupBy(window).agg(F.count("*").alias("n_rows"), F.count_if("shared").alias("shared_rows"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    before = F.max("last").over(Window.orderBy(window).rowsBetween(Window.unboundedPreceding, -1))  # a row for each window
+    return each.select(window, "n_rows", "shared_rows", F.coalesce(F.col("first") > before, F.lit(True)).alias("later"))
+
+
+def lineage_match(audits: DataFrame, reports: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """By data set: whether audit and report both exist and agree in all fields."""
+    j = audits.select(key, F.struct(*fields).alias("a")).join(reports.select(key, F.struct(*fields).alias("b")), key, "full")
+    state = F.when(F.col("a").isNull(), "no_audit").when(F.col("b").isNull(), "no_report").when(F.col("a").eqNullSafe(F.col("b")), "match").otherwise("differs")
+    return j.select(key, state.alias("state"))
+
+
+def selection_summary(moves: DataFrame) -> DataFrame:
+    """From transitions: selected before and after, known failures among them, and their share (null without known labels)."""
+    n = F.col("n")
+    was, now = F.col("move").isin("newly_removed", "jointly_selected"), F.col("move").isin("newly_selected", "jointly_selected")
+    side = lambda name, at: F.struct(F.lit(name).alias("side"), F.sum(F.when(at, n).otherwise(0)).alias("selected"), F.sum(F.when(at & (F.col("label_class") == "fail"), n).otherwise(0)).alias("fails"), F.sum(F.when(at & (F.col("label_class") != "unknown"), n).otherwise(0)).alias("labelled")).alias(name)
+    out = moves.agg(side("before", was), side("after", now)).select(F.inline(F.array("before", "after")))
+    return out.withColumn("fail_share", F.try_divide("fails", "labelled"))

@@ -91,3 +91,65 @@ def sign_flip(differences: DataFrame, value: str = "d", most: int = 16) -> DataF
 def grouped_counts(df: DataFrame, protocol: str, domain: str) -> DataFrame:
     """Evaluation counts by domain and over all domains of a protocol."""
     return df.groupingSets([[protocol, domain], [protocol]], protocol, domain).agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg("score").alias("mean_score"))
+
+
+def cv_summary(metrics: DataFrame, value: str = "average_precision") -> DataFrame:
+    """By candidate over folds: mean, sample deviation, least, largest."""
+    return metrics.groupBy("candidate", "family").agg(F.count("*").alias("folds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("largest"))
+
+
+def paired_repeats(metrics: DataFrame, reference: str, challenger: str, value: str = "average_precision") -> DataFrame:
+    """One row by repeat: means of the best candidate of either family over its splits, and their difference.
+
+    Best is the highest mean over all folds (ties: the first name). Both must have the same repeats with equally many splits.
+    """
+    means = metrics.where(F.col("family").isin(reference, challenger)).groupBy("family", "candidate").agg(F.avg(value).alias("m"))
+    best = means.groupBy("family").agg(F.min_by("candidate", F.struct(-F.col("m"), "candidate")).alias("candidate"))
+    rows = metrics.join(best, ["family", "candidate"]).groupBy("repeat").pivot("family", [reference, challenger]).agg(F.avg(value).alias("mean"), F.count_distinct("split").alias("splits"))
+    a, b = (F.col(f"{f}_mean") for f in (reference, challenger))
+    uneven = rows.agg(F.count_if(a.isNull() | b.isNull()) > 0, F.count_distinct(f"{reference}_splits") > 1, F.count_if(F.col(f"{reference}_splits") != F.col(f"{challenger}_splits")) > 0).first()
+    if any(uneven):
+        raise ValueError("candidates don't share a complete structure of repeats and splits")
+    return rows.select("repeat", a.alias("reference_mean"), b.alias("challenger_mean"), (b - a).alias("d"))
+
+
+def paired_summary(pairs: DataFrame) -> DataFrame:
+    """One row on paired repeats: means, mean and median difference, repeats won by the challenger."""
+    return pairs.agg(
+        F.count("*").alias("repeats"), F.avg("reference_mean").alias("reference_mean"), F.avg("challenger_mean").alias("challenger_mean"), F.avg("d").alias("mean_difference"),
+        F.percentile("d", F.lit(0.5)).alias("median_difference"), F.count_if(F.col("d") > 0).alias("challenger_wins"),
+    )
+
+
+def stored_check(computed: DataFrame, stored: DataFrame, keys: list[str], values: list[str], relative: float = 1e-9, absolute: float = 1e-12) -> DataFrame:
+    """Rows (keys, field, computed, stored, agrees) for all values of both tables; what one side lacks doesn't agree."""
+    tall = lambda df, name: df.select(*keys, F.inline(F.array(*[F.struct(F.lit(v).alias("field"), F.col(v).cast("double").alias(name)) for v in values])))
+    j = tall(computed, "computed").join(tall(stored, "stored"), [*keys, "field"], "full")
+    a, b = F.col("computed"), F.col("stored")
+    close = F.abs(a - b) <= F.greatest(F.greatest(F.abs(a), F.abs(b)) * relative, F.lit(absolute))
+    return j.withColumn("agrees", F.coalesce(close, a.isNull() & b.isNull()))
+
+
+def budget_view(ranked: DataFrame, budgets: list[int]) -> DataFrame:
+    """Captures within budgets of a saved ranked list (rank, score, label), and whether its scores follow its ranks there."""
+    most = max(budgets)
+    short = ranked.where(F.col("rank") <= most).withColumn("rises", F.col("score") > F.lag("score").over(Window.orderBy("rank")))  # at most the largest budget
+    out = short.agg(*[F.struct(F.lit(b).cast("long").alias("budget"), F.count_if(F.col("rank") <= b).alias("listed"), F.coalesce(F.sum(F.when(F.col("rank") <= b, F.col("label"))), F.lit(0)).alias("captured"), F.count_if((F.col("rank") <= b) & F.col("rises")).alias("out_of_order")).alias(f"b{b}") for b in budgets])
+    return out.select(F.inline(F.array(*[f"b{b}" for b in budgets])))
+
+
+def contrasts(summary: DataFrame, family: str, mode: str, value: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """By family and pair of modes: the first mode's value less the second's."""
+    wide = summary.groupBy(family).pivot(mode, sorted({m for p in pairs for m in p})).agg(F.first(value))
+    return wide.select(family, F.inline(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), (F.col(a) - F.col(b)).alias("difference")) for a, b in pairs])))
+
+
+def capture_interval(draws: DataFrame, scored: DataFrame, fractions: list[float], confidence: float = 0.95) -> DataFrame:
+    """Percentile interval of capture by fraction over replicates (rows rep, i, id of bootstrap draws). Replicates without a positive are left out."""
+    rows = draws.join(scored.select("id", "score", "label", F.col("id").cast("string").alias("_name")), "id")
+    w, whole = Window.partitionBy("rep").orderBy(F.desc("score"), "_name", "i"), Window.partitionBy("rep")  # a replicate is bounded by the draws' own limit
+    rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("n", F.count("*").over(whole))
+    caught = rows.groupBy("rep").agg(F.sum("label").alias("total"), *[F.sum(F.when(F.col("rank") <= F.ceil(F.col("n") * F.lit(float(f))), F.col("label")).otherwise(0)).alias(f"c{i}") for i, f in enumerate(fractions)]).where("total > 0")
+    tail = (1 - confidence) / 2
+    parts = [F.struct(F.lit(f).alias("fraction"), F.count("*").alias("replicates"), F.avg(F.col(f"c{i}") / F.col("total")).alias("mean"), F.percentile(F.col(f"c{i}") / F.col("total"), F.lit(tail)).alias("low"), F.percentile(F.col(f"c{i}") / F.col("total"), F.lit(1 - tail)).alias("high")).alias(f"f{i}") for i, f in enumerate(fractions)]
+    return caught.agg(*parts).select(F.inline(F.array(*[f"f{i}" for i in range(len(fractions))])))

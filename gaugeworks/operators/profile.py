@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.evaluate import psi
+
 
 def audit(df: DataFrame, features: list[str], label: str, ts: str) -> DataFrame:
     """One row on a table: sizes, failures, times, missing cells, features mostly missing or without information."""
@@ -67,3 +69,45 @@ def both_ways(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct keys in both, in left alone, in right alone."""
     a, b = left.select(*keys, F.lit(1).alias("l")).distinct(), right.select(*keys, F.lit(1).alias("r")).distinct()
     return a.join(b, keys, "full").agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("matched"), F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNull()).alias("right_only"))
+
+
+def log_audit(df: DataFrame, key: str, order: list[str], ts: str, value: str, counter: str, gap: float = 5.0) -> DataFrame:
+    """By series of a machine's log: records, those without a value, gaps longer than gap seconds, falls of the counter, median, least and largest interval in microseconds."""
+    w = Window.partitionBy(key).orderBy(*order)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.select(key, F.col(value).isNull().alias("gone"), (us - F.lag(us).over(w)).alias("step"), (F.col(counter) < F.lag(counter).over(w)).alias("fall"))
+    return rows.groupBy(key).agg(
+        F.count("*").alias("records"), F.count_if("gone").alias("without_value"), F.count_if(F.col("step") > gap * 1_000_000).alias("gaps"), F.count_if("fall").alias("counter_falls"), F.count_if(F.col("step") == 0).alias("repeats"),
+        F.percentile("step", F.lit(0.5)).alias("median_step_us"), F.min("step").alias("least_step_us"), F.max("step").alias("largest_step_us"),
+    )
+
+
+def key_audit(df: DataFrame, key: str, coordinates: list[str]) -> DataFrame:
+    """By number of rows of a key: keys with that number, and rows that repeat a coordinate within them. Rows without a key have the number 0."""
+    at = df.where(F.col(key).isNotNull()).groupBy(key, *coordinates).agg(F.count("*").alias("n"))
+    keyed = at.groupBy(key).agg(F.sum("n").alias("rows_of_key"), F.sum(F.col("n") - 1).alias("again"))
+    out = keyed.groupBy("rows_of_key").agg(F.count("*").alias("keys"), F.sum("again").alias("repeated_coordinates"))
+    blank = df.where(F.col(key).isNull()).agg(F.lit(0).cast("long").alias("rows_of_key"), F.count("*").alias("keys"), F.lit(0).cast("long").alias("repeated_coordinates")).where("keys > 0")
+    return out.union(blank)
+
+
+def lots(df: DataFrame, index: str, state: str, size: int = 4) -> DataFrame:
+    """By lot of `size` consecutive pieces: inserted, completed, bad, missing."""
+    lot = F.floor(F.col(index) / size).alias("lot")
+    return df.groupBy(lot).agg(F.count("*").alias("inserted"), F.count_if(F.col(state) == "completed").alias("completed"), F.count_if(F.col(state) == "bad").alias("bad"), F.count_if(F.col(state).isNull()).alias("missing"))
+
+
+def manifest_match(df: DataFrame, manifest: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row: rows of a frozen manifest found, absent, changed, and rows it doesn't know."""
+    j = df.select(key, F.struct(*fields).alias("a")).join(manifest.select(key, F.struct(*fields).alias("b")), key, "full")
+    a, b = F.col("a"), F.col("b")
+    return j.agg(F.count_if(a.eqNullSafe(b)).alias("found"), F.count_if(a.isNull()).alias("absent"), F.count_if(a.isNotNull() & b.isNotNull() & ~a.eqNullSafe(b)).alias("changed"), F.count_if(b.isNull()).alias("unknown"))
+
+
+def drift(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+    """By feature: missing share in either table, its change, and population stability."""
+    tall = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])))
+    r, c = tall(reference), tall(current)
+    gone = lambda df, n: df.groupBy("feature").agg(F.avg(F.col("x").isNull().cast("int")).alias(n))
+    out = gone(r, "reference_missing").join(gone(c, "current_missing"), "feature").join(psi(r, c, "x", "feature"), "feature")
+    return out.withColumn("missing_change", F.col("current_missing") - F.col("reference_missing"))

@@ -104,3 +104,42 @@ def against_range(df: DataFrame, ranges: DataFrame, key: str, value: str) -> Dat
     v, out = F.col(value), df.join(ranges, key, "left")
     state = F.when(F.col("low").isNull(), "waiting").when(v.isNull(), "missing").when(v.between(F.col("low"), F.col("high")), "within").otherwise("outside")
     return out.withColumn("state", state).withColumn("distance", F.round(F.greatest(F.col("low") - v, v - F.col("high"), F.lit(0.0)), 2))
+
+
+def lag_one(windows: DataFrame, key: str) -> DataFrame:
+    """By series: correlation of neighbouring evaluable windows."""
+    w = Window.partitionBy(key).orderBy("k")
+    pairs = windows.where(F.col("value").isNotNull()).select(key, "value", F.lag("value").over(w).alias("last")).where("last is not null")
+    return pairs.groupBy(key).agg(F.count("*").alias("pairs"), F.corr("value", "last").alias("autocorrelation"))
+
+
+def mask_fingerprint(windows: DataFrame, key: str) -> DataFrame:
+    """By series: runs of evaluable and other windows, and a digest of the run lengths (`1x5,0x2,..`)."""
+    w = Window.partitionBy(key).orderBy("k")
+    bit = F.col("value").isNotNull().cast("int")
+    rows = windows.select(key, "k", bit.alias("bit"), (~bit.eqNullSafe(F.lag(bit).over(w))).cast("int").alias("turn"))
+    rows = rows.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(key, "run").agg(F.first("bit").alias("bit"), F.count("*").alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "bit", "n"))), lambda r: F.concat(r["bit"], F.lit("x"), r["n"])), ",")
+    return runs.groupBy(key).agg(F.count("*").alias("runs"), F.sha2(text, 256).alias("mask_sha256"))
+
+
+def exclusions(windows: DataFrame, key: str) -> DataFrame:
+    """By series: complete windows, evaluable ones, share left out, and how often each reason left one out."""
+    has = lambda r: F.count_if(F.array_contains("reasons", r)).alias(r)
+    out = windows.groupBy(key).agg(F.count("*").alias("complete"), F.count("value").alias("evaluable"), *map(has, ("timestamp_gap", "insufficient_samples", "nonfinite_value")))
+    return out.withColumn("excluded_share", 1 - F.col("evaluable") / F.col("complete"))
+
+
+def roll_up(alarms: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """One row over all series: sums, and series whose figures contradict each other (episodes <= alarms <= evaluable <= complete)."""
+    j = exclusions(windows, key).select(key, "complete").join(alarms, key, "left")
+    ordered = (F.col("episodes") <= F.col("alarms")) & (F.col("alarms") <= F.col("evaluable")) & (F.col("evaluable") <= F.col("complete"))
+    return j.agg(F.count("*").alias("series"), F.sum("complete").alias("complete"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("evaluable", "alarms", "episodes")], F.count_if(~ordered).alias("contradictions"))
+
+
+def evidence_complete(evidence: DataFrame, run: str, categories: list[str]) -> DataFrame:
+    """By run: categories of evidence that are absent or rest on a p-value alone, and whether all are there."""
+    good = evidence.groupBy(run).agg(F.collect_set(F.when(F.col("provided") & (F.col("kind") != "p_value_only"), F.col("category"))).alias("have"))
+    lacking = F.array_sort(F.array_except(F.array(*[F.lit(c) for c in categories]), "have"))
+    return good.select(run, lacking.alias("lacking"), (F.size(lacking) == 0).alias("complete"))
