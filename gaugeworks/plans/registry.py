@@ -462,8 +462,9 @@ def rev_receipts(spark, d):
 
 
 @query("""WITH r AS (SELECT event_id AS seq, user_id, ts, value, 0 AS again FROM events UNION ALL SELECT event_id + 1000000000, user_id, ts, value, 1 FROM events WHERE event_id % 50 = 0),
-c AS (SELECT *, epoch_us(ts) + CASE WHEN seq % 31 = 0 THEN 900000000 WHEN seq % 37 = 0 THEN -60000000 ELSE 1000000 END AS o, row_number() OVER (PARTITION BY user_id, ts ORDER BY seq) AS k FROM r)
-SELECT coalesce(CASE WHEN k > 1 THEN 'duplicate' WHEN o - epoch_us(ts) < -5000000 THEN 'future' WHEN o - epoch_us(ts) > 300000000 THEN 'late' END, 'accepted') AS reason, count(*) AS n FROM c GROUP BY 1""")
+c AS (SELECT *, epoch_us(ts) + CASE WHEN seq % 31 = 0 THEN 900000000 WHEN seq % 37 = 0 THEN -60000000 ELSE 1000000 END AS o FROM r),
+d AS (SELECT *, coalesce(bool_or(o - epoch_us(ts) BETWEEN -5000000 AND 300000000) OVER (PARTITION BY user_id, ts ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS known FROM c)
+SELECT coalesce(CASE WHEN known THEN 'duplicate' WHEN o - epoch_us(ts) < -5000000 THEN 'future' WHEN o - epoch_us(ts) > 300000000 THEN 'late' END, 'accepted') AS reason, count(*) AS n FROM d GROUP BY 1""")
 def str_readings(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "value")
     e = e.union(e.where("seq % 50 = 0").withColumn("seq", F.col("seq") + 1_000_000_000))

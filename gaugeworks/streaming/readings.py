@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gaugeworks.operators.contracts import finite
+from gaugeworks.operators.evaluate import psi
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -21,51 +25,70 @@ class Limits:
     keep: float = 86_400
 
 
-def reasons(limits: Limits = Limits()):
-    """Reason of a row's own (asset, ts, value, observed_at), in the order of checks; duplicates come after the contract."""
-    lag = (F.unix_micros("observed_at") - F.unix_micros("ts")) / 1e6
-    return (
-        F.when(F.col("asset").isNull() | F.col("ts").isNull(), "contract").when(F.col("value").isNotNull() & (F.isnan("value") | (F.abs("value") == float("inf"))), "contract")
-        .when(F.col("repeat") > 1, "duplicate").when(lag < -limits.ahead, "future").when(lag > limits.late, "late")
-    )
+def contract_broken():
+    """Whether a row has no asset or no time, or a value that is not finite; a null value is a missing measurement."""
+    return F.col("asset").isNull() | F.col("ts").isNull() | F.col("observed_at").isNull() | F.coalesce(F.isnan("value") | (F.abs("value") == float("inf")), F.lit(False))
 
 
 def batch(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The batch twin: all rows with a reason (null: accepted). Rows: asset, ts, value, observed_at, seq."""
-    w = Window.partitionBy("asset", "ts").orderBy("seq")
-    return df.withColumn("repeat", F.row_number().over(w)).withColumn("reason", reasons(limits)).drop("repeat")
+    """The batch twin: all rows with a reason (null: accepted). Rows: asset, ts, value, observed_at, seq.
+
+    Checks come in the order contract, duplicate, future, late. A reading is a duplicate if an earlier one of its asset and
+    time was accepted within the retention; dead rows count for nothing, so the first row that passes the other checks is accepted.
+    """
+    observed = F.unix_micros("observed_at")
+    lag = (observed - F.unix_micros("ts")) / 1e6
+    fine = ~contract_broken() & lag.between(-limits.ahead, limits.late)
+    before = Window.partitionBy("asset", "ts").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.when(fine, F.struct("seq", observed.alias("observed")))).over(before)
+    reason = F.when(contract_broken(), "contract").when(observed - first["observed"] <= limits.keep * 1e6, "duplicate").when(lag < -limits.ahead, "future").when(lag > limits.late, "late")
+    return df.withColumn("reason", reason)
 
 
 STATE = "seen array<long>, seen_at array<long>, last long, alerted boolean"
 OUT = "asset string, ts long, value double, seq long, reason string"
 
 
-def stateful(stream: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def stateful(stream: DataFrame, limits: Limits = Limits(), timer: bool = False) -> DataFrame:
     """Rows (asset, ts in microseconds, value, seq, reason): accepted rows have none, dead ones theirs, alerts `disconnect`.
 
     State by asset: times seen within the retention, the last accepted time, whether an alert is out. A dead row leaves
-    no trace in it."""
+    no trace in it. A gap between accepted readings is told when the reading after it comes; an asset that stays silent
+    is told by a timer, once, until a reading is accepted again. The timer keeps a query running, so it is for continuous
+    queries and not for those that end with the data at hand."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen_list, at_list, last, alerted = state.get if state.exists else ([], [], None, False)
-        seen = dict(zip(seen_list, at_list, strict=True))
+        seen, columns = dict(zip(seen_list, at_list, strict=True)), ["asset", "ts", "value", "seq", "reason"]
+        if state.hasTimedOut:
+            if last is not None and not alerted:
+                yield pd.DataFrame([(key[0], last, None, None, "disconnect")], columns=columns)
+            state.update((seen_list, at_list, last, True))
+            return
         for rows in frames:
             out = []
-            for ts, value, observed, seq in rows.sort_values("seq")[["ts", "value", "observed", "seq"]].itertuples(index=False):
-                seen = {t: o for t, o in seen.items() if observed - o <= limits.keep * 1e6} if len(seen) > 10_000 else seen
-                known = ts in seen and observed - seen[ts] <= limits.keep * 1e6
+            for ts, value, observed, seq, broken in rows.sort_values("seq")[["ts", "value", "observed", "seq", "broken"]].itertuples(index=False):
+                if broken:
+                    out.append((key[0], None if pd.isna(ts) else int(ts), value, seq, "contract"))
+                    continue
+                ts, observed = int(ts), int(observed)
                 lag = (observed - ts) / 1e6
+                known = ts in seen and observed - seen[ts] <= limits.keep * 1e6
                 reason = "duplicate" if known else "future" if lag < -limits.ahead else "late" if lag > limits.late else None
                 if reason is None:
                     if last is not None and ts - last > limits.silent * 1e6 and not alerted:
                         out.append((key[0], last, None, seq, "disconnect"))
                     seen[ts], last, alerted = observed, ts, False
                 out.append((key[0], ts, value, seq, reason))
-            yield pd.DataFrame(out, columns=["asset", "ts", "value", "seq", "reason"])
+            newest = max(seen.values(), default=0)
+            seen = {t: o for t, o in seen.items() if newest - o <= limits.keep * 1e6}  # once a frame, so state keeps within the retention
+            yield pd.DataFrame(out, columns=columns)
         state.update((list(seen), list(seen.values()), last, alerted))
+        if timer:
+            state.setTimeoutDuration(int(limits.silent * 1000))
 
-    rows = stream.select("asset", F.unix_micros("ts").alias("ts"), "value", F.unix_micros("observed_at").alias("observed"), "seq")
-    return rows.groupBy("asset").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("asset", F.unix_micros("ts").alias("ts"), "value", F.unix_micros("observed_at").alias("observed"), "seq", contract_broken().alias("broken"))
+    return rows.groupBy("asset").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout)
 
 
 def write_batches(out: DataFrame, folder: str, checkpoint: str):
@@ -78,3 +101,28 @@ def write_batches(out: DataFrame, folder: str, checkpoint: str):
         df.unpersist()
 
     return out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def batch_counts(checked: DataFrame) -> DataFrame:
+    """One row on checked readings: input, accepted, dead letters."""
+    return checked.agg(F.count("*").alias("input_count"), F.count_if(F.col("reason").isNull()).alias("accepted_count"), F.count("reason").alias("dead_letter_count"))
+
+
+def drift_alerts(reference: DataFrame, accepted: DataFrame, measurement: str, value: str, threshold: float = 0.2, bins: int = 10, least: int = 5) -> DataFrame:
+    """By measurement of the reference: population stability of a batch's accepted readings and the alert it calls for.
+
+    Finite values only. Fewer than `least` on either side: no score and `drift_evidence_insufficient`. A constant reference
+    scores 0 if all readings equal it, else ln(1e6). From the threshold on: `distribution_drift`.
+    """
+    tidy = lambda df: df.select(F.col(measurement).alias("m"), F.col(value).cast("double").alias("x"))
+    good = lambda df: df.where(finite(F.col("x")))
+    names, ref, cur = tidy(reference).select("m").distinct(), good(tidy(reference)), good(tidy(accepted))
+    r = ref.groupBy("m").agg(F.count("*").alias("rn"), F.min("x").alias("low"), F.max("x").alias("high"))
+    near = ref.groupBy("m").agg(F.min("x").alias("level"))
+    c = cur.join(near, "m").groupBy("m").agg(F.count("*").alias("cn"), F.max(F.abs(F.col("x") - F.col("level")) - (1e-8 + 1e-5 * F.abs("level"))).alias("off"))
+    scores = psi(ref, cur, "x", "m", bins).withColumnRenamed("psi", "varying")
+    j = names.join(r, "m", "left").join(c, "m", "left").join(scores, "m", "left")
+    enough = (F.coalesce("rn", F.lit(0)) >= least) & (F.coalesce("cn", F.lit(0)) >= least)
+    score = F.when(enough, F.when(F.col("low") == F.col("high"), F.when(F.col("off") <= 0, 0.0).otherwise(math.log(1_000_000))).otherwise(F.col("varying")))
+    alert = F.when(score.isNull(), "drift_evidence_insufficient").when(score >= threshold, "distribution_drift")
+    return j.select(F.col("m").alias(measurement), F.coalesce("cn", F.lit(0)).alias("current_samples"), score.alias("psi"), alert.alias("alert"))
