@@ -65,7 +65,7 @@ def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def psi(reference: DataFrame, current: DataFrame, value: str, by: str | None = None, bins: int = 10) -> DataFrame:
-    """Population stability by group: bins from the reference's quantiles, one more for missing values, shares of at least 1e-6."""
+    """Population stability by group: bins from the reference's quantiles, one more for missing values, shares of at least 1e-6; null where a group has no rows on one side."""
     by = by or "_all"
     ref, cur = ((d if by in d.columns else d.withColumn(by, F.lit(1))).select(by, F.col(value).alias("x")) for d in (reference, current))
     edges = ref.groupBy(by).agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
@@ -74,7 +74,8 @@ def psi(reference: DataFrame, current: DataFrame, value: str, by: str | None = N
     both = ref.withColumn("w", F.lit(0)).unionByName(cur.withColumn("w", F.lit(1))).join(edges, by).withColumn("bin", place)
     counts = both.groupBy(by, "bin").agg(F.count_if(F.col("w") == 0).alias("r"), F.count_if(F.col("w") == 1).alias("c"))
     sums = counts.groupBy(by).agg(F.sum("r").alias("rn"), F.sum("c").alias("cn"))
-    r, c = F.greatest(F.col("r") / F.col("rn"), F.lit(1e-6)), F.greatest(F.col("c") / F.col("cn"), F.lit(1e-6))
+    share = lambda n, of: F.when(F.col(of) > 0, F.greatest(F.try_divide(n, of), F.lit(1e-6)))
+    r, c = share("r", "rn"), share("c", "cn")
     return counts.join(sums, by).groupBy(by).agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
 
 

@@ -473,6 +473,20 @@ def str_readings(spark, d):
     return readings.batch(e).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH r AS (SELECT event_type, value AS x FROM events WHERE event_id % 2 = 0), c AS (SELECT event_type, value + 20 AS x FROM events WHERE event_id % 2 = 1 AND event_type <> 'view'),
+e AS (SELECT event_type, list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM r GROUP BY 1),
+i AS (SELECT event_type, list_sort(edges)[2:len(edges) - 1] AS inner_edges FROM e),
+b AS (SELECT event_type, len(list_filter(inner_edges, lambda z: z <= x)) AS bin, w FROM (SELECT *, 0 AS w FROM r UNION ALL SELECT *, 1 FROM c) JOIN i USING (event_type)),
+n AS (SELECT event_type, bin, count_if(w = 0) AS rn, count_if(w = 1) AS cn FROM b GROUP BY ALL),
+s AS (SELECT event_type, cn, greatest(rn / sum(rn) OVER (PARTITION BY event_type), 1e-6) AS rs, greatest(cn / sum(cn) OVER (PARTITION BY event_type), 1e-6) AS cs FROM n),
+p AS (SELECT event_type, sum(cn)::BIGINT AS k, sum((cs - rs) * ln(cs / rs)) AS v FROM s GROUP BY 1)
+SELECT event_type, k AS current_samples, CASE WHEN k >= 5 THEN round(v, 6) END AS psi, CASE WHEN k < 5 THEN 'drift_evidence_insufficient' WHEN v >= 0.2 THEN 'distribution_drift' END AS alert FROM p""")
+def str_drift(spark, d):
+    e = table(spark, d, "events")
+    current = e.where("event_id % 2 = 1 and event_type <> 'view'").withColumn("value", F.col("value") + 20)
+    return rounded(readings.drift_alerts(e.where("event_id % 2 = 0"), current, "event_type", "value"))
+
+
 @query("SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k_sum, count(*) AS n FROM events GROUP BY 1")
 def src_json_props(spark, d):
     e = table(spark, d, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"))
