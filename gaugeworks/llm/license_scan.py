@@ -1,8 +1,8 @@
 """Operator 2 [native]: licence scans by canonical digest.
 
-A text is normalised (case, equivalent spellings, copyright lines, punctuation, white space), and the SHA-256 of the
-whole normalised text is joined to the digests of known licences. The same lookup is made for each line that speaks
-of a licence, which finds short notices inside longer texts.
+A text is normalised (case, equivalent spellings, copyright lines, punctuation, white space), and the SHA-256 of
+the whole normalised text is joined to the digests of known licences. The same lookup is made for every line, which
+finds short notices inside longer texts. The SQL knows the six entries of KNOWN, and the lines that it looks up.
 
 Nulls and empty texts have the digest of the empty string and match nothing; repeated rows give repeated rows, an
 empty table an empty result. A licence that is listed twice under one digest counts under its smallest name.
@@ -11,6 +11,7 @@ empty table an empty result. A licence that is listed twice under one digest cou
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,16 @@ KNOWN = {
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
-#: The list of licences is sent to every executor; a longer one is refused.
-MOST_KNOWN = 10_000
+#: More texts and notices: whole texts by SPDX name, names by which notices call a licence, and SPDX identifiers.
+LISTED = json.loads((Path(__file__).parent / "licenses.json").read_text(encoding="utf-8"))
+NOTICE = [
+    f"{a} {b}" for b in ("", "the ", "a ")
+    for a in ("Licensed under", "Released under", "Distributed under", "Available under", "Published under", "Made available under", "This work is licensed under", "This software is licensed under",
+              "This project is licensed under", "This file is licensed under", "This program is licensed under", "This document is licensed under", "This text is licensed under", "This code is licensed under",
+              "This work is released under", "This software is released under", "This project is released under", "This software is distributed under", "License:", "Content licensed under")
+]
+PUBLIC_DOMAIN = ["This work is in the public domain.", "This file is in the public domain.", "This code is in the public domain.", "This software is in the public domain.", "Released into the public domain.", "Placed in the public domain.", "Dedicated to the public domain.", "Public domain."]
+
 COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 
@@ -50,26 +59,30 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def listed() -> list[tuple[str, str]]:
+    """(name, text) of all that is known: whole texts, and notices under a name that ends in -notice."""
+    rows = [*KNOWN.items(), *map(tuple, LISTED["texts"])]
+    rows += [(f"{k}-notice", a + n) for k, names in LISTED["names"].items() for n in names for a in NOTICE if k.startswith("CC") or not a.endswith(" a ")]
+    rows += [(f"{k}-notice", f"SPDX-License-Identifier: {k}") for k in LISTED["spdx_ids"]]
+    return rows + [("public-domain-notice", x) for x in PUBLIC_DOMAIN]
+
+
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    rows = list((KNOWN if texts is None else texts).items())
-    if len(rows) > MOST_KNOWN:
-        raise ValueError(f"{len(rows)} licences; at most {MOST_KNOWN} are sent to the executors")
+    rows = listed() if texts is None else list(texts.items())
     known = spark.createDataFrame(rows, "license_id string, text string")
     return known.select(digest(F.col("text")).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, canonical_sha256, license_id, notice_ids): notice_ids are the distinct names that lines match, by name, comma-joined."""
-    listed = {r["known_digest"]: r["license_id"] for r in known.limit(MOST_KNOWN + 1).collect()}  # known_licenses() holds its number down
-    if len(listed) > MOST_KNOWN:
-        raise ValueError(f"at most {MOST_KNOWN} licences are sent to the executors")
-    names = F.from_json(F.lit(json.dumps(listed)), "map<string,string>")
-    docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains("licen"))
-    docs = docs.select(id_col, digest(F.col("text")).alias("canonical_sha256"), F.transform(F.coalesce(lines, F.array().cast("array<string>")), digest).alias("lines"))
-    found = F.array_compact(F.transform("lines", lambda x: F.try_element_at(names, x)))
-    return docs.join(F.broadcast(known), F.col("canonical_sha256") == F.col("known_digest"), "left").select(
-        id_col, "canonical_sha256", "license_id", F.concat_ws(",", F.array_sort(F.array_distinct(found))).alias("notice_ids")
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_text_md5"), text.alias("_text"))  # rows of one id and text have the same notices
+    lines = docs.select("_id", "_text_md5", F.explode(F.split("_text", "\n")).alias("_line")).where(F.col("_line") != "").select("_id", "_text_md5", digest(F.col("_line")).alias("_digest"))
+    named = F.broadcast(known.select(F.col("known_digest").alias("_digest"), F.col("license_id").alias("_name")))
+    notices = lines.join(named, "_digest").groupBy("_id", "_text_md5").agg(F.array_join(F.array_sort(F.collect_set("_name")), ",").alias("_names")).alias("n")
+    whole = docs.select("_id", "_text_md5", digest(F.col("_text")).alias("_digest")).join(named, "_digest", "left").alias("w")
+    return whole.join(notices, F.col("w._id").eqNullSafe(F.col("n._id")) & (F.col("w._text_md5") == F.col("n._text_md5")), "left").select(
+        F.col("w._id").alias(id_col), F.col("_digest").alias("canonical_sha256"), F.col("_name").alias("license_id"), F.coalesce("_names", F.lit("")).alias("notice_ids")
     )
 
 

@@ -65,6 +65,21 @@ def test_license_scan(spark):
     assert got[1]["license_id"] == "MIT" and got[2]["notice_ids"] == "MIT-notice" and got[3]["license_id"] is None and len(got) == 4
 
 
+def test_license_scan_knows_whole_texts_and_all_lines(spark):
+    names = {k for k, _ in license_scan.listed()}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"} <= names
+    rows = [(k, t.replace("licence", "license")) for k, t in license_scan.LISTED["texts"]]
+    lines = ["x\nLicensed under CC BY-NC 4.0.\ny", "// SPDX-License-Identifier: Apache-2.0\nx", "x\nThis work is in the public domain.", "x\nDistributed under CC0\nReleased under the MIT License.", "the licence of Apache"]
+    df = spark.createDataFrame([*rows, *((str(i), x) for i, x in enumerate(lines)), ("0", lines[0]), ("0", "x"), (None, lines[0])], "doc_id string, text string")
+    got = license_scan.license_scan(df, license_scan.known_licenses(spark)).collect()
+    found = sorted((r["doc_id"] or "", r["notice_ids"]) for r in got if r["license_id"] is None)
+    assert len(got) == df.count() and sorted(r["doc_id"] for r in got if r["license_id"]) == sorted(k for k, _ in rows) and all(r["license_id"] in (None, r["doc_id"]) for r in got)
+    nc = "CC-BY-NC-4.0-notice"
+    assert found == [("", nc), ("0", ""), ("0", nc), ("0", nc), ("1", "Apache-2.0-notice"), ("2", "public-domain-notice"), ("3", "CC0-1.0-notice,MIT-notice"), ("4", "")]
+    many = license_scan.known_licenses(spark, {f"n{i}": f"licence number {i}" for i in range(10_050)})
+    assert license_scan.license_scan(spark.createDataFrame([(1, "a\nLicence number 10049")], "doc_id long, text string"), many).first()["notice_ids"] == "n10049"
+
+
 def test_mixing(docs, empty):
     rows = mixing.taken(mixing.mix(docs)).join(docs.select("doc_id", "source"), "doc_id").collect()
     size, target, got = {}, {}, {}
