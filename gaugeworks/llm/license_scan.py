@@ -1,6 +1,6 @@
 """Operator 2 [native]: licence scans by canonical digest.
 
-A text is normalised (case, equivalent spellings, copyright lines, punctuation, white space), and the SHA-256 of
+A text is normalised (copyright statements, case, equivalent spellings, punctuation, white space), and the SHA-256 of
 the whole normalised text is joined to the digests of known licences. The same lookup is made for every line, which
 finds short notices inside longer texts. The SQL knows the six entries of KNOWN, and the lines that it looks up.
 
@@ -44,15 +44,23 @@ NOTICE = [
 ]
 PUBLIC_DOMAIN = ["This work is in the public domain.", "This file is in the public domain.", "This code is in the public domain.", "This software is in the public domain.", "Released into the public domain.", "Placed in the public domain.", "Dedicated to the public domain.", "Public domain."]
 
-COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
+#: A line that is a copyright statement: the word or a sign, then (c), a year, a place for one, or a name.
+COPYRIGHT = (
+    r"(^|\n)[ \t*#/;-]*(?:(?i:copyright)[ \t:,]*(?:\([cC]\)|©|[0-9]{4}|[<\[{(][ \t]*(?i:year|yyyy|dates?|name|owner|copyright))|©|\([cC]\)[ \t]*(?:(?i:copyright)|[0-9]{4}|[<\[{][ \t]*(?i:year|yyyy))"
+    r"|(?i:copyright)[ \t:]+(?:by[ \t]+)?(?!(?i:notices?|holders?|owners?|laws?|licen[cs](?:e|es|ed|or|ors|ing)|acts?|treat(?:y|ies)|statements?|interests?|protections?|permissions?|rights?|disclaimers?|infringements?|information|claims?"
+    r"|terms?|works?|materials?|status|and|or|in|to|is|are|of|for|by|on|under|as|with|that|which|if|shall|may|can|must|not)(?!\p{L}))\p{Lu})[^\n]*"
+)
+#: As the SQL has it: every line that begins with the word or a sign.
+SQL_COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    text = F.lower(F.coalesce(text, F.lit("")))
+    text = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, "$1"))
+    text = F.regexp_replace(text, r"\b(sub|non)-\s+", "$1-")  # a spelling that a line's end parts
     for a, b in SPELLINGS:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, COPYRIGHT, "$1"), OTHER, " "))
+    return F.replace(F.trim(F.regexp_replace(text, OTHER, " ")), F.lit("copyright holder"), F.lit("copyright owner"))
 
 
 def digest(text: Column) -> Column:
@@ -90,7 +98,7 @@ def _sql_canonical(x: str) -> str:
     x = f"lower(coalesce({x}, ''))"
     for a, b in SPELLINGS:
         x = f"replace({x}, '{a}', '{b}')"
-    return f"sha256(trim(regexp_replace(regexp_replace({x}, '{COPYRIGHT}', '\\1', 'g'), '{OTHER}', ' ', 'g')))"
+    return f"sha256(trim(regexp_replace(regexp_replace({x}, '{SQL_COPYRIGHT}', '\\1', 'g'), '{OTHER}', ' ', 'g')))"
 
 
 def sql() -> str:

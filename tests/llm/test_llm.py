@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -80,6 +81,21 @@ def test_license_scan_knows_whole_texts_and_all_lines(spark):
     assert license_scan.license_scan(spark.createDataFrame([(1, "a\nLicence number 10049")], "doc_id long, text string"), many).first()["notice_ids"] == "n10049"
 
 
+def test_license_digests_do_not_depend_on_wrapping(spark):
+    rows = []
+    for name in ("MIT", "ISC"):
+        title, _, *body = license_scan.KNOWN[name].split("\n")
+        for width in range(30, 100):
+            rows.append((name, "\n\n".join([title, "Copyright (c) 2020 Some Body <a@b.c>", *("\n".join(textwrap.wrap(x, width)) for x in body)])))
+    assert sum(bool(re.search("(?im)^copyright (notice|holders)", t)) for _, t in rows) > 5
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string"), license_scan.known_licenses(spark)).collect()
+    assert len(got) == len(rows) and all(r["license_id"] == r["doc_id"] for r in got)
+    statements = ["Copyright 2020 A", "copyright (c) 2020", "// Copyright: Jane Doe", "© Jane", "(C) 2019-2020 Jane", "Copyright [yyyy] [name]", "Copyright The Authors", "COPYRIGHT 2001", " * Copyright (c) <year> <owner>"]
+    others = ["copyright notice and this", "COPYRIGHT HOLDERS BE LIABLE", "Copyright License. Subject to", "(c) You must retain", "copyright law", "COPYRIGHT OWNER OR CONTRIBUTORS"]
+    df = spark.createDataFrame([(x,) for x in statements + others], "x string").select("x", (license_scan.canonical(F.col("x")) == "").alias("gone"))
+    assert {r["x"] for r in df.collect() if r["gone"]} == set(statements)
+
+
 def test_mixing(docs, empty):
     rows = mixing.taken(mixing.mix(docs)).join(docs.select("doc_id", "source"), "doc_id").collect()
     size, target, got = {}, {}, {}
