@@ -3,7 +3,7 @@
 Fixed patterns (assignments, access keys, long hexadecimal strings) and a sliding-window entropy test. Candidates are
 long runs of key characters that hold letters and digits. A window of fixed length moves over a candidate; the counts
 of its characters are updated by the one that leaves and the one that enters, which gives its Shannon entropy in
-constant time a step. A run of windows above the threshold of the candidate's character class is a span of kind
+constant time a step. A run of windows above the threshold of their own character class is a span of kind
 `entropy`. Candidates that an allow list knows to be harmless are suppressed. Spans of patterns always stay.
 
 Nulls and empty texts have no spans. Repeated rows give repeated rows, an empty table an empty result. Offsets are
@@ -43,16 +43,20 @@ ALLOWED = re.compile(
 WINDOW = 20
 #: Bits a character, by class: hexadecimal digits have at most 4, windows of 20 at most 4.32.
 HEX_BITS, OTHER_BITS = 3.0, 3.7
+HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
 _XLOGX = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
 
 
 def entropy_spans(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Spans of s that windows above the threshold cover, touching ones joined."""
-    least = HEX_BITS if re.fullmatch("[0-9a-fA-F]+", s) else OTHER_BITS
-    highest = (math.log2(window) - least) * window
+    """Spans of s that windows above the threshold of their own class cover, touching ones joined."""
+    highest, highest_hex = ((math.log2(window) - bits) * window + 1e-9 for bits in (OTHER_BITS, HEX_BITS))
     counts: dict[str, int] = {}
-    total, out = 0.0, []
+    total, other, letter, out = 0.0, -1, -1, []  # where the last character beyond hexadecimal, and the last letter stand
     for i, c in enumerate(s):
+        if c not in HEXADECIMAL:
+            other = i
+        elif c > "9":
+            letter = i
         k = counts.get(c, 0)
         counts[c] = k + 1
         total += _XLOGX[k + 1] - _XLOGX[k]
@@ -61,7 +65,7 @@ def entropy_spans(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
             k = counts[gone]
             counts[gone] = k - 1
             total += _XLOGX[k - 1] - _XLOGX[k]
-        if i >= window - 1 and total <= highest + 1e-9:
+        if i >= window - 1 and total <= (highest_hex if other <= i - window < letter else highest):
             a, b = i - window + 1, i + 1
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], b)

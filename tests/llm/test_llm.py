@@ -193,6 +193,22 @@ def test_secret_scan(docs, empty):
     assert "a9ce" not in masked[len(texts()) - 3]["text"] and masked[0]["text"] == texts()[0] and secret_scan.redact(empty).count() == 0
 
 
+def keys(r, letters, size, groups=1, sep="-"):
+    return sep.join("".join(r.choice(letters) for _ in range(size)) for _ in range(groups))
+
+
+def entropy_hits(make, n=300):
+    r = random.Random(7)
+    return sum(any(k == 3 for _, k, _ in secret_scan.find_secrets(make(r))) for _ in range(n)) / n
+
+
+def test_hexadecimal_keys_behind_a_name():
+    for digits, size in (("0123456789abcdef", 20), ("0123456789abcdef", 31), ("0123456789ABCDEF", 32), ("0123456789ABCDEF", 40)):
+        for name in ("", "key=", "key-", "my_key/"):
+            assert entropy_hits(lambda r: name + keys(r, digits, size)) > 0.94
+    assert not secret_scan.find_secrets("order=12345678901234567890")
+
+
 def test_transport_streams(docs, empty):
     for n in (0, 1, 150, 176, 177, 184, 5000, 16_384, 16_385, 400_000):
         payload, _ = transport_stream.padded("x" * n)
