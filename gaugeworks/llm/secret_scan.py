@@ -1,10 +1,10 @@
 """Operator 9: secret scans.
 
 Fixed patterns (assignments, access keys, long hexadecimal strings) and a sliding-window entropy test. Candidates are
-long runs of key characters that hold letters and digits. A window of fixed length moves over a candidate; the counts
-of its characters are updated by the one that leaves and the one that enters, which gives its Shannon entropy in
-constant time a step. A run of windows above the threshold of their own character class is a span of kind
-`entropy`. Candidates that an allow list knows to be harmless are suppressed. Spans of patterns always stay.
+long runs of key characters. UUIDs, placeholders, numbers and names made of words are taken out of a candidate, and a
+window of fixed length moves over each part that is left; the counts of its characters are updated by the one that
+leaves and the one that enters, which gives its Shannon entropy in constant time a step. A run of windows above the
+threshold of their own character class is a span of kind `entropy`. Spans of patterns always stay.
 
 Nulls and empty texts have no spans. Repeated rows give repeated rows, an empty table an empty result. Offsets are
 code points, ends exclusive.
@@ -34,12 +34,23 @@ ASSIGN = re.compile(f"({_either_case('password|passwd|secret|token|api_?key')})"
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
-ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUIDs
-    r"|[0-9_=+/-]+|[A-Za-z_=+/-]+"  # no digit, or no letter
-    r"|([A-Za-z]+[/_-])*[A-Za-z]*[0-9]{1,4}([/_-][A-Za-z0-9]{1,12})*"  # names with a number, paths
-    r"|.*(?:(?i:example|placeholder|changeme|redacted)|xxxx|XXXX|0123456789|abcdefgh).*"
+#: Parts of a candidate that are harmless wherever they stand: UUIDs and placeholders.
+HARMLESS = re.compile(
+    r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])"
+    r"|(?i:example|placeholder|changeme|redacted)|x{4,}|X{4,}|0123456789|abcdefgh"
 )
+GROUP = re.compile("[A-Za-z0-9]+")
+#: A group of letters with a short number before or behind it, or a number alone; the letters must look like words.
+NAME = re.compile("[0-9]{0,4}([A-Za-z]+)[0-9]{0,4}|[0-9]+")
+#: A group of so many characters or fewer between or beside random ones belongs to them.
+SHORT = 4
+PIECE = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
+#: The letters that follow a letter in words of European languages.
+FOLLOW = dict(x.split(":") for x in (
+    "a:bcdfghiklmnprstuvwyz b:aeiloursbyj c:aehikloqrtuyc d:aeiorsudygv e:abcdfgeilmnpqrstuvwxyhkzto f:aefilorutys g:aeghilnorsuty h:aeiortuynml i:abcdefgklmnoprstvzxq j:aeou k:aeilnostyru "
+    "l:adefikmlostuvypgb m:abeimopsuy n:acdefgiknostuvyzj o:abcdefghiklmnoprstuvwxy p:aefhiloprstuy q:u r:abcdefghiklmnoprstuvwyz s:acehiklmnopqstuvwy t:acehilorstuwyz u:abcdefgilmnprstxzhk v:aeioryu "
+    "w:aehinorsu x:aceipty y:abceilmnoprstd z:aeioutzwy"
+).split())
 WINDOW = 20
 #: Bits a character, by class: hexadecimal digits have at most 4, windows of 20 at most 4.32.
 HEX_BITS, OTHER_BITS = 3.0, 3.7
@@ -47,6 +58,38 @@ HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
 _XLOGX = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
 
 
+def looks_like_words(letters: str) -> bool:
+    """Whether letters, parted where a capital begins a word, are pieces of three letters or more with usual pairs."""
+    pieces = PIECE.findall(letters)
+    if len(letters) > SHORT and len(letters) < 3 * len(pieces):
+        return False
+    pairs = [b in FOLLOW[a] for p in pieces for a, b in zip(p.lower(), p.lower()[1:])]
+    return sum(pairs) >= 0.85 * len(pairs)
+
+
+def random_parts(s: str) -> list[tuple[int, int]]:
+    """Spans of a candidate that are left when UUIDs, placeholders, numbers and names of words are taken out."""
+    out, at = [], 0
+    for a, b in [*(m.span() for m in HARMLESS.finditer(s)), (len(s), len(s))]:
+        groups = []  # [start, end, random, short]
+        for m in GROUP.finditer(s, at, a):
+            name = NAME.fullmatch(m[0])
+            groups.append((m.start(), m.end(), not (name and (not name[1] or looks_like_words(name[1]))), len(m[0]) <= SHORT))
+        i = 0
+        while i < len(groups):
+            j = i
+            while j < len(groups) and (groups[j][2] or groups[j][3]):
+                j += 1
+            first = next((k for k in range(i, j) if groups[k][2]), None)
+            if first is not None:
+                while first > i and "=" not in s[groups[first - 1][1] : groups[first][0]]:
+                    first -= 1
+                out.append((groups[first][0], groups[j - 1][1]))
+            i = j + 1
+        at = b
+    return out
+
+
 def entropy_spans(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans of s that windows above the threshold of their own class cover, touching ones joined."""
     highest, highest_hex = ((math.log2(window) - bits) * window + 1e-9 for bits in (OTHER_BITS, HEX_BITS))
@@ -85,8 +128,8 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
         at, s = m.start(), m[0]
         if len(s) >= 32:
             out += [(at + h.start(), 2, at + h.end()) for h in HEX.finditer(s) if h.end() - h.start() >= 32]
-        if not ALLOWED.fullmatch(s):
-            out += [(at + a, 3, at + b) for a, b in entropy_spans(s)]
+        for x, y in random_parts(s):
+            out += [(at + x + a, 3, at + x + b) for a, b in entropy_spans(s[x:y])]
     return sorted(out)
 
 

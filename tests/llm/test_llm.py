@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import textwrap
 import zlib
 
@@ -209,6 +210,17 @@ def test_hexadecimal_keys_behind_a_name():
     assert not secret_scan.find_secrets("order=12345678901234567890")
 
 
+def test_allowed_names_suppress_only_themselves():
+    both = string.ascii_letters + string.digits
+    assert entropy_hits(lambda r: "sk1-" + keys(r, both, 8, 4)) > 0.95
+    assert entropy_hits(lambda r: "key2_" + keys(r, both, 12, 3, "_")) > 0.95
+    assert entropy_hits(lambda r: "K7-" + keys(r, both, 5, 5)) > 0.7
+    assert entropy_hits(lambda r: "api/example/" + keys(r, both, 40)) > 0.98
+    assert entropy_hits(lambda r: keys(r, string.ascii_letters, 40)) > 0.98
+    for name in ("getUserNameFromRequestHeader", "src/main/java/org/apache/spark/sql/CodeGenerator2", "Donaudampfschifffahrtsgesellschaft", "docs/2024/11/28/release-notes-v2", "id=123e4567-e89b-12d3-a456-426614174000", "api/example/changeme/xxxxxxxxxxxx"):
+        assert not secret_scan.find_secrets(name)
+
+
 def test_transport_streams(docs, empty):
     for n in (0, 1, 150, 176, 177, 184, 5000, 16_384, 16_385, 400_000):
         payload, _ = transport_stream.padded("x" * n)
