@@ -1,12 +1,15 @@
 """Golden values of the operators on hand-made rows."""
 
 import datetime
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.ranking import global_rank
 from gaugeworks.operators import compare, contracts, evaluate, features, review, spc
+from gaugeworks.plans import registry
 from gaugeworks.sources import readers
 from gaugeworks.streaming import readings
 
@@ -47,6 +50,21 @@ def test_classification_and_ties(spark):
     assert [(r["inspected"], r["captured"]) for r in rows] == [(1, 1), (2, 1)]
 
 
+def test_registered_sign_flip_covers_all_rows(spark, tmp_path):
+    rows = [(i, f"s{i % 20:02d}") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    groups = {}
+    for i, _ in rows:
+        groups.setdefault(zlib.crc32(str(i).encode()) % 16, []).append(round(i * 7919 % 1000 / 1000, 3) - round(i * 104729 % 1000 / 1000, 3))
+    d = [round(sum(x) / len(x), 9) for x in groups.values()]
+    totals = np.array([0.0])
+    for x in d:
+        totals = np.concatenate([totals + x, totals - x])
+    got = registry.eval_sign_flip(spark, str(tmp_path)).first()
+    assert len(d) == 16 and abs(got["p_value"] - (np.abs(totals) >= abs(sum(d)) - 1e-12).mean()) < 1e-3 and abs(got["mean_difference"] - np.mean(d)) < 1e-5
+
+
 def test_sign_flip(spark):
     assert evaluate.sign_flip(spark.createDataFrame([(0.1,)] * 5, "d double")).first()["p_value"] == 0.0625
 
