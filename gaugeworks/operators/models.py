@@ -29,8 +29,8 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", F.when(F.col("label") == 1, total / (2 * max(1, n.get(1, 0)))).otherwise(total / (2 * max(1, n.get(0, 0)))))
 
 
-def score(model: PipelineModel, df: DataFrame, id_col: str = "id") -> DataFrame:
-    return model.transform(df).select(id_col, "label", vector_to_array("probability")[1].alias("score"))
+def score(model: PipelineModel, df: DataFrame, id_col: str = "id", keep: list[str] | None = None) -> DataFrame:
+    return model.transform(df).select(id_col, "label", *(keep or []), vector_to_array("probability")[1].alias("score"))
 
 
 def cross_validate(df: DataFrame, features: list[str], names: list[str], folds: int = 3) -> list[tuple[str, int, float]]:

@@ -33,6 +33,13 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def components(df: DataFrame, vector: str) -> tuple[DataFrame, list[str]]:
+    """df with a double column for each component of the longest vector, and their names; shorter vectors have nulls."""
+    size = df.agg(F.max(F.size(vector))).first()[0] or 0
+    names = [f"feature_{i:03d}" for i in range(size)]
+    return df.select("*", *[F.get(vector, F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]), names
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Error readings count as missing."""
     return table(spark, d, "events").withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
@@ -502,13 +509,12 @@ def mod_prior(spark, d):
 
 @query()
 def mod_logistic_scores(spark, d):
-    """L1 logistic regression of embeddings' class 3, scored on held-out rows."""
+    """L1 logistic regression of embeddings' class 3, C chosen by cross-validation in the rows that aren't held out; every row is scored."""
     from gaugeworks.operators import models
 
-    size = 16
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") == 3).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"feature_{i:03d}") for i in range(size)])
-    names = [f"feature_{i:03d}" for i in range(size)]
-    held = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
-    train = models.balanced(e.where(~held))
-    model = models.candidates(train.count(), names)["l1_C1"].fit(train)
-    return models.score(model, e.where(held))
+    e, names = components(table(spark, d, "embeddings").withColumnRenamed("vec_id", "id"), "embedding")
+    place = F.crc32(F.col("id").cast("string").cast("binary"))
+    e = e.select("id", (F.col("label") == 3).cast("int").alias("label"), (place % 5 == 0).alias("held_out"), *names)
+    train = e.where(~F.col("held_out")).withColumn("fold", (place / 5).cast("long") % 3)
+    _, model = models.select(train, names, ["l1_C0.01", "l1_C0.1", "l1_C1"])
+    return models.score(model, e, keep=["held_out"])

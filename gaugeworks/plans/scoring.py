@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import anomaly, compare, evaluate, models, profile, spc
-from gaugeworks.plans.registry import DETECT, SCORES, WINDOWS, daily_stats, daily_windows, known, query, rounded, scores, table
+from gaugeworks.plans.registry import DETECT, SCORES, WINDOWS, components, daily_stats, daily_windows, known, query, rounded, scores, table
 
 # Models
 
@@ -13,9 +13,8 @@ from gaugeworks.plans.registry import DETECT, SCORES, WINDOWS, daily_stats, dail
 @query()
 def mod_isolation(spark, d):
     """Isolation of embeddings by a forest grown on the rows of other classes than 3."""
-    size = 16
-    names = [f"feature_{i:03d}" for i in range(size)]
-    e = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    e, names = components(table(spark, d, "embeddings"), "embedding")
+    e = e.select("vec_id", "label", *names)
     return anomaly.isolation_forest(e.where("label <> 3"), e, names, "vec_id").select("vec_id", "label", "score")
 
 

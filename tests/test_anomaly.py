@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import anomaly, evaluate, models
+from gaugeworks.plans import registry, scoring
 
 
 def rows(spark, n=600, odd=20):
@@ -45,3 +46,26 @@ def test_stability_evidence_and_priority(spark):
     df = spark.createDataFrame([("x", 0.5, 1.0, -3.0, None), ("y", 0.5, 0.0, 1.0, 9.0), ("z", 0.9, 1.0, 1.0, 1.0)], "id string, score double, a double, b double, c double")
     assert models.evidence(df, {"a": 2.0, "b": 1.0, "c": 1.0}, 2).where("id = 'x'").first()["suggested"] == ["b", "a"]
     assert [(r["id"], r["rank"], r["prediction"]) for r in models.priority_table(df, "id", 0.6).orderBy("rank").collect()] == [("z", 1, 1), ("x", 2, 0), ("y", 3, 0)]
+
+
+def vectors(spark, tmp_path):
+    """64 components; only the last tells class 3, and rows 0 and 1 differ in it alone."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 64))
+    x[:, 63] += 12 * (np.arange(400) % 4 == 3)
+    x[0], x[1] = x[2], x[2]
+    x[1, 63] = 40
+    rows = [(i, i % 4, [float(v) for v in r]) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_isolation_uses_all_components(spark, tmp_path):
+    got = {r["vec_id"]: r["score"] for r in scoring.mod_isolation(spark, vectors(spark, tmp_path)).collect()}
+    assert len(got) == 400 and got[0] == got[2] and got[1] > got[2]
+
+
+def test_logistic_scores_use_all_components_and_all_rows(spark, tmp_path):
+    out = registry.mod_logistic_scores(spark, vectors(spark, tmp_path)).cache()
+    assert out.count() == 400 and 0 < out.where("held_out").count() < 150
+    assert evaluate.average_precision(out.where("held_out")).first()[0] > 0.95
