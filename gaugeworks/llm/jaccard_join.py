@@ -6,7 +6,7 @@ equal sets are one node. The steps:
 1. Order of tokens. Any order that all documents share keeps the join exact; rare ones first keeps it cheap. Each
    batch reports the tokens that several of its documents hold; the most frequent (a fixed number) go last.
 2. Prefixes. Sets of similarity t share a token of their first n - ceil(t n) + 1 tokens. Prefix tokens of a single
-   node are dropped, by a bitmap of fixed size first and by a join after it.
+   node are dropped, by a bitmap of bounded size first and by a join after it.
 3. Grouping. In the list of each token the node whose prefix is shared most is the hub; documents are verified
    against their hubs, and what links with a hub is its group.
 4. The matrix (token, group) holds each group's union of prefix tokens, with the range of its sizes. Documents of the
@@ -14,11 +14,12 @@ equal sets are one node. The steps:
 5. Only groups that qualify are opened, in blocks of bounded size: a block of members meets a block of queries, and
    one link for each query and block is reported, as the group is one component already.
 
-The links' components end the work. No step makes all pairs of a group of copies: copies meet their hub only.
+The links' components end the work. No step makes all pairs of a group of copies: copies meet their hub only. Sets are
+compared by 64-bit hashes of shingles, and known by 128-bit digests; that no two of them collide is taken for granted.
 
-Nulls and texts without words have the empty set, link with nothing and are their own component. Rows that repeat an
-id or a text are copies of one another. A null id stays null; it has the component of its set. Other columns are not
-looked at; an empty table gives an empty result.
+Nulls and texts without words have the empty set, link with nothing and are their own component. Rows that repeat a
+text are copies of one another; rows that repeat an id with other texts are not. A null id stays null; it has the
+component of its set. Other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import components
-from gaugeworks.llm.shared import bitmap, in_bitmap, lower_ascii, mix, saved, slices, span_hashes, text_bytes, word_spans
+from gaugeworks.llm.shared import bitmap, in_bitmap, join_hot, lower_ascii, mix, saved, slices, span_hashes, text_bytes, word_spans
 
-#: Tokens known as frequent; bits of the bitmaps that are sent to the executors; members and queries in a block.
-FREQUENT, LEAST_SEEN, BITS, BLOCK = 1 << 17, 4, 1 << 26, 64
+#: Tokens known as frequent, and how often they were seen at least; sets in a block of members or queries, and about the most tokens of its sets.
+FREQUENT, LEAST_SEEN, BLOCK, TOKENS = 1 << 17, 4, 64, 1 << 18
+#: Tokens of the blocks that one call of the verification holds, about.
+HELD = 1 << 21
 
 
 def shingle_sets(column: pa.Array, words: int = 5) -> list[np.ndarray]:
@@ -108,9 +111,10 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for part in slices(batch, "text") for s in shingle_sets(part.column(1), words)]
-            token, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["token", "n"])
+            for group in slices(batch, "text", 8 << 20):
+                sets = [s for part in slices(group, "text") for s in shingle_sets(part.column(1), words)]
+                token, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["token", "n"])
 
     seen = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN)
     top = seen.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()  # a fixed number of rows at most
@@ -143,7 +147,7 @@ def _shared_tokens(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tokens that the prefixes of two nodes or more hold, and the rows (token, node, n) of these tokens."""
     each = table.where("node is not null").select(F.xxhash64("node").alias("h"), F.explode("prefix").alias("token"))
     tokens = saved(each.groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("token"), "tokens")
-    found = table.sparkSession.sparkContext.broadcast(bitmap(tokens, "token", BITS))
+    found = table.sparkSession.sparkContext.broadcast(bitmap(tokens, "token"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = found.value
@@ -183,7 +187,7 @@ def _verified(docs: DataFrame, asked: DataFrame, members: DataFrame, t: int, wor
     asked: (node, n, g), members: (node, n, g).
     """
     wanted = saved(asked.select("node").union(members.select("node")).distinct(), "wanted")
-    found = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(_half(F.col("node")).alias("h")), "h", BITS >> 2))
+    found = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(_half(F.col("node")).alias("h")), "h"))
 
     def make():
         known, had = found.value, set()
@@ -203,29 +207,55 @@ def _verified(docs: DataFrame, asked: DataFrame, members: DataFrame, t: int, wor
 
     sets = _over(docs, make, "node binary, tokens binary", words).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
     sets = saved(sets, "sets")
-    of_group = saved(members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(asked.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "g"), "blocks")
-    inner = members.join(of_group, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    outer = asked.join(of_group, "g").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    names = ["g", "block", "part", "node", "n", "tokens"]
-    inner, outer = (x.join(sets, "node").select(*names).toDF(*[f"{side}_{c}" for c in names]) for side, x in (("in", inner), ("out", outer)))
-
-    def verify(key: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    cut = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / TOKENS)).cast("int")
+    of_group = saved(members.groupBy("g").agg(cut.alias("blocks")).join(asked.groupBy("g").agg(cut.alias("parts")), "g"), "blocks")
+    inner = join_hot(members, of_group, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    outer = join_hot(asked, of_group, "g").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Blocks are small, so many of them (by the hash of what names them) are verified in one call.
+    inner, outer = (x.select(F.xxhash64("g", "block", "part").alias("cell"), "node", "n") for x in (inner, outer))
+    held = inner.select("n").union(outer.select("n")).agg(F.sum("n")).first()[0] or 0
+    bucket = F.pmod("cell", F.lit(-(-held // HELD) or 1)).cast("int").alias("bucket")
+    names = ["bucket", "cell", "node", "n", "tokens"]
+    inner, outer = (x.join(sets, "node").select(bucket, *names[1:]).toDF(*[f"{side}_{c}" for c in names]) for side, x in (("in", inner), ("out", outer)))
+
+    def verify(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
-        member_sets = [(x, n, set(np.frombuffer(s, np.int64).tolist())) for x, n, s in zip(members["in_node"], members["in_n"], members["in_tokens"], strict=True)]
-        for q, n, s in zip(queries["out_node"], queries["out_n"], queries["out_tokens"], strict=True):
-            own = None
-            for x, m, tokens in member_sets:
-                if x == q or 100 * min(n, m) < t * max(n, m):
-                    continue
-                own = own if own is not None else set(np.frombuffer(s, np.int64).tolist())
-                both = len(own & tokens)
-                if 100 * both >= t * (n + m - both):
-                    out.append((q, x))
-                    break
+        by_cell = [x.groupby(f"{side}_cell").indices for side, x in (("in", members), ("out", queries))]
+        m, n = members["in_n"].to_numpy(), queries["out_n"].to_numpy()
+        m_node, n_node = members["in_node"].tolist(), queries["out_node"].tolist()
+        m_set, n_set = ([np.frombuffer(s, np.uint64) for s in x] for x in (members["in_tokens"], queries["out_tokens"]))
+        for cell in by_cell[0].keys() & by_cell[1].keys():
+            rows, asks = by_cell[0][cell], by_cell[1][cell].tolist()
+            out += [(n_node[q], m_node[rows[i]]) for q, i in block_links([m_set[i] for i in rows], m[rows], [m_node[i] for i in rows], [(q, n[q], n_node[q], n_set[q]) for q in asks], t)]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    keys = [[f"{side}_{c}" for c in names[:3]] for side in ("in", "out")]
-    return inner.groupBy(*keys[0]).cogroup(outer.groupBy(*keys[1])).applyInPandas(verify, "a binary, b binary")
+    return inner.groupBy("in_bucket").cogroup(outer.groupBy("out_bucket")).applyInPandas(verify, "a binary, b binary")
+
+
+def block_links(sets: list[np.ndarray], m: np.ndarray, nodes: list[bytes], queries: list[tuple], t: int) -> list[tuple[int, int]]:
+    """For each of the queries (number, size, node, set) that links with one of the sets: its number and one such set."""
+    if len(sets) == 1:  # of one set and few queries, no index is made
+        fits = [x for x in queries if x[2] != nodes[0] and 100 * min(x[1], m[0]) >= t * max(x[1], m[0])]
+        both = [len(np.intersect1d(sets[0], s, assume_unique=True)) for _, _, _, s in fits]
+        return [(q, 0) for (q, n, _, _), k in zip(fits, both, strict=True) if 100 * k >= t * (n + m[0] - k)]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    token, start = flat[start], np.append(start, len(flat))
+    out = []
+    for q, n, node, s in queries:
+        fits = (100 * np.minimum(n, m) >= t * np.maximum(n, m)) & np.array([x != node for x in nodes], bool)
+        if fits.any():
+            at = np.searchsorted(token, s)
+            at = at[token[np.minimum(at, len(token) - 1)] == s]
+            size = start[at + 1] - start[at]
+            to = np.cumsum(size)
+            both = np.bincount(owner[np.arange(size.sum()) + np.repeat(start[at] - (to - size), size)], minlength=len(m))
+            linked = np.flatnonzero(fits & (100 * both >= t * (n + m - both)))
+            if len(linked):
+                out.append((q, int(linked[0])))
+    return out
 
 
 def jaccard_components(docs: DataFrame, t: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,12 +279,13 @@ def jaccard_components(docs: DataFrame, t: int = 80, words: int = 5, id_col: str
         .where(F.col("both") + F.greatest(_suffix(n, t), _suffix(F.col("m"), t)) >= _need(n, F.col("m"), t))
     )
     to_hub = saved(to_hub, "to-hub")
-    first = saved(_verified(docs, to_hub.select("node", "n", "g"), to_hub.select(F.col("g").alias("node"), F.col("m").alias("n"), "g").distinct(), t, words), "hub-links")
+    hub_of = saved(to_hub.select(F.col("g").alias("node"), F.col("m").alias("n"), "g").distinct(), "hubs")
+    first = saved(_verified(docs, to_hub.select("node", "n", "g"), hub_of, t, words), "hub-links")
 
-    groups = saved(components(first), "groups")
-    grouped = nodes.join(groups, "node", "left").select("node", "n", "cap", F.coalesce("root", "node").alias("g"))
-    size = grouped.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("cap").alias("g_cap"))
-    placed = saved(lists.select("token", "node").join(grouped.join(size, "g"), "node"), "placed")
+    groups = components(first)
+    grouped = saved(nodes.join(groups, "node", "left").select("node", "n", "cap", F.coalesce("root", "node").alias("g")), "grouped")
+    size = saved(grouped.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("cap").alias("g_cap")), "group-sizes")
+    placed = saved(lists.select("token", "node").join(join_hot(grouped, size, "g"), "node"), "placed")
     matrix = placed.select("token", F.col("g").alias("other"), F.col("size").alias("o_size"), F.col("low").alias("o_low"), F.col("high").alias("o_high"), F.col("g_cap").alias("o_cap")).distinct()
     low, high = F.greatest(F.ceil(n * t / 100), F.col("o_low")), F.least(F.floor(n * 100 / t), F.col("o_high"))
     asks = (F.col("g") != F.col("other")) & (F.struct("size", "g") < F.struct("o_size", "other")) & (low <= high) & ((F.col("o_low") <= F.col("cap")) | (n <= F.col("o_cap")))
@@ -264,19 +295,26 @@ def jaccard_components(docs: DataFrame, t: int = 80, words: int = 5, id_col: str
         .select("node", "n", F.col("other").alias("g"))
     )
     asked = saved(asked, "asked")
-    members = grouped.select("node", "n", "g").join(asked.select("g").distinct(), "g", "left_semi")
+    members = saved(join_hot(grouped.select("node", "n", "g"), asked.select("g").distinct(), "g"), "members")
     second = saved(_verified(docs, asked, members, t, words), "group-links")
 
-    links = first.union(second).select("a", "b")
-    roots = components(links)
-    with_root = table.select("id", "n", "node").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
-    smallest = with_root.where("root is not null").groupBy("root").agg(F.min("id").alias("smallest"))
-    return with_root.join(smallest, "root", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("smallest")).alias("component_id"))
+    roots = components(first.union(second).select("a", "b"))
+    # Copies are counted as one before anything is joined by their set or their component.
+    each = table.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
+    each = saved(each.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "node-roots")
+    smallest = saved(each.groupBy("root").agg(F.min("least").alias("smallest")), "smallest")
+    label = saved(join_hot(each, smallest, "root").select("node", "smallest"), "node-labels")
+    out = join_hot(table.where("node is not null").select("id", "n", "node"), label, "node").select("id", "n", "smallest")
+    out = out.unionByName(table.where("node is null").select("id", "n", F.col("id").alias("smallest")))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("smallest").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of rows that repeat an id, one. Rows without an id stay."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return with_id.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component: that with the smallest id (a null id is the largest), and of rows that repeat it in the component the smallest digest of the text."""
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("md5"), F.col(text_col).isNull().alias("no_text"))
+    found = jaccard_components(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), id_col="_key", text_col="_text", **options)
+    kept = found.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
+    return docs.withColumn(name, key).join(kept.withColumnRenamed("_key", name), name, "left_semi").dropDuplicates([name]).drop(name)

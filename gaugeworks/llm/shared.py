@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +18,16 @@ from pyspark.sql import functions as F
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+#: A key is hot from so many rows on, and from this part of all rows on.
+HOT, PARTS = 4096, 1024
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. Unset, it is a temporary one for a session of one process and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-gaugeworks-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,16 +41,36 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, values: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to values (one row for each key), where one key may hold a large part of the rows. how: inner or left.
+
+    Keys with more rows than HOT and than a 1 / PARTS of all rows are fewer than PARTS: these pass through the driver,
+    their values are broadcast and their rows stay where they are. All other rows are joined by a shuffle.
+    """
+    n = rows.count()
+    if n > HOT:
+        each = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
+        each = each.where(F.col("_n") > max(HOT, n // PARTS)).select("_hot")
+        if found := each.collect():
+            hot = F.broadcast(rows.sparkSession.createDataFrame(found, each.schema))
+            same = F.col(key) == F.col("_hot")
+            known = F.broadcast(values.join(hot, same, "left_semi"))
+            usual = rows.join(hot, same, "left_anti").join(values, key, how)
+            return rows.join(hot, same, "left_semi").join(known, key, how).unionByName(usual)
+    return rows.join(values, key, how)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A set of 64-bit keys as `bits` bits (a power of two), so its size is fixed however many keys there are.
+def bitmap(keys: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
+    """A set of 64-bit keys as bits: about 16 for each key, a power of two and at most `most`, which bounds its size.
 
     A key that was put in is always found; others are found by chance more often as the map fills, so an exact
     join follows wherever it is used.
     """
+    bits = min(most, 1 << max(16, (16 * keys.count()).bit_length()))
     at = keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("at"))
     words = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bit"))
     found = words.toArrow()  # at most bits / 64 rows
