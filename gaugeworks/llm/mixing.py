@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating; the words that a source may give, as a multiple of its size.
 WEIGHTS, MOST = (5, 2, 1), 3
 BLOCK, ROUNDS, STRIPS = 128, 16, 4096
+#: Slots in a row of draws that is dealt out, and slots for a task.
+CUT, DEALT = 256, 16_384
 
 
 @dataclass
@@ -53,7 +55,8 @@ def unpermuted(x: Column, n: Column, key: list[Column]) -> Column:
 
 
 def _targets(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """One row for each source. The windows hold a row for each source, not for each document."""
+    """One row for each source. The windows hold a row for each source, not for each document, in one task: sources are
+    thought of as some thousands of names at most, not as free text."""
     total = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -114,7 +117,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     plan = sources.where("slots > 0").select("sid", "source", "source_size", "blocks", "passes", "rest", "last", "tail", "slots")
     open_slots = counts.withColumn("at", before).join(plan.select("sid", "slots"), "sid").select("shard", "sid", "at", F.least(F.col("n"), F.col("slots") - F.col("at")).alias("n")).where("n > 0")
     short = plan.join(counts.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left").select(F.lit((n_slots + per_shard - 1) // per_shard).cast("long").alias("shard"), "sid", F.coalesce("got", F.lit(0)).cast("long").alias("at"), (F.col("slots") - F.coalesce("got", F.lit(0))).alias("n")).where("n > 0")
-    slots = open_slots.unionByName(short).select("shard", "sid", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("slot"))
+    # Runs of slots are cut and dealt out before they are made rows: a run may hold any part of all slots.
+    cuts = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1, F.lit(CUT)))
+    runs = open_slots.unionByName(short).select("shard", "sid", (F.col("at") + F.col("n")).alias("end"), cuts.alias("from")).repartition(max(1, n_slots // DEALT), "sid", "from")
+    slots = runs.select("shard", "sid", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CUT, F.col("end")) - 1)).alias("slot"))
     slots = slots.join(plan, "sid").withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("i", F.col("slot") % F.col("blocks"))
     length = F.when(F.col("block") == F.col("blocks") - 1, F.col("last")).otherwise(F.lit(block))
     so_far = F.col("i") * block - F.when(F.col("i") > F.col("tail"), block - F.col("last")).otherwise(0)
