@@ -39,7 +39,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     weights = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights).select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return quality.score(docs, weights).select("doc_id", F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,8 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    weights, thresholds = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    out = toxicity.severity(docs, weights, thresholds)
-    return out.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "expected_severity", "grade", (F.col("expected_severity") >= FLAGGED).cast("int").alias("predicted"))
+    out = toxicity.severity(docs, *toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "expected_severity", "grade", (F.col("expected_severity") >= FLAGGED).cast("int").alias("predicted"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
