@@ -14,8 +14,6 @@ _KIND[list(SPACES)] = 0
 _KIND[128:] = 1
 for _from, _to in ((48, 58), (65, 91), (97, 123)):
     _KIND[_from:_to] = 1
-#: The feature of a pair of equal tokens, before it is cut to size.
-_TWICE = mix(np.full(1, 0xC2B2AE3D27D4EB4F, np.uint64))[0]
 
 
 def token_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,10 +45,6 @@ def ngrams(column: pa.Array, bits: int, longest: int = 2, lower: bool = False) -
             joined = mix(joined * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
         rows.append(row[: 1 - n][same])
         found.append(joined[same])
-    if longest > 1:  # a pair of equal tokens is one feature more, whatever the token
-        twice = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
-        rows.append(row[twice])
-        found.append(np.full(len(twice), _TWICE))
     rows, found = np.concatenate(rows), np.concatenate(found)
     order = np.argsort(rows, kind="stable")
     counts = np.bincount(rows, minlength=len(column))

@@ -92,11 +92,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Rows (id, score), or with keep all columns of docs and score."""
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
+    """Rows (id, score), or with keep all columns of docs and the score under `name`; a column of that name goes."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
-    out = docs.drop("score") if keep else docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    out = docs.drop(name) if keep else docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     names = out.columns
     where = names.index(text_col if keep else "text")
 
@@ -106,7 +106,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             found, off = ngrams(part.column(where), BITS)
             s = sums(w[found], off) / np.maximum(1, np.diff(off)) * SCALE + w[-1]
             p = pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*part.columns, p] if keep else [part.column(0), p], names=[*names, "score"] if keep else [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, p] if keep else [part.column(0), p], names=[*names, name] if keep else [id_col, name])
 
     schema = out.schema if keep else out.select(id_col).schema
-    return out.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", score double")
+    return out.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + f", `{name}` double")
