@@ -7,8 +7,11 @@ stream that they name, checks sync bytes, table checksums and continuity counter
 gives payload, times and random-access points.
 
 A text is stored as its UTF-8 bytes, padded with zeros to a positive multiple of 64 (null and empty: 64 zeros). Equal
-texts give equal bytes. Repeated rows give repeated rows, an empty table an empty result. A damaged stream raises an
-error, except for continuity gaps, which are counted.
+texts give equal bytes. Repeated rows give repeated rows, an empty table an empty result.
+
+A packet that repeats the one before it of its stream is legal and left out. Other jumps of a continuity counter are
+counted as gaps. A unit that a lost packet left incomplete raises an error, or, with strict=False, is left out and
+counted as damaged, and all other units are read. Any other damage raises an error.
 """
 
 from __future__ import annotations
@@ -110,8 +113,8 @@ def _body(packet: np.ndarray, table: int) -> bytes:
     return section[8:-4]
 
 
-def read_stream(media: bytes) -> dict:
-    """payload, times (of each unit), points (packet number of each random-access point), packets, gaps, program, stream_type."""
+def read_stream(media: bytes, strict: bool = True) -> dict:
+    """payload, times (of each unit), points (packet number of each random-access point), packets, gaps, damaged, program, stream_type."""
     packets = np.frombuffer(media, np.uint8)
     if len(packets) % PACKET or not len(packets):
         raise ValueError("not a whole number of packets")
@@ -131,11 +134,14 @@ def read_stream(media: bytes) -> dict:
     streams = maps.pop()
     streams = streams[4 + (int.from_bytes(streams[2:4], "big") & 0xFFF) :]
     kind, data_pid = streams[0], int.from_bytes(streams[1:3], "big") & 0x1FFF
-    gaps = 0
+    gaps, rows = 0, {}
     for p in (0, pmt, data_pid):
-        c = count[(pid == p) & (control & 1 > 0)].astype(np.int32)
+        at = np.flatnonzero((pid == p) & (control & 1 > 0))
+        c = count[at].astype(np.int32)
+        again = np.concatenate([[False], (c[1:] == c[:-1]) & (packets[at[1:]] == packets[at[:-1]]).all(axis=1)]) if len(at) else np.zeros(0, bool)
+        rows[p], c = at[~again], c[~again]
         gaps += int(((c[1:] - c[:-1]) % 16 != 1).sum())
-    where = np.flatnonzero((pid == data_pid) & (control & 1 > 0))
+    where = rows[data_pid]
     mine = packets[where]
     has_field = packets[where, 3] & 0x20 > 0
     begin = 4 + np.where(has_field, mine[:, 4].astype(np.int32) + 1, 0)
@@ -143,15 +149,18 @@ def read_stream(media: bytes) -> dict:
     stream = mine[np.arange(PACKET)[None, :] >= begin[:, None]].tobytes()
     off = np.concatenate([[0], np.cumsum(PACKET - begin)])
     cuts = [*off[:-1][start[where]].tolist(), len(stream)]
-    payload, times = [], []
+    payload, times, damaged = [], [], 0
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         pes = stream[a:b]
         if pes[:3] != b"\x00\x00\x01" or pes[3] != STREAM_ID or int.from_bytes(pes[4:6], "big") != len(pes) - 6:
-            raise ValueError("an elementary packet is damaged")
+            if strict:
+                raise ValueError("an elementary packet is damaged")
+            damaged += 1
+            continue
         t = pes[9:14]
         times.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
         payload.append(pes[9 + pes[8] :])
-    return {"payload": b"".join(payload), "times": times, "points": points.tolist(), "packets": len(packets), "gaps": gaps, "program": program, "stream_type": int(kind)}
+    return {"payload": b"".join(payload), "times": times, "points": points.tolist(), "packets": len(packets), "gaps": gaps, "damaged": damaged, "program": program, "stream_type": int(kind)}
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
