@@ -2,7 +2,7 @@
 
 A text is normalised (copyright statements, case, equivalent spellings, punctuation, white space), and the SHA-256 of
 the whole normalised text is joined to the digests of known licences. The same lookup is made for every line, which
-finds short notices inside longer texts. The SQL knows the six entries of KNOWN, and the lines that it looks up.
+finds short notices inside longer texts. The SQL makes the same list and looks up every line too.
 
 Nulls and empty texts have the digest of the empty string and match nothing; repeated rows give repeated rows, an
 empty table an empty result. A licence that is listed twice under one digest counts under its smallest name.
@@ -44,14 +44,14 @@ NOTICE = [
 ]
 PUBLIC_DOMAIN = ["This work is in the public domain.", "This file is in the public domain.", "This code is in the public domain.", "This software is in the public domain.", "Released into the public domain.", "Placed in the public domain.", "Dedicated to the public domain.", "Public domain."]
 
-#: A line that is a copyright statement: the word or a sign, then (c), a year, a place for one, or a name.
-COPYRIGHT = (
-    r"(^|\n)[ \t*#/;-]*(?:(?i:copyright)[ \t:,]*(?:\([cC]\)|©|[0-9]{4}|[<\[{(][ \t]*(?i:year|yyyy|dates?|name|owner|copyright))|©|\([cC]\)[ \t]*(?:(?i:copyright)|[0-9]{4}|[<\[{][ \t]*(?i:year|yyyy))"
-    r"|(?i:copyright)[ \t:]+(?:by[ \t]+)?(?!(?i:notices?|holders?|owners?|laws?|licen[cs](?:e|es|ed|or|ors|ing)|acts?|treat(?:y|ies)|statements?|interests?|protections?|permissions?|rights?|disclaimers?|infringements?|information|claims?"
-    r"|terms?|works?|materials?|status|and|or|in|to|is|are|of|for|by|on|under|as|with|that|which|if|shall|may|can|must|not)(?!\p{L}))\p{Lu})[^\n]*"
+#: Words behind "copyright" that don't make a line a copyright statement.
+NO_NAME = (
+    "notices?|holders?|owners?|laws?|licen[cs](?:e|es|ed|or|ors|ing)|acts?|treat(?:y|ies)|statements?|interests?|protections?|permissions?|rights?|disclaimers?|infringements?|information|claims?"
+    "|terms?|works?|materials?|status|and|or|in|to|is|are|of|for|by|on|under|as|with|that|which|if|shall|may|can|must|not"
 )
-#: As the SQL has it: every line that begins with the word or a sign.
-SQL_COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
+#: A line that is a copyright statement: the word or a sign, then (c), a year, a place for one, or a name.
+SIGNED = r"(?i:copyright)[ \t:,]*(?:\([cC]\)|©|[0-9]{4}|[<\[{(][ \t]*(?i:year|yyyy|dates?|name|owner|copyright))|©|\([cC]\)[ \t]*(?:(?i:copyright)|[0-9]{4}|[<\[{][ \t]*(?i:year|yyyy))"
+COPYRIGHT = rf"(^|\n)[ \t*#/;-]*(?:{SIGNED}|(?i:copyright)[ \t:]+(?:by[ \t]+)?(?!(?i:{NO_NAME})(?!\p{{L}}))\p{{Lu}})[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -94,21 +94,37 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     )
 
 
-def _sql_canonical(x: str) -> str:
-    x = f"lower(coalesce({x}, ''))"
+def _sql_lines(table: str, key: str, text: str) -> str:
+    """Rows (key, pos, line) of all lines, copyright statements emptied."""
+    named = r"regexp_extract(line, '^[ \t*#/;-]*(?i:copyright)[ \t:]+(by[ \t]+)?(\p{Lu}\p{L}*)', 2)"
+    statement = rf"regexp_matches(line, '^[ \t*#/;-]*(?:{SIGNED})') OR ({named} <> '' AND NOT regexp_full_match(lower({named}), '{NO_NAME}'))"
+    return f"""(SELECT {key}, pos, CASE WHEN {statement} THEN '' ELSE line END AS line
+  FROM (SELECT {key}, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM (SELECT {key}, string_split(coalesce({text}, ''), chr(10)) AS lines FROM {table})))"""
+
+
+def _sql_digest(x: str) -> str:
+    x = rf"regexp_replace(lower({x}), '\b(sub|non)-\s+', '\1-', 'g')"
     for a, b in SPELLINGS:
         x = f"replace({x}, '{a}', '{b}')"
-    return f"sha256(trim(regexp_replace(regexp_replace({x}, '{SQL_COPYRIGHT}', '\\1', 'g'), '{OTHER}', ' ', 'g')))"
+    return f"sha256(replace(trim(regexp_replace({x}, '{OTHER}', ' ', 'g')), 'copyright holder', 'copyright owner'))"
 
 
 def sql() -> str:
-    rows = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in KNOWN.items())
+    """The list's rule is made anew: whole texts, each name behind each notice, each identifier."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = lambda rows: ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+    texts = [*KNOWN.items(), *map(tuple, LISTED["texts"])]
+    names = [(k, n) for k, some in LISTED["names"].items() for n in some]
     return f"""
-WITH listed(license_id, body) AS (VALUES {rows}),
-known AS (SELECT {_sql_canonical("body")} AS known_digest, min(license_id) AS license_id FROM listed GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-notices AS (
-  SELECT doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notice_ids
-  FROM lines JOIN known k ON {_sql_canonical("line")} = k.known_digest WHERE contains(lower(line), 'licen') GROUP BY doc_id)
-SELECT d.doc_id, {_sql_canonical("d.text")} AS canonical_sha256, k.license_id, coalesce(n.notice_ids, '') AS notice_ids
-FROM documents d LEFT JOIN known k ON {_sql_canonical("d.text")} = k.known_digest LEFT JOIN notices n ON d.doc_id = n.doc_id"""
+WITH listed AS (
+  SELECT * FROM (VALUES {values(texts)}) t(license_id, body)
+  UNION ALL SELECT k || '-notice', a || n FROM (VALUES {values(names)}) t(k, n), (VALUES {values([(a,) for a in NOTICE])}) u(a) WHERE k[1:2] = 'CC' OR a[-3:] <> ' a '
+  UNION ALL SELECT k || '-notice', 'SPDX-License-Identifier: ' || k FROM (VALUES {values([(k,) for k in LISTED["spdx_ids"]])}) t(k)
+  UNION ALL SELECT 'public-domain-notice', x FROM (VALUES {values([(x,) for x in PUBLIC_DOMAIN])}) t(x)),
+numbered AS (SELECT *, row_number() OVER () AS i FROM listed),
+known_text AS (SELECT i, string_agg(line, chr(10) ORDER BY pos) AS body FROM {_sql_lines("numbered", "i", "body")} GROUP BY i),
+known AS (SELECT {_sql_digest("k.body")} AS known_digest, min(license_id) AS license_id FROM known_text k JOIN numbered USING (i) GROUP BY 1),
+lines AS MATERIALIZED (SELECT * FROM {_sql_lines("documents", "doc_id", "text")}),
+notices AS (SELECT doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notice_ids FROM lines JOIN known k ON {_sql_digest("line")} = k.known_digest WHERE line <> '' GROUP BY doc_id),
+whole AS (SELECT doc_id, {_sql_digest("string_agg(line, chr(10) ORDER BY pos)")} AS canonical_sha256 FROM lines GROUP BY doc_id)
+SELECT w.doc_id, canonical_sha256, k.license_id, coalesce(n.notice_ids, '') AS notice_ids FROM whole w LEFT JOIN known k ON canonical_sha256 = k.known_digest LEFT JOIN notices n ON w.doc_id = n.doc_id"""
