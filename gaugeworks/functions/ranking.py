@@ -1,7 +1,8 @@
-"""Exact ranks over a whole table without sorting it in one task."""
+"""Exact ranks, running sums and quantiles over a whole table without sorting it in one task."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder of spark.checkpoint.dir (a local folder only where that is unset)."""
+    """Cuts the lineage by a table in the shared folder of spark.checkpoint.dir. Unset, it is a temporary one for a session of one process and an error on a cluster."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-gaugeworks-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/gaugeworks/{uuid.uuid4().hex}"
@@ -32,6 +35,38 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return part.join(F.broadcast(start.drop("_n")), "_part").withColumn(name, rank).drop("_at", "_part", "_start")
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds, by name, the sum of a column over all rows up to each one in the given order (of distinct values): ranges are summed
+    apart, and each starts at the totals before it."""
+    part = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = part.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])  # a row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    run = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return part.join(F.broadcast(totals), "_part").select(*df.columns, *[(F.col(f"_{n}") + F.sum(c).over(run)).alias(n) for n, c in sums.items()])
+
+
+def group_rank(df: DataFrame, keys: list[str], *order: Column, name: str = "rank") -> DataFrame:
+    """Adds 1 .. n within each group, and the group's n as _n, without bringing a group into one task."""
+    ranked = global_rank(df, *[F.asc(k) for k in keys], *order, name=name)
+    groups = ranked.groupBy(*keys).agg(F.min(name).alias("_first"), F.count("*").alias("_n"))
+    other = groups.toDF(*[f"_{k}" for k in keys], "_first", "_n")
+    return ranked.join(other, [ranked[k].eqNullSafe(other[f"_{k}"]) for k in keys]).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first", *[f"_{k}" for k in keys])
+
+
+def exact_quantiles(df: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+    """Rows (by, quantiles array): linear between neighbours, of the values that are not null. Only the ranks that are asked for are
+    looked up, so no group's values meet in one place."""
+    ranked = global_rank(df.where(F.col(value).isNotNull()).select(by, value), F.asc(by), F.asc(value), name="_rank")
+    groups = ranked.groupBy(by).agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
+    place = [F.lit(float(s)) * (F.col("_n") - 1) for s in shares]
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in place])))
+    asked = groups.withColumn("_at", F.explode(wanted)).withColumn("_rank", F.col("_first") + F.col("_at")).drop("_first")
+    found = asked.join(ranked.select("_rank", F.col(value).cast("double").alias("_x")), "_rank").groupBy(by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_x"))).alias("_of"))
+    at = lambda p: F.element_at("_of", p)
+    return found.select(by, F.array(*[at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * (p - F.floor(p)) for p in place]).alias("quantiles"))
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows, by a top-n of each partition."""
     return df.orderBy(*order).limit(n)

@@ -42,6 +42,36 @@ def table_diff(before: DataFrame, after: DataFrame, tolerance: float = 1e-9) ->
     return j.agg(F.count_if(F.col("r").isNull()).alias("removed"), F.count_if(F.col("l").isNull()).alias("added"), F.count_if(F.abs(F.col("a") - F.col("b")) > tolerance).alias("moved"), F.max(F.abs(F.col("a") - F.col("b"))).alias("largest_move"))
 
 
+def priority_changes(before: DataFrame, after: DataFrame, k: int, tolerance: float = 1e-9) -> DataFrame:
+    """Rows (id, changes) for ids whose score (beyond the tolerance), rank, prediction or place among the first k differs between two
+    saved priority tables (id, rank, score, prediction), and for ids of one table only. changes: array of (field, before, after)."""
+    side = lambda df, n: df.select("id", F.struct(F.col("score").cast("double").alias("score"), F.col("rank").cast("double").alias("rank"), F.col("prediction").cast("double").alias("prediction"), (F.col("rank") <= k).cast("double").alias("selected")).alias(n))
+    j = side(before, "a").join(side(after, "b"), "id", "full")
+    differs = lambda f: ~(F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))) & ~F.coalesce(F.abs(F.col(f"a.{f}") - F.col(f"b.{f}")) <= (tolerance if f == "score" else 0.0), F.lit(False))
+    found = F.array_compact(F.array(*[F.when(differs(f), F.struct(F.lit(f).alias("field"), F.col(f"a.{f}").alias("before"), F.col(f"b.{f}").alias("after"))) for f in ("score", "rank", "prediction", "selected")]))
+    return j.select("id", found.alias("changes")).where(F.size("changes") > 0)
+
+
+def rank_permutation(df: DataFrame) -> DataFrame:
+    """One row: whether the ranks of a saved table are 1 .. n, each once."""
+    out = df.agg(F.count("*").alias("n_rows"), F.min("rank").alias("least"), F.max("rank").alias("largest"), F.count_distinct("rank").alias("different"))
+    return out.withColumn("is_permutation", (F.col("n_rows") == 0) | F.coalesce((F.col("least") == 1) & (F.col("largest") == F.col("n_rows")) & (F.col("different") == F.col("n_rows")), F.lit(False)))
+
+
+def budget_gate(original: DataFrame, eligible: DataFrame, held: DataFrame, id_col: str, declared_k: int, count: int | None = None, numerator: int = 1, denominator: int = 10, basis: str = "eligible") -> DataFrame:
+    """cohort_gate and the budget: k by a fixed count, or the least whole number not below a fraction of the basis (original or eligible).
+    Adds expected_k and the first reason against the declaration (null: none)."""
+    sizes = original.select(id_col).distinct().agg(F.count("*").alias("original_count")).join(eligible.select(id_col).distinct().agg(F.count("*").alias("eligible_count")), how="cross")
+    n = F.col(f"{basis}_count")
+    k = F.lit(count).cast("long") if count is not None else F.expr(f"({basis}_count * {numerator} + {denominator - 1}) div {denominator}")
+    out = cohort_gate(original, eligible, held, id_col).join(sizes, how="cross").withColumn("expected_k", F.when(n.isNotNull(), k))
+    reason = (
+        F.when(F.col("in_both") > 0, "eligible_and_held_overlap").when(F.col("in_neither") + F.col("foreign") > 0, "original_not_parted").when(F.lit(count is None and numerator > denominator), "fraction_exceeds_one")
+        .when(F.col("expected_k") != declared_k, "declared_k_differs").when(F.col("expected_k") > F.col("eligible_count"), "budget_exceeds_eligible")
+    )
+    return out.withColumn("reason", reason)
+
+
 def cohort_gate(original: DataFrame, eligible: DataFrame, held: DataFrame, id_col: str) -> DataFrame:
     """Whether eligible and held part the original: what is in both, in neither, and not of it."""
     j = original.select(id_col, F.lit(1).alias("o")).join(eligible.select(id_col, F.lit(1).alias("e")), id_col, "full").join(held.select(id_col, F.lit(1).alias("h")), id_col, "full")

@@ -59,21 +59,79 @@ def coverage(df: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
 
 def regularise(df: DataFrame, key: str, ts: str, value: str, step: int, skew: int) -> tuple[DataFrame, DataFrame]:
     """(slots, rejected): readings on the nearest multiple of step seconds (halves to the even slot) if they lie within
-    skew seconds of it. In a slot a value beats a null, then the nearest, then the earliest wins; different values of
-    one slot reject the slot."""
+    skew seconds of it. In a slot a value beats a null, then a reading on the grid, then the earliest wins. Readings too far
+    off (`clock_skew`) and all readings of a slot with different values (`slot_conflict`) are rejected with that reason."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     slot = F.rint(us / F.lit(step * 1_000_000)).cast("long") * step
     df = df.withColumn("slot", slot).withColumn("off", F.abs(us - F.col("slot") * 1_000_000))
-    best = F.min_by(value, F.struct(F.col(value).isNull(), "off", us))
-    slots = df.where(F.col("off") <= skew * 1_000_000).groupBy(key, "slot").agg(best.alias("value"), F.count("*").alias("readings"), (F.max(value) - F.min(value)).alias("spread"))
-    return slots.where("spread is null or spread <= 1e-9").drop("spread").withColumn("clipped", F.greatest("value", F.lit(0.0))), df.where(F.col("off") > skew * 1_000_000)
+    near = df.where(F.col("off") <= skew * 1_000_000)
+    best = F.min_by(F.struct(F.col(value).alias("value"), (F.col("off") > 0).alias("adjusted")), F.struct(F.col(value).isNull(), F.col("off") > 0, us))
+    slots = near.groupBy(key, "slot").agg(best.alias("best"), F.count("*").alias("readings"), F.count_if(F.col(value).isNull()).alias("nulls"), (F.max(value) - F.min(value)).alias("spread"))
+    agrees = F.coalesce(F.col("spread") <= 1e-9, F.lit(True))
+    good = slots.where(agrees).select(key, "slot", "best.value", "readings", F.when(F.col("best.value").isNotNull(), F.greatest("best.value", F.lit(0.0))).alias("clipped"), "best.adjusted", "nulls")
+    conflicts = near.join(slots.where(~agrees).select(key, "slot"), [key, "slot"], "left_semi").withColumn("reason", F.lit("slot_conflict"))
+    far = df.where(F.col("off") > skew * 1_000_000).withColumn("reason", F.lit("clock_skew"))
+    return good, far.unionByName(conflicts)
+
+
+def on_grid(slots: DataFrame, key: str, start: int, end: int, step: int) -> DataFrame:
+    """A row for each key and slot from start (epoch seconds) up to, not including, end: those without a reading are `missing`."""
+    grid = slots.select(key).distinct().withColumn("slot", F.explode(F.sequence(F.lit(start), F.lit(end - 1), F.lit(step))))
+    out = grid.join(slots.where(F.col("slot").between(start, end - 1)), [key, "slot"], "left")
+    return out.withColumn("missing", F.col("readings").isNull()).withColumn("adjusted", F.coalesce("adjusted", F.lit(False)))
+
+
+def grid_audit(filled: DataFrame, key: str) -> DataFrame:
+    """By key of on_grid(): rows, slots missing from the source, adjusted ones, collisions, values that beat a null, values still missing, negatives clipped."""
+    return filled.groupBy(key).agg(
+        F.count("*").alias("normalized_rows"), F.count_if("missing").alias("missing_slots"), F.count_if("adjusted").alias("rounded"), F.count_if(F.col("readings") > 1).alias("collisions"),
+        F.count_if((F.col("readings") - F.col("nulls") == 1) & (F.col("nulls") > 0)).alias("value_over_null"), F.count_if(F.col("value").isNull()).alias("missing_values"), F.count_if(F.col("value") < 0).alias("clipped_negatives"),
+    )
+
+
+def split_mapping(mapping: DataFrame, files: list[str], label: str, expected: DataFrame) -> DataFrame:
+    """Findings (kind, item, n) of a segment mapping (split, label, file columns): counts by split and label that differ from the
+    expected table (split, label, n), and files that occur more than once, within a split or across splits."""
+    counts = mapping.groupBy("split", label).agg(F.count("*").alias("n"))
+    j = expected.withColumnRenamed("n", "wanted").join(counts, ["split", label], "full").where(~F.col("wanted").eqNullSafe(F.col("n")))
+    off = j.select(F.lit("count").alias("kind"), F.concat_ws(":", "split", F.col(label).cast("string")).alias("item"), F.coalesce("n", F.lit(0)).alias("n"))
+    each = mapping.select("split", F.explode(F.array(*files)).alias("file")).groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits")).where("n > 1")
+    again = each.select(F.when(F.col("splits") > 1, "file_across_splits").otherwise("file_within_split").alias("kind"), F.col("file").cast("string").alias("item"), "n")
+    return off.unionByName(again)
+
+
+#: Fixed value: a time with date, clock and zone.
+ZONED = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:\.(\d{1,18}))?(Z|[+-]\d{2}:\d{2})$"
+
+
+def zoned_instant(text: Column) -> Column:
+    """(seconds, fraction) of a text with a zone, at the full precision that is written: fractions are compared as padded digits. Null if it isn't one."""
+    part = lambda i: F.regexp_extract(text, ZONED, i)
+    second = F.unix_seconds(F.try_to_timestamp(F.concat(part(1), part(3))))
+    return F.when(second.isNotNull() & text.rlike(ZONED), F.struct(second.alias("second"), F.rpad(part(2), 18, "0").alias("fraction")))
+
+
+def screening_input(df: DataFrame, stream: list[str], position: str, ts: str, value: str) -> DataFrame:
+    """Adds reasons to rows of an equipment's export, in the order of `position` within a stream: a time without a zone, times that don't
+    increase (compared at full precision), values that are no number, no finite number or negative."""
+    number = F.col(value).cast("string")
+    x = number.try_cast("double")
+    w = Window.partitionBy(*stream).orderBy(position)
+    df = df.withColumn("_at", zoned_instant(F.col(ts)))
+    rules = [
+        Rule("time_not_zoned", F.col("_at").isNull()),
+        Rule("time_not_increasing", F.col("_at") <= F.lag("_at").over(w)),
+        Rule("value_not_numeric", number.isNotNull() & (F.trim(number) != "") & ~F.coalesce(finite(x), F.lit(False))),
+        Rule("value_negative", x < 0),
+    ]
+    return with_reasons(df, rules).withColumn("number", x).drop("_at")
 
 
 def cadence(df: DataFrame, key: str, *order: str, ts: str = "ts") -> DataFrame:
-    """By series: rows, steps that don't increase, median, least and largest step in seconds."""
+    """By series: rows, steps that don't increase, median, least and largest step in microseconds."""
     w = Window.partitionBy(key).orderBy(*order)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    step = df.select(key, ((us - F.lag(us).over(w)) / 1e6).alias("step"))
+    step = df.select(key, (us - F.lag(us).over(w)).alias("step"))
     return step.groupBy(key).agg(F.count("*").alias("n_rows"), F.count_if(F.col("step") <= 0).alias("not_increasing"), F.percentile("step", F.lit(0.5)).alias("median_step"), F.min("step").alias("min_step"), F.max("step").alias("max_step"))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.ranking import global_rank
+from gaugeworks.functions.ranking import exact_quantiles, global_rank, group_rank, running_sums
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -25,8 +25,7 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 def pr_points(df: DataFrame) -> DataFrame:
     """By distinct score, highest first: positives and rows so far. Equal scores come together."""
     by = df.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    run = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # distinct scores, not rows
-    return by.withColumn("seen", F.sum("n").over(run)).withColumn("captured", F.sum("pos").over(run))
+    return running_sums(by, [F.desc("score")], {"seen": "n", "captured": "pos"})
 
 
 def average_precision(df: DataFrame) -> DataFrame:
@@ -35,18 +34,17 @@ def average_precision(df: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
-    p = pr_points(df).withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    q = p.withColumn("below", F.coalesce(below, F.lit(0)))
-    return q.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    """Null without positives or without negatives."""
+    neg, above = F.col("n") - F.col("pos"), F.col("seen") - F.col("captured")
+    c = pr_points(df).agg(F.sum(F.col("pos") * (neg / 2 - above)).alias("a"), F.sum("pos").alias("p"), F.sum(neg).alias("q"))
+    return c.select(F.try_divide(F.col("a") + F.col("p") * F.col("q"), F.col("p") * F.col("q")).alias("roc_auc"))
 
 
 def top_k(df: DataFrame, fractions: list[float], cost: float = 1.0, missed_cost: float = 20.0) -> DataFrame:
     """Capture of positives within budgets, and what inspection and misses would cost. Ranks come from sorted ranges."""
     n, total = df.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     budgets = {f: math.ceil(n * f) for f in fractions}
-    first = df.select("label", F.col("id").cast("string").alias("id"), "score").orderBy(F.desc("score"), "id").limit(max([0, *budgets.values()]))
-    ranked = global_rank(first, F.desc("score"), F.asc("id"))
+    ranked = global_rank(df.select("label", F.col("id").cast("string").alias("id"), "score"), F.desc("score"), F.asc("id"))
     hits = ranked.agg(F.lit(1).alias("one"), *[F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("label"))), F.lit(0)).alias(f"h{i}") for i, k in enumerate(budgets.values())])
     rows = hits.select(F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(k).cast("long").alias("inspected"), F.col(f"h{i}").alias("captured")) for i, (f, k) in enumerate(budgets.items())])).alias("r")).select("r.*")
     precision, missed = ratio(F.col("captured"), F.col("inspected")), F.lit(total) - F.col("captured")
@@ -65,18 +63,28 @@ def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def psi(reference: DataFrame, current: DataFrame, value: str, by: str | None = None, bins: int = 10) -> DataFrame:
-    """Population stability by group: bins from the reference's quantiles, one more for missing values, shares of at least 1e-6; null where a group has no rows on one side."""
+    """Population stability by group: bins from the reference's quantiles, one more for missing values (null or NaN), shares of at
+    least 1e-6. A constant or an all-missing reference gives 0 if the current values are the same, else infinity. Null where a
+    group has no rows on one side."""
     by = by or "_all"
-    ref, cur = ((d if by in d.columns else d.withColumn(by, F.lit(1))).select(by, F.col(value).alias("x")) for d in (reference, current))
-    edges = ref.groupBy(by).agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
-    inner = F.filter("edges", lambda e, i: (i > 0) & (i < F.size("edges") - 1))
-    place = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter(inner, lambda e: e <= F.col("x"))))
-    both = ref.withColumn("w", F.lit(0)).unionByName(cur.withColumn("w", F.lit(1))).join(edges, by).withColumn("bin", place)
-    counts = both.groupBy(by, "bin").agg(F.count_if(F.col("w") == 0).alias("r"), F.count_if(F.col("w") == 1).alias("c"))
-    sums = counts.groupBy(by).agg(F.sum("r").alias("rn"), F.sum("c").alias("cn"))
-    share = lambda n, of: F.when(F.col(of) > 0, F.greatest(F.try_divide(n, of), F.lit(1e-6)))
+    x = F.col(value).cast("double")
+    ref, cur = ((d if by in d.columns else d.withColumn(by, F.lit(1))).select(by, F.when(~F.isnan(x), x).alias("x")) for d in (reference, current))
+    inner = F.array_distinct("quantiles")
+    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
+    edges = exact_quantiles(ref, by, "x", [i / bins for i in range(bins + 1)]).select(by, inner.alias("edges"))
+    both = ref.withColumn("w", F.lit(0)).unionByName(cur.withColumn("w", F.lit(1))).join(edges, by, "left")
+    place = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e <= F.col("x"))))
+    side = lambda f, k: f(F.when(F.col("w") == k, F.col("x")))
+    counts = both.groupBy(by, place.alias("bin")).agg(F.count_if(F.col("w") == 0).alias("r"), F.count_if(F.col("w") == 1).alias("c"), side(F.min, 0).alias("r0"), side(F.max, 0).alias("r1"), side(F.min, 1).alias("c0"), side(F.max, 1).alias("c1"))
+    sums = counts.groupBy(by).agg(F.sum("r").alias("rn"), F.sum("c").alias("cn"), F.min("r0").alias("r_low"), F.max("r1").alias("r_high"), F.min("c0").alias("c_low"), F.max("c1").alias("c_high"))
+    share = lambda n, of: F.greatest(F.try_divide(n, of), F.lit(1e-6))
     r, c = share("r", "rn"), share("c", "cn")
-    return counts.join(sums, by).groupBy(by).agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
+    keys = [by, "rn", "cn", "r_low", "r_high", "c_low", "c_high"]
+    found = counts.join(sums, by).groupBy(*keys).agg(F.sum((c - r) * F.log(c / r)).alias("varying"))
+    same = F.coalesce((F.col("c_low") == F.col("r_low")) & (F.col("c_high") == F.col("r_low")), F.col("c_low").isNull())
+    flat = F.col("r_low").isNull() | (F.col("r_low") == F.col("r_high"))
+    out = F.when((F.col("rn") > 0) & (F.col("cn") > 0), F.when(flat, F.when(same, 0.0).otherwise(math.inf)).otherwise(F.col("varying")))
+    return found.select(by, out.alias("psi"))
 
 
 def sign_flip(differences: DataFrame, value: str = "d", most: int = 16) -> DataFrame:
@@ -94,6 +102,37 @@ def grouped_counts(df: DataFrame, protocol: str, domain: str) -> DataFrame:
     return df.groupingSets([[protocol, domain], [protocol]], protocol, domain).agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg("score").alias("mean_score"))
 
 
+def by_domain(df: DataFrame, protocol: str, domain: str, fraction: float = 0.1, threshold: float = 0.5) -> DataFrame:
+    """Metrics by protocol and domain, and over all domains of a protocol (domain null): rows, positives, average precision, ROC AUC
+    (null without both labels), recall and false alarms at the threshold, and captures within a budget of a share of the rows.
+    Equal scores come together in the curves and go by id as text in the budget."""
+    rows = df.select(protocol, domain, F.lit(0).alias("whole"), F.col("id").cast("string").alias("id"), "label", "score")
+    rows = rows.unionByName(rows.withColumn(domain, F.lit(None).cast(df.schema[domain].dataType)).withColumn("whole", F.lit(1)))
+    keys = [protocol, "whole", domain]
+    hit, y = F.col("score") >= threshold, F.col("label") == 1
+    ranked = group_rank(rows, keys, F.desc("score"), F.asc("id"))
+    flat = ranked.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum("label").alias("positives"), ratio(F.count_if(hit & y), F.count_if(y)).alias("recall"), ratio(F.count_if(hit & ~y), F.count_if(~y)).alias("false_alarm_rate"),
+        F.coalesce(F.sum(F.when(F.col("rank") <= F.ceil(F.col("_n") * fraction), F.col("label"))), F.lit(0)).alias("captured"),
+    )
+    curve = rows.groupBy(*keys, "score").agg(F.count("*").alias("m"), F.sum("label").alias("pos"))
+    curve = running_sums(curve, [*[F.asc(k) for k in keys], F.desc("score")], {"seen": "m", "hits": "pos"})
+    start = curve.groupBy(*keys).agg(F.min(F.col("seen") - F.col("m")).alias("_seen"), F.min(F.col("hits") - F.col("pos")).alias("_hits")).toDF(*[f"_{k}" for k in keys], "_seen", "_hits")
+    curve = curve.join(start, [curve[k].eqNullSafe(start[f"_{k}"]) for k in keys]).withColumn("seen", F.col("seen") - F.col("_seen")).withColumn("hits", F.col("hits") - F.col("_hits"))
+    neg = F.col("m") - F.col("pos")
+    area = curve.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("hits") / F.col("seen")).alias("a"), F.sum(F.col("pos") * (neg / 2 - (F.col("seen") - F.col("hits")))).alias("u"), F.sum("pos").alias("p"), F.sum(neg).alias("q"))
+    pq = F.col("p") * F.col("q")
+    area = area.select(*keys, F.try_divide("a", "p").alias("average_precision"), F.try_divide(F.col("u") + pq, pq).alias("roc_auc"))
+    same = [flat[k].eqNullSafe(area[k]) for k in keys]
+    return flat.join(area, same).select(flat[protocol], flat[domain], "n", "positives", "average_precision", "roc_auc", "recall", "false_alarm_rate", "captured")
+
+
+def cost_choices(costs: DataFrame, near: float = 0.1) -> DataFrame:
+    """Two rows of a cost table: that with the least cost (ties: the smaller fraction), and that whose fraction is nearest to `near`."""
+    best, close = F.min_by(F.struct("*"), F.struct("cost", "fraction")), F.min_by(F.struct("*"), F.struct(F.abs(F.col("fraction") - near), F.col("fraction")))
+    return costs.agg(F.array(F.struct(F.lit("least_cost").alias("choice"), best.alias("row")), F.struct(F.lit("nearest").alias("choice"), close.alias("row"))).alias("a")).select(F.inline("a")).select("choice", "row.*")
+
+
 def cv_summary(metrics: DataFrame, value: str = "average_precision") -> DataFrame:
     """By candidate over folds: mean, sample deviation, least, largest."""
     return metrics.groupBy("candidate", "family").agg(F.count("*").alias("folds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("largest"))
@@ -145,6 +184,13 @@ def contrasts(summary: DataFrame, family: str, mode: str, value: str, pairs: lis
     return wide.select(family, F.inline(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), (F.col(a) - F.col(b)).alias("difference")) for a, b in pairs])))
 
 
+def disagreement(summary: DataFrame, family: str, mode: str, curve: str, capture: str, pairs: list[tuple[str, str]], least: float = 1e-3) -> DataFrame:
+    """By family and pair of modes: both values' differences, and whether the curve moves by more than `least` one way and the captures the other."""
+    a, b = (contrasts(summary, family, mode, v, pairs).withColumnRenamed("difference", f"{v}_difference") for v in (curve, capture))
+    x, y = F.col(f"{curve}_difference"), F.col(f"{capture}_difference")
+    return a.join(b, [family, "contrast"]).withColumn("disagree", F.coalesce((F.abs(x) > least) & (x * y < 0), F.lit(False)))
+
+
 def capture_interval(draws: DataFrame, scored: DataFrame, fractions: list[float], confidence: float = 0.95) -> DataFrame:
     """Percentile interval of capture by fraction over replicates (rows rep, i, id of bootstrap draws). Replicates without a positive are left out."""
     rows = draws.join(scored.select("id", "score", "label", F.col("id").cast("string").alias("_name")), "id")

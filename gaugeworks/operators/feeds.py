@@ -122,12 +122,43 @@ def energy(df: DataFrame, key: str, ts: str, wh: str, points: str) -> DataFrame:
     return with_reasons(df.withColumn("mean_power_w", F.col(wh) * 2.0), rules)
 
 
-def modelled_hours(df: DataFrame, time: str, values: list[str], flag: str) -> DataFrame:
-    """Adds ts (from yyyyMMdd:HHmm) and reasons: times readable, values finite and not negative, flag 0 or 1."""
+def modelled_hours(df: DataFrame, time: str, values: list[str], flag: str, key: str | None = None) -> DataFrame:
+    """Adds ts (from yyyyMMdd:HHmm) and reasons: times readable, values finite and not negative, flag 0 or 1; with a key also times
+    that repeat in a series, and rows that don't follow the one before by an hour."""
     out = df.withColumn("ts", F.try_to_timestamp(F.col(time), F.lit("yyyyMMdd:HHmm")))
     rules = [Rule("time_not_readable", F.col("ts").isNull())]
     rules += [Rule(f"{v}_not_valid", ~F.coalesce(finite(F.col(v)) & (F.col(v) >= 0), F.lit(False))) for v in values]
-    return with_reasons(out, [*rules, Rule("flag_not_valid", ~F.coalesce(F.col(flag).isin(0, 1), F.lit(False)))])
+    rules += [Rule("flag_not_valid", ~F.coalesce(F.col(flag).isin(0, 1), F.lit(False)))]
+    if key is not None:
+        us = micros("ts")
+        step = us - F.lag(us).over(Window.partitionBy(key).orderBy("ts"))
+        rules += [Rule("time_repeated", F.col("ts").isNotNull() & _repeated(key, "ts")), Rule("hour_gap", (step != 0) & (step != 3_600_000_000))]
+    return with_reasons(out, rules)
+
+
+def half_hours(df: DataFrame, key: str, ts: str, value: str, nature: str, expected: str | None = None, continuous: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(accepted half-hours, rejected rows) of a feed of quarter-hours: quarter_hours' rules, the expected revision status if one is
+    named, and, where continuous, each half-hour half an hour after the one before. Structural slots are dropped once they are checked."""
+    checked = quarter_hours(df, key, ts, value).withColumn("status", revision_status(F.col(nature)))
+    step = micros(ts) - F.max(F.when(~F.col("structural"), micros(ts))).over(Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(Window.unboundedPreceding, -1))
+    gap = F.lit(continuous) & ~F.col("structural") & (step != 1_800_000_000)
+    status = F.lit(expected is not None) & ~F.col("status").eqNullSafe(F.lit(expected))
+    more = F.array_compact(F.array(F.when(gap, "not_continuous"), F.when(status, "status_not_expected")))
+    checked = checked.withColumn("_more", more).withColumn("reasons", F.concat("reasons", "_more")).drop("_more")
+    return checked.where((F.size("reasons") == 0) & ~F.col("structural")).drop("reasons", "structural"), checked.where(F.size("reasons") > 0)
+
+
+def report_rules(report: str, ranges: dict[str, tuple[float | None, float | None]], flags: list[str], above_zero: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules for reports in a map of texts: every key present, numbers finite and in their closed range (or above zero), flags true or false."""
+    out = []
+    for k, (low, high) in ranges.items():
+        x = F.try_element_at(report, F.lit(k)).try_cast("double")
+        bad = ~F.coalesce(finite(x), F.lit(False))
+        for edge in [x < low] * (low is not None) + [x > high] * (high is not None) + [x <= 0] * (k in above_zero):
+            bad = bad | F.coalesce(edge, F.lit(False))
+        out.append(Rule(f"{k}_not_valid", F.map_contains_key(report, F.lit(k)) & bad))
+    out += [Rule(f"{k}_not_boolean", F.map_contains_key(report, F.lit(k)) & ~F.coalesce(F.lower(F.try_element_at(report, F.lit(k))).isin("true", "false"), F.lit(False))) for k in flags]
+    return [Rule(f"{k}_missing", ~F.coalesce(F.map_contains_key(report, F.lit(k)), F.lit(False))) for k in [*ranges, *flags]] + out
 
 
 def station_years(df: DataFrame, station: str, name: str, ts: str, joules: str) -> DataFrame:

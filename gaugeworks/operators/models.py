@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.ranking import global_rank
-from gaugeworks.operators.evaluate import average_precision
+from gaugeworks.operators import splits
+from gaugeworks.operators.evaluate import average_precision, calibration, classification_metrics, roc_auc, top_k
+from gaugeworks.sources.sinks import guard_target, load_model, publish, rows_digest
 
 
 def candidates(n: int, features: list[str]) -> dict[str, Pipeline]:
@@ -90,3 +92,66 @@ def priority_table(scored: DataFrame, id_col: str, threshold: float) -> DataFram
     """Adds rank (score descending, then id as text) and prediction."""
     named = scored.withColumn("_name", F.col(id_col).cast("string"))
     return global_rank(named, F.desc("score"), F.asc("_name")).drop("_name").withColumn("prediction", (F.col("score") >= threshold).cast("int"))
+
+
+def walk_forward_scores(df: DataFrame, ts: str, features: list[str], names: list[str], folds: int = 4, inner: int = 3, initial: float = 0.55) -> tuple[DataFrame, DataFrame]:
+    """(one row for each fold, scores of the folds that could be evaluated). df: id, label, ts, features without nulls.
+
+    In each fold the candidate is selected by cross-validation within the rows before the block and fitted on them, and scores the block.
+    A fold whose labels don't allow that is SKIPPED with its reason. Fitting errors are not hidden."""
+    parts = splits.walk_forward(df, ts, initial, folds).persist()
+    reasons = {r["fold"]: r["skip_reason"] for r in splits.skip_reasons(parts, least=inner).collect()}  # a row for each fold
+    rows, scored = [], None
+    for k in range(1, folds + 1):
+        mine = parts.where(F.col("fold") == k)
+        train, test = mine.where("role = 'train'").drop("fold", "role"), mine.where("role = 'test'").drop("fold", "role")
+        c = mine.agg(F.count_if(F.col("role") == "train").alias("n"), F.count_if(F.col("role") == "test").alias("m"), F.sum(F.when(F.col("role") == "test", F.col("label"))).alias("fails"), F.min(F.when(F.col("role") == "test", F.col(ts))).alias("a"), F.max(F.when(F.col("role") == "test", F.col(ts))).alias("b")).first()
+        row = {"fold": k, "status": "SKIPPED", "skip_reason": reasons.get(k), "candidate": None, "train_rows": c["n"], "test_rows": c["m"], "fails": int(c["fails"] or 0), "test_start": str(c["a"]), "test_end": str(c["b"]), "average_precision": None, "brier": None, "ece": None}
+        if reasons.get(k) is None:
+            folded = train.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(inner)))
+            best, model = select(folded, features, names, inner)
+            s = score(model, test).withColumn("fold", F.lit(k))
+            cal = calibration(s).first()
+            row |= {"status": "EVALUATED", "candidate": best, "average_precision": average_precision(s).first()[0], "brier": cal["brier"], "ece": cal["ece"]}
+            scored = s if scored is None else scored.unionByName(s)
+        rows.append(row)
+    schema = "fold int, status string, skip_reason string, candidate string, train_rows long, test_rows long, fails long, test_start string, test_end string, average_precision double, brier double, ece double"
+    empty = df.select("id", "label", F.lit(0.0).alias("score"), F.lit(0).alias("fold")).limit(0)
+    return df.sparkSession.createDataFrame(rows, schema), empty if scored is None else scored
+
+
+def calibrated_scores(model: PipelineModel, held_back: DataFrame, df: DataFrame) -> DataFrame:
+    """Scores of df with a further column `calibrated`, by a sigmoid fitted on the held-back rows' scores."""
+    fitted = platt(score(model, held_back))
+    return fitted.transform(score(model, df)).select("id", "label", "score", vector_to_array("calibrated")[1].alias("calibrated"))
+
+
+def verify_selection(manifest: dict, train: DataFrame, features: list[str], known: list[str], id_col: str = "id", label: str = "label") -> None:
+    """Raises unless a saved model's manifest names a known candidate, these features in this order, and these training rows."""
+    now = train.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("positives"), rows_digest(id_col, label).alias("rows_digest")).first().asDict()
+    wrong = [k for k, v in now.items() if manifest[k] != v]
+    wrong += ["candidate"] * (manifest["candidate"] not in known) + ["features"] * (list(manifest["features"]) != list(features))
+    if wrong:
+        raise ValueError(f"the saved model was not made so: {sorted(wrong)} differ")
+
+
+def locked_scores(path: str, df: DataFrame, declared: dict, target: str, fractions: list[float], id_col: str = "id", label: str = "label") -> dict[str, DataFrame]:
+    """One evaluation with a saved model: nothing is fitted or tuned. declared: what was approved (features_sha256, rows_digest of the data
+    set, n_rows). The target must be absent or empty. Tables, written when all are ready: predictions (ranked), metrics, budgets."""
+    spark = df.sparkSession
+    guard_target(spark, target)
+    model, manifest = load_model(spark, path)
+    features = list(manifest["features"])
+    if lacking := sorted(set(features) - set(df.columns)):
+        raise ValueError(f"features {lacking[:5]} are absent")
+    actual = df.agg(F.count("*").alias("n_rows"), rows_digest(id_col, label).alias("rows_digest")).first().asDict() | {"features_sha256": manifest["features_sha256"]}
+    if wrong := [k for k, v in declared.items() if actual.get(k) != v]:
+        raise ValueError(f"not what was approved: {wrong} differ")
+    s = score(model, df.withColumnRenamed(id_col, "id").withColumnRenamed(label, "label"))
+    if not s.where(~F.coalesce(F.col("score").between(0, 1), F.lit(False))).isEmpty():
+        raise ValueError("a score is outside 0 to 1")
+    ranked = priority_table(s, "id", 0.5)
+    metrics = classification_metrics(s).join(average_precision(s), how="cross").join(roc_auc(s), how="cross").join(calibration(s), how="cross")
+    tables = {"predictions": ranked, "metrics": metrics, "budgets": top_k(s, fractions)}
+    publish(tables, target)
+    return {k: spark.read.parquet(f"{target}/{k}") for k in tables}

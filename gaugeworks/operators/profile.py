@@ -43,9 +43,43 @@ def standardised_difference(summary: DataFrame, feature: str, label: str) -> Dat
 
 
 def without_maximum(df: DataFrame, feature: str, label: str, value: str, order: str) -> DataFrame:
-    """Means with and without each group's largest value (ties: the first in order)."""
-    top = df.where(F.col(value).isNotNull()).groupBy(feature, label).agg(F.max(value).alias("largest"), F.count(value).alias("n"), F.sum(value).alias("s"))
-    return top.select(feature, label, (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, (F.col("s") - F.col("largest")) / (F.col("n") - 1)).alias("mean_without_max"))
+    """By feature and label: the row with the largest value (ties: the first in order) and how many tie, and the group's mean and
+    deviation with and without that row."""
+    known = df.where(F.col(value).isNotNull())
+    x = F.col(value)
+    g = known.groupBy(feature, label).agg(F.max_by(F.struct(F.col(order).alias("id")), F.struct(x, -F.col(order)))["id"].alias("excluded_id"), F.max(x).alias("largest"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+    rows = known.select(feature, label, order, value).join(g, [feature, label])
+    left = (F.col(order) != F.col("excluded_id"))
+    return rows.groupBy(feature, label, "excluded_id", "largest", "mean", "std").agg(
+        F.count_if(x == F.col("largest")).alias("ties"), F.avg(F.when(left, x)).alias("mean_without_max"), F.stddev_samp(F.when(left, x)).alias("std_without_max"))
+
+
+def group_summary_by_month(df: DataFrame, feature: str, label: str, value: str, ts: str) -> DataFrame:
+    """group_summary with the month as a further key."""
+    keyed = df.withColumn("_key", F.struct(F.col(feature), F.date_format(ts, "yyyy-MM").alias("month")))
+    return group_summary(keyed, "_key", label, value).select(F.col(f"_key.{feature}").alias(feature), F.col("_key.month").alias("month"), *[c for c in (label, "n", "observed", "missing_rate", "mean", "std", "q5", "q25", "q50", "q75", "q95")])
+
+
+def quality_report(df: DataFrame, asset: str, ts: str, measurements: list[str]) -> DataFrame:
+    """One row on a batch: readings, assets, first and last time, missing cells and their rate (0 without cells)."""
+    gone = sum([F.count_if(F.col(m).isNull()) for m in measurements], F.lit(0))
+    out = df.agg(F.count("*").alias("readings"), F.count_distinct(asset).alias("assets"), F.min(ts).alias("event_time_min"), F.max(ts).alias("event_time_max"), gone.cast("long").alias("missing_cells"))
+    return out.withColumn("missing_rate", F.coalesce(F.try_divide("missing_cells", F.col("readings") * len(measurements)), F.lit(0.0)))
+
+
+def audit_order(df: DataFrame, features: list[str], ts: str, position: str) -> DataFrame:
+    """One row: times that couldn't be read, first and last time, rows that repeat a time, steps back in the order of `position`, features
+    without any value, and features that equal an earlier one (nulls equal nulls). The order is laid out in ranges, not in one task."""
+    from gaugeworks.functions.ranking import global_rank
+    from gaugeworks.operators.features import equal_features
+
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    ranked = global_rank(df.where(F.col(ts).isNotNull()).select(F.col(position), us.alias("_us")), F.asc(position))
+    pairs = ranked.select("rank", "_us").join(ranked.select((F.col("rank") + 1).alias("rank"), F.col("_us").alias("_last")), "rank")
+    back = pairs.agg(F.count_if(F.col("_us") < F.col("_last")).alias("time_reversals"))
+    empty = sum([F.when(F.count(c) == 0, 1).otherwise(0) for c in features], F.lit(0))
+    out = df.agg(F.count_if(F.col(ts).isNull()).alias("time_failures"), F.min(ts).alias("time_min"), F.max(ts).alias("time_max"), (F.count(ts) - F.count_distinct(ts)).alias("repeated_time_rows"), empty.cast("long").alias("all_missing"))
+    return out.join(back, how="cross").withColumn("duplicate_features", F.lit(len(equal_features(df, position, features))).cast("long"))
 
 
 def monthly(df: DataFrame, ts: str, label: str) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.ranking import global_rank
+from gaugeworks.operators.contracts import screening_input
+from gaugeworks.operators.review import evidence_digest, review_identity
+
 #: Bias of the mean moving range of two; order of review.
 D2 = 1.128
 TIERS = {"baseline_review_required": (0, "BLOCKED_BASELINE"), "above_limit": (1, "P1_LIMIT_SIGNAL"), "below_limit": (1, "P1_LIMIT_SIGNAL"), "unknown": (2, "P2_EVIDENCE_GAP")}
@@ -70,7 +76,8 @@ def reference_fit(windows: DataFrame, least: int = 2, floor: float = 1e-9) -> Da
 def detectors(windows: DataFrame, key: str, center: float, scale: float, lam: float = 0.2, slack: float = 0.5) -> DataFrame:
     """Shewhart, EWMA and CUSUM statistics of evaluable windows. A gap in the windows or one without a value starts anew.
 
-    CUSUM needs no loop: it is a running sum less its running minimum. EWMA is a weighted running sum of its segment.
+    CUSUM needs no loop: it is a running sum less its running minimum. EWMA sums a frame so long that what lies before it
+    is below double precision.
     """
     w = Window.partitionBy(key).orderBy("k")
     z = windows.withColumn("z", (F.col("value") - center) / scale)
@@ -81,7 +88,8 @@ def detectors(windows: DataFrame, key: str, center: float, scale: float, lam: fl
     z = z.withColumn("i", F.row_number().over(s)).withColumn("up_sum", F.sum(F.col("z") - slack).over(run)).withColumn("down_sum", F.sum(-F.col("z") - slack).over(run))
     up = F.col("up_sum") - F.least(F.lit(0.0), F.min("up_sum").over(run))
     down = F.col("down_sum") - F.least(F.lit(0.0), F.min("down_sum").over(run))
-    fold = F.aggregate(F.collect_list("z").over(run), F.lit(0.0), lambda e, x: lam * x + (1 - lam) * e)
+    reach = 0 if lam >= 1 else math.ceil(math.log(1e-18) / math.log(1 - lam))
+    fold = F.aggregate(F.collect_list("z").over(s.rowsBetween(-reach, 0)), F.lit(0.0), lambda e, x: lam * x + (1 - lam) * e)
     return z.select(key, "k", "segment", F.abs("z").alias("shewhart"), (F.abs(fold) / (lam / (2 - lam)) ** 0.5).alias("ewma"), F.greatest(up, down).alias("cusum"))
 
 
@@ -106,40 +114,23 @@ def against_range(df: DataFrame, ranges: DataFrame, key: str, value: str) -> Dat
     return out.withColumn("state", state).withColumn("distance", F.round(F.greatest(F.col("low") - v, v - F.col("high"), F.lit(0.0)), 2))
 
 
-def lag_one(windows: DataFrame, key: str) -> DataFrame:
-    """By series: correlation of neighbouring evaluable windows."""
-    w = Window.partitionBy(key).orderBy("k")
-    pairs = windows.where(F.col("value").isNotNull()).select(key, "value", F.lag("value").over(w).alias("last")).where("last is not null")
-    return pairs.groupBy(key).agg(F.count("*").alias("pairs"), F.corr("value", "last").alias("autocorrelation"))
-
-
-def mask_fingerprint(windows: DataFrame, key: str) -> DataFrame:
-    """By series: runs of evaluable and other windows, and a digest of the run lengths (`1x5,0x2,..`)."""
-    w = Window.partitionBy(key).orderBy("k")
-    bit = F.col("value").isNotNull().cast("int")
-    rows = windows.select(key, "k", bit.alias("bit"), (~bit.eqNullSafe(F.lag(bit).over(w))).cast("int").alias("turn"))
-    rows = rows.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(key, "run").agg(F.first("bit").alias("bit"), F.count("*").alias("n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "bit", "n"))), lambda r: F.concat(r["bit"], F.lit("x"), r["n"])), ",")
-    return runs.groupBy(key).agg(F.count("*").alias("runs"), F.sha2(text, 256).alias("mask_sha256"))
-
-
-def exclusions(windows: DataFrame, key: str) -> DataFrame:
-    """By series: complete windows, evaluable ones, share left out, and how often each reason left one out."""
-    has = lambda r: F.count_if(F.array_contains("reasons", r)).alias(r)
-    out = windows.groupBy(key).agg(F.count("*").alias("complete"), F.count("value").alias("evaluable"), *map(has, ("timestamp_gap", "insufficient_samples", "nonfinite_value")))
-    return out.withColumn("excluded_share", 1 - F.col("evaluable") / F.col("complete"))
-
-
-def roll_up(alarms: DataFrame, windows: DataFrame, key: str) -> DataFrame:
-    """One row over all series: sums, and series whose figures contradict each other (episodes <= alarms <= evaluable <= complete)."""
-    j = exclusions(windows, key).select(key, "complete").join(alarms, key, "left")
-    ordered = (F.col("episodes") <= F.col("alarms")) & (F.col("alarms") <= F.col("evaluable")) & (F.col("evaluable") <= F.col("complete"))
-    return j.agg(F.count("*").alias("series"), F.sum("complete").alias("complete"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("evaluable", "alarms", "episodes")], F.count_if(~ordered).alias("contradictions"))
-
-
-def evidence_complete(evidence: DataFrame, run: str, categories: list[str]) -> DataFrame:
-    """By run: categories of evidence that are absent or rest on a p-value alone, and whether all are there."""
-    good = evidence.groupBy(run).agg(F.collect_set(F.when(F.col("provided") & (F.col("kind") != "p_value_only"), F.col("category"))).alias("have"))
-    lacking = F.array_sort(F.array_except(F.array(*[F.lit(c) for c in categories]), "have"))
-    return good.select(run, lacking.alias("lacking"), (F.size(lacking) == 0).alias("complete"))
+def review_package(chart: DataFrame, key: str, sample: str, measurement: str, source_sha: Column, value: str = "value") -> DataFrame:
+    """review_queue whose ids are tied to the bytes of the source, the sample and the measurement, with the digest of each row's evidence
+    (sample, time, measurement, value, series) and its place in the order of review: tier, severity, time, id."""
+    named = chart.withColumn("measurement", F.lit(measurement)).withColumn("source_sha256", source_sha)
+    fields = [sample, "ts", "measurement", value, key]
+    rows = named.select("*", evidence_digest(fields).alias("evidence_sha256"), review_identity(F.col("source_sha256"), F.col(sample), F.col("measurement")).alias("_id"))
+    queue = review_queue(rows, key, sample, value).drop("review_id")
+    queue = queue.join(rows.select(key, sample, "measurement", "source_sha256", "evidence_sha256", F.col("_id").alias("review_id")), [key, sample])
+    return global_rank(queue.withColumn("_severity", -F.coalesce("severity", F.lit(0.0))), F.asc("tier"), F.asc("_severity"), F.asc("ts"), F.asc("review_id"), name="place").drop("_severity")
+
+
+def screen(df: DataFrame, stream: list[str], position: str, ts: str, value: str, baseline: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(pending queue, refused rows with reasons) of an equipment's export. A stream with any row against the contract is refused whole;
+    of the others, each row outside its limits, without a value or with a suspect baseline waits as pending."""
+    checked = screening_input(df, stream, position, ts, value).withColumn("_stream", F.concat_ws("|", *stream))
+    bad = checked.where(F.size("reasons") > 0)
+    good = checked.join(bad.select("_stream").distinct(), "_stream", "left_anti")
+    chart = individuals_chart(good.select("_stream", *stream, position, ts, F.col("number").alias("value")), "_stream", [position], "value", baseline)
+    pending = chart.where(F.col("status") != "within_limits").select(*stream, position, ts, "value", "status", F.lit("pending").alias("state"))
+    return pending, bad.drop("_stream", "number")

@@ -5,24 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.ranking import global_rank, running_sums
+
 
 def _boundaries(df: DataFrame, ts: str, positions: list[int]) -> list:
-    """The time at each position in time order (from 0). Counts by time come first, so ranks run over distinct times by day."""
-    day = F.to_date(ts)
-    days = df.groupBy(day.alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # a row for each day
-    out = []
-    for p in positions:
-        before = 0
-        for r in days:
-            if before + r["n"] > p:
-                times = df.where(day == F.lit(r["d"])).groupBy(ts).agg(F.count("*").alias("n"))
-                run = times.withColumn("upto", F.sum("n").over(Window.orderBy(ts)))
-                out.append(run.where(F.col("upto") > p - before).agg(F.min(ts)).first()[0])
-                break
-            before += r["n"]
-        else:
-            out.append(None)
-    return out
+    """The time at each position in time order (from 0), by one pass over running counts of distinct times."""
+    times = running_sums(df.groupBy(ts).agg(F.count("*").alias("n")), [F.asc(ts)], {"upto": "n"})
+    return list(times.agg(*[F.min(F.when(F.col("upto") > p, F.col(ts))) for p in positions]).first())
 
 
 def time_holdout(df: DataFrame, ts: str, train_size: int) -> DataFrame:
@@ -63,13 +52,26 @@ def overlap(train: DataFrame, test: DataFrame, group: str, split: str) -> DataFr
     return train.join(test.select(group).distinct(), group, "left_semi").groupBy(split).agg(F.count("*").alias("n"))
 
 
-def bootstrap_draws(ids: DataFrame, id_col: str, replicates: int, seed: int = 1, most: int = 10_000) -> DataFrame:
-    """Rows (rep, i, id): n draws with replacement for each replicate; exact, so for at most `most` rows."""
+def inner_split(df: DataFrame, ts: str, share: float = 0.8) -> DataFrame:
+    """Adds part: fit for the first share of the rows in time order, calibrate for the rest; equal times stay together in the latter."""
+    (at,) = _boundaries(df, ts, [int(df.count() * share)])
+    return df.withColumn("part", F.lit("fit") if at is None else F.when(F.col(ts) < F.lit(at), "fit").otherwise("calibrate"))
+
+
+def skip_reasons(folds: DataFrame, label: str = "label", least: int = 2) -> DataFrame:
+    """By fold of walk_forward: why it can't be scored (null: it can), the first of: the training rows have one class, a class
+    has fewer than `least` of them, the test rows have no positive."""
+    has = lambda role, y: F.count_if((F.col("role") == role) & (F.col(label) == y))
+    c = folds.groupBy("fold").agg(has("train", 0).alias("n0"), has("train", 1).alias("n1"), has("test", 1).alias("t1"))
+    rarest = F.least("n0", "n1")
+    return c.select("fold", F.when(rarest == 0, "TRAIN_SINGLE_CLASS").when(rarest < least, "TRAIN_CLASS_SUPPORT_BELOW_CV_SPLITS").when(F.col("t1") == 0, "VALIDATION_NO_FAIL").alias("skip_reason"))
+
+
+def bootstrap_draws(ids: DataFrame, id_col: str, replicates: int, seed: int = 1) -> DataFrame:
+    """Rows (rep, i, id): n draws with replacement for each replicate, from positions in the order of ids."""
     n = ids.count()
-    if n > most:
-        raise ValueError(f"{n} rows; at most {most} are drawn from exactly")
-    at = ids.select(id_col).withColumn("position", F.row_number().over(Window.orderBy(id_col)) - 1)
+    at = global_rank(ids.select(id_col), F.asc(id_col)).select(id_col, (F.col("rank") - 1).alias("position"))
     draws = ids.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("i"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string")).cast("binary"))
-    draws = draws.withColumn("position", F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % n)
-    return draws.join(F.broadcast(at), "position").select("rep", "i", id_col)
+    draws = draws.withColumn("position", F.conv(F.substring(key, 1, 15), 16, 10).cast("long") % n)
+    return draws.join(at, "position").select("rep", "i", id_col)

@@ -202,11 +202,17 @@ def eval_psi(spark, d):
     return rounded(evaluate.psi(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "value", "event_type"))
 
 
-@query(f"""WITH {SCORES}, m AS (SELECT d.source, avg(s.score - s.score2) AS d FROM scores s JOIN documents d ON d.doc_id = s.id GROUP BY 1 ORDER BY 1 LIMIT 8),
-l AS (SELECT list(round(d, 9) ORDER BY source) AS ds FROM m), v AS (SELECT i, list_sum([CASE WHEN (i >> (j - 1)) & 1 = 1 THEN ds[j] ELSE -ds[j] END FOR j IN range(1, len(ds) + 1)]) AS t, list_sum(ds) AS o, len(ds) AS n FROM l, range(256) r(i))
-SELECT round(avg(CASE WHEN abs(t) >= abs(o) - 1e-15 THEN 1.0 ELSE 0.0 END), 4) AS p_value, round(min(o / n), 6) AS mean_difference FROM v""")
+def _crc32(x: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, a::UBIGINT), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({x}, ''), lambda y: ord(y)::UBIGINT)), lambda c, a: {step}), 4294967295::UBIGINT)"
+
+
+@query(f"""WITH {SCORES}, m AS (SELECT {_crc32("id::VARCHAR")} % 16 AS g, round(avg(score - score2), 9) AS d FROM scores GROUP BY 1),
+l AS (SELECT list(d ORDER BY g) AS ds FROM m), v AS (SELECT i, list_sum([CASE WHEN (i >> (j - 1)) & 1 = 1 THEN ds[j] ELSE -ds[j] END FOR j IN range(1, len(ds) + 1)]) AS t, list_sum(ds) AS o, len(ds) AS n FROM l, range(65536) r(i))
+SELECT round(avg(CASE WHEN abs(t) >= abs(o) - 1e-12 THEN 1.0 ELSE 0.0 END), 4) AS p_value, round(min(o / n), 6) AS mean_difference FROM v""")
 def eval_sign_flip(spark, d):
-    """Paired over 16 hashed repeats that cover all rows; its SQL, left as it was, pairs over the first 8 sources alone."""
+    """Paired over 16 hashed repeats that cover all rows."""
     both = scores(spark, d).join(scores(spark, d, 104729).select("id", F.col("score").alias("score2")), "id")
     means = both.groupBy((F.crc32(F.col("id").cast("string").cast("binary")) % 16).alias("repeat")).agg(F.round(F.avg(F.col("score") - F.col("score2")), 9).alias("d"))
     return evaluate.sign_flip(means).select(F.round("p_value", 4).alias("p_value"), F.round("mean_difference", 6).alias("mean_difference"))
@@ -255,12 +261,30 @@ def split_overlap(spark, d):
     return splits.overlap(li.where("l_shipdate < timestamp_ntz'1998-01-01'"), li.where("l_shipdate >= timestamp_ntz'1998-01-01'"), "l_orderkey", "l_returnflag")
 
 
-@query("""WITH n AS (SELECT n_nationkey AS id, row_number() OVER (ORDER BY n_nationkey) - 1 AS p, count(*) OVER () AS c FROM nation),
-dr AS (SELECT r.i // (SELECT max(c) FROM n) AS rep, r.i % (SELECT max(c) FROM n) AS i FROM range(20 * (SELECT max(c) FROM n)) r(i))
-SELECT rep, count(DISTINCT id) AS different, sum(id)::BIGINT AS id_sum FROM dr JOIN n ON ('0x' || substr(md5('1:' || rep || ':' || i), 1, 8))::BIGINT % c = p GROUP BY 1""")
+@query("""WITH n AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS c FROM (SELECT DISTINCT doc_id FROM labels)), m AS (SELECT max(c) AS c FROM n),
+dr AS (SELECT r.i // c AS rep, r.i % c AS i, c FROM m, range(20 * c) r(i))
+SELECT rep, count(DISTINCT id) AS different, sum(id)::BIGINT AS id_sum FROM dr JOIN n ON ('0x' || substr(md5('1:' || rep || ':' || i), 1, 15))::BIGINT % dr.c = p GROUP BY 1""")
 def split_bootstrap(spark, d):
-    draws = splits.bootstrap_draws(table(spark, d, "nation").select("n_nationkey"), "n_nationkey", 20)
-    return draws.groupBy("rep").agg(F.count_distinct("n_nationkey").alias("different"), F.sum("n_nationkey").alias("id_sum"))
+    draws = splits.bootstrap_draws(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", 20)
+    return draws.groupBy("rep").agg(F.count_distinct("doc_id").alias("different"), F.sum("doc_id").alias("id_sum"))
+
+
+WALK = """o AS (SELECT ts, event_type = 'error' AND event_id % 7 = 0 AS y, row_number() OVER (ORDER BY ts) - 1 AS p, count(*) OVER () AS n FROM events),
+c AS (SELECT i + 1 AS fold, (SELECT min(ts) FROM o WHERE p = floor(floor(n * 0.55) + (n - floor(n * 0.55)) * i / 4)::BIGINT) AS t FROM range(4) r(i), (SELECT max(n) AS n FROM o)),
+f AS (SELECT fold, t, lead(t) OVER (ORDER BY fold) AS u FROM c)"""
+
+
+@query(f"""WITH {WALK}, k AS (SELECT fold, count_if(ts < t AND NOT y) AS n0, count_if(ts < t AND y) AS n1, count_if(ts >= t AND y) AS t1 FROM f JOIN o ON u IS NULL OR ts < u GROUP BY 1)
+SELECT fold::INT AS fold, CASE WHEN least(n0, n1) = 0 THEN 'TRAIN_SINGLE_CLASS' WHEN least(n0, n1) < 100 THEN 'TRAIN_CLASS_SUPPORT_BELOW_CV_SPLITS' WHEN t1 = 0 THEN 'VALIDATION_NO_FAIL' END AS skip_reason FROM k""")
+def split_skip_reasons(spark, d):
+    e = table(spark, d, "events").select("ts", ((F.col("event_type") == "error") & (F.col("event_id") % 7 == 0)).cast("int").alias("label"))
+    return splits.skip_reasons(splits.walk_forward(e, "ts"), least=100)
+
+
+@query("""WITH o AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS p, count(*) OVER () AS n FROM events), b AS (SELECT min(ts) AS t FROM o WHERE p = floor(n * 0.8)::BIGINT)
+SELECT CASE WHEN ts < t THEN 'fit' ELSE 'calibrate' END AS part, count(*) AS n FROM events, b GROUP BY 1""")
+def split_inner(spark, d):
+    return splits.inner_split(table(spark, d, "events"), "ts").groupBy("part").agg(F.count("*").alias("n"))
 
 
 # Comparison of score tables
@@ -325,7 +349,7 @@ def prf_standardised_difference(spark, d):
 
 @query("SELECT event_type, (user_id % 5 = 0)::INT AS label, round(avg(value), 6) AS mean, round((sum(value) - max(value)) / (count(value) - 1), 6) AS mean_without_max FROM events GROUP BY ALL")
 def prf_without_maximum(spark, d):
-    return rounded(profile.without_maximum(labelled_events(spark, d), "event_type", "label", "value", "event_id"))
+    return rounded(profile.without_maximum(labelled_events(spark, d), "event_type", "label", "value", "event_id").select("event_type", "label", "mean", "mean_without_max"))
 
 
 @query("SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n, sum((l_returnflag = 'R')::INT)::BIGINT AS fails FROM lineitem GROUP BY 1")
@@ -370,10 +394,36 @@ def con_latest_revision(spark, d):
 
 @query("""WITH e AS (SELECT event_type, epoch_us(ts) AS us, value FROM events), s AS (SELECT *, round_even(us / 300000000.0, 0)::BIGINT * 300 AS slot FROM e),
 k AS (SELECT *, abs(us - slot * 1000000) AS away FROM s WHERE abs(us - slot * 1000000) <= 60000000),
-g AS (SELECT event_type, slot, arg_min(value, (value IS NULL, away, us)) AS value, count(*) AS readings, max(value) - min(value) AS spread FROM k GROUP BY ALL)
+g AS (SELECT event_type, slot, arg_min(value, (value IS NULL, away > 0, us)) AS value, count(*) AS readings, max(value) - min(value) AS spread FROM k GROUP BY ALL)
 SELECT event_type, slot, value, readings, greatest(value, 0) AS clipped FROM g WHERE spread IS NULL OR spread <= 1e-9""")
 def con_regularise(spark, d):
-    return contracts.regularise(table(spark, d, "events"), "event_type", "ts", "value", 300, 60)[0]
+    return contracts.regularise(table(spark, d, "events"), "event_type", "ts", "value", 300, 60)[0].select("event_type", "slot", "value", "readings", "clipped")
+
+
+SLOTS = """s0 AS (SELECT event_type, epoch_us(ts) AS us, CASE WHEN event_id % 9 <> 0 THEN round(value - 50, 6) END AS value FROM events),
+s1 AS (SELECT *, round_even(us / 21600000000.0, 0)::BIGINT * 21600 AS slot FROM s0), s2 AS (SELECT *, abs(us - slot * 1000000) AS away FROM s1), near AS (SELECT * FROM s2 WHERE away <= 600000000),
+g0 AS (SELECT event_type, slot, arg_min(coalesce(value, 'NaN'::DOUBLE), (value IS NULL, away > 0, us)) AS v, min(away > 0) AS x, count(*) AS readings, count_if(value IS NULL) AS nulls, coalesce(max(value) - min(value), 0) <= 1e-9 AS agrees, arg_min(away > 0, (value IS NULL, away > 0, us)) AS adjusted FROM near GROUP BY ALL)"""
+
+
+def slots(spark, d):
+    e = table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 9 != 0, F.round(F.col("value") - 50, 6)))
+    return contracts.regularise(e, "event_type", "ts", "value", 21_600, 600)
+
+
+@query(f"""WITH {SLOTS}, r AS (SELECT event_type, 'clock_skew' AS reason FROM s2 WHERE away > 600000000 UNION ALL SELECT n.event_type, 'slot_conflict' FROM near n JOIN g0 USING (event_type, slot) WHERE NOT agrees)
+SELECT event_type, reason, count(*) AS n FROM r GROUP BY ALL""")
+def con_regularise_rejected(spark, d):
+    return slots(spark, d)[1].groupBy("event_type", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SLOTS}, good AS (SELECT * FROM g0 WHERE agrees), lim AS (SELECT min(slot) AS a, max(slot) AS b FROM good), grid AS (SELECT event_type, unnest(range(a, b, 21600)) AS slot FROM (SELECT DISTINCT event_type FROM good), lim),
+f AS (SELECT g.event_type, readings, nulls, adjusted, CASE WHEN isnan(v) THEN NULL ELSE v END AS value FROM grid g LEFT JOIN good o ON o.event_type = g.event_type AND o.slot = g.slot)
+SELECT event_type, count(*) AS normalized_rows, count_if(readings IS NULL) AS missing_slots, count_if(coalesce(adjusted, false)) AS rounded, count_if(coalesce(readings > 1, false)) AS collisions, count_if(coalesce(readings - nulls = 1 AND nulls > 0, false)) AS value_over_null,
+  count_if(value IS NULL) AS missing_values, count_if(coalesce(value < 0, false)) AS clipped_negatives FROM f GROUP BY 1""")
+def con_grid_audit(spark, d):
+    good = slots(spark, d)[0]
+    low, high = good.agg(F.min("slot"), F.max("slot")).first()
+    return contracts.grid_audit(contracts.on_grid(good, "event_type", low or 0, high or 1, 21_600), "event_type")
 
 
 @query("""WITH h AS (SELECT event_type, epoch_us(ts) // 3600000000 AS h, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT DISTINCT event_type FROM h),
@@ -387,11 +437,10 @@ def con_coverage(spark, d):
     return contracts.coverage(e, grid, ["event_type", "h"])
 
 
-@query("""WITH s AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS step FROM events)
-SELECT user_id, count(*) AS n_rows, count_if(step <= 0)::BIGINT AS not_increasing, round(quantile_cont(step, 0.5) + 1e-7, 3) AS median_step, round(min(step) + 1e-7, 3) AS min_step, round(max(step) + 1e-7, 3) AS max_step FROM s GROUP BY 1""")
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)
+SELECT user_id, count(*) AS n_rows, count_if(step <= 0)::BIGINT AS not_increasing, quantile_cont(step::DOUBLE, 0.5) AS median_step, min(step) AS min_step, max(step) AS max_step FROM s GROUP BY 1""")
 def con_cadence(spark, d):
-    out = contracts.cadence(table(spark, d, "events"), "user_id", "ts", "event_id")
-    return rounded(out.withColumns({c: F.col(c) + 1e-7 for c in ("median_step", "min_step", "max_step")}), 3)  # never on a rounding half
+    return contracts.cadence(table(spark, d, "events"), "user_id", "ts", "event_id")
 
 
 @query("""SELECT count(*) AS n_rows, count(*) - count(DISTINCT l_orderkey * 10 + l_linenumber) AS repeated_ids, 0::BIGINT AS missing_times, count_if(l_returnflag = 'R')::BIGINT AS positives, 0::BIGINT AS other_labels, 0::BIGINT AS bad_cells, 0::BIGINT AS missing_cells,

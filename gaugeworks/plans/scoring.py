@@ -1,11 +1,11 @@
-"""Registered queries on models, repeated evaluation, saved score tables, logs and window series."""
+"""Registered queries on models, repeated evaluation, saved score tables and logs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import anomaly, compare, evaluate, models, profile, spc
-from gaugeworks.plans.registry import DETECT, SCORES, WINDOWS, components, daily_stats, daily_windows, known, query, rounded, scores, table
+from gaugeworks.operators import anomaly, compare, evaluate, models, profile
+from gaugeworks.plans.registry import SCORES, components, known, query, rounded, scores, table
 
 # Models
 
@@ -157,37 +157,3 @@ def prf_drift(spark, d):
     t = table(spark, d, "lineitem").withColumn("q", F.when(F.col("l_quantity") <= 40, F.col("l_quantity")))
     old = F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")
     return rounded(profile.drift(t.where(old), t.where(~old), ["q", "l_tax"]))
-
-
-# Window series
-
-
-@query(f"WITH {WINDOWS}, p AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY k) AS last FROM win WHERE value IS NOT NULL) SELECT user_id, count(*) AS pairs, round(corr(value, last), 6) AS autocorrelation FROM p WHERE last IS NOT NULL GROUP BY 1")
-def spc_autocorrelation(spark, d):
-    return rounded(spc.lag_one(daily_windows(spark, d), "user_id"))
-
-
-@query(f"""WITH {WINDOWS}, b AS (SELECT user_id, k, (value IS NOT NULL)::INT AS bit FROM win), t AS (SELECT *, (bit IS DISTINCT FROM lag(bit) OVER (PARTITION BY user_id ORDER BY k))::INT AS turn FROM b),
-r AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY k) AS run FROM t), g AS (SELECT user_id, run, min(bit) AS bit, count(*) AS n FROM r GROUP BY ALL)
-SELECT user_id, count(*) AS runs, sha256(string_agg(bit || 'x' || n, ',' ORDER BY run)) AS mask_sha256 FROM g GROUP BY 1""")
-def spc_mask(spark, d):
-    return spc.mask_fingerprint(daily_windows(spark, d), "user_id")
-
-
-@query(f"""WITH {WINDOWS} SELECT user_id, count(*) AS complete, count(value) AS evaluable, count_if(gap)::BIGINT AS timestamp_gap, 0::BIGINT AS insufficient_samples, 0::BIGINT AS nonfinite_value, round(1 - count(value) / count(*), 6) AS excluded_share FROM win GROUP BY 1""")
-def spc_exclusions(spark, d):
-    return rounded(spc.exclusions(daily_windows(spark, d), "user_id"))
-
-
-@query(f"""WITH {WINDOWS}, {DETECT}, a AS (SELECT *, shewhart > 1 AND NOT coalesce(lag(shewhart > 1) OVER (PARTITION BY user_id, segment ORDER BY k), false) AS begins FROM stats)
-SELECT (SELECT count(DISTINCT user_id) FROM win) AS series, (SELECT count(*) FROM win) AS complete, count(*) AS evaluable, count_if(shewhart > 1)::BIGINT AS alarms, count_if(begins)::BIGINT AS episodes, 0::BIGINT AS contradictions FROM a""")
-def spc_roll_up(spark, d):
-    return spc.roll_up(spc.episodes(daily_stats(spark, d), "user_id", "shewhart", 1.0), daily_windows(spark, d), "user_id")
-
-
-@query("""WITH c AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderkey % 4 <> 0), r AS (SELECT DISTINCT o_custkey AS k FROM orders)
-SELECT r.k AS o_custkey, count(c.p) = 5 AS complete, 5 - count(c.p) AS n_lacking FROM r LEFT JOIN c ON c.k = r.k GROUP BY 1""")
-def spc_evidence(spark, d):
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    e = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("category"), F.lit(True).alias("provided"), F.when(F.col("o_orderkey") % 4 == 0, "p_value_only").otherwise("study").alias("kind"))
-    return spc.evidence_complete(e, "o_custkey", names).select("o_custkey", "complete", F.size("lacking").cast("long").alias("n_lacking"))

@@ -52,10 +52,11 @@ OUT = "asset string, ts long, value double, seq long, reason string"
 def stateful(stream: DataFrame, limits: Limits = Limits(), timer: bool = False) -> DataFrame:
     """Rows (asset, ts in microseconds, value, seq, reason): accepted rows have none, dead ones theirs, alerts `disconnect`.
 
-    State by asset: times seen within the retention, the last accepted time, whether an alert is out. A dead row leaves
-    no trace in it. A gap between accepted readings is told when the reading after it comes; an asset that stays silent
-    is told by a timer, once, until a reading is accepted again. The timer keeps a query running, so it is for continuous
-    queries and not for those that end with the data at hand."""
+    State by asset: times seen within the retention, the time of the reading accepted last (in order of arrival), whether an
+    alert is out. A dead row leaves no trace in it. When a batch's last observation of an asset lies more than the limit
+    behind that time, the asset is told as disconnected, once, until a reading is accepted again. An asset that sends
+    nothing at all is told by a timer, which keeps a query running, so it is for continuous queries and not for those that
+    end with the data at hand."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen_list, at_list, last, alerted = state.get if state.exists else ([], [], None, False)
@@ -65,8 +66,11 @@ def stateful(stream: DataFrame, limits: Limits = Limits(), timer: bool = False)
                 yield pd.DataFrame([(key[0], last, None, None, "disconnect")], columns=columns)
             state.update((seen_list, at_list, last, True))
             return
+        now = None
         for rows in frames:
             out = []
+            times = rows["observed"].dropna()
+            now = max(int(times.max()), now or 0) if len(times) else now
             for ts, value, observed, seq, broken in rows.sort_values("seq")[["ts", "value", "observed", "seq", "broken"]].itertuples(index=False):
                 if broken:
                     out.append((key[0], None if pd.isna(ts) else int(ts), value, seq, "contract"))
@@ -76,13 +80,14 @@ def stateful(stream: DataFrame, limits: Limits = Limits(), timer: bool = False)
                 known = ts in seen and observed - seen[ts] <= limits.keep * 1e6
                 reason = "duplicate" if known else "future" if lag < -limits.ahead else "late" if lag > limits.late else None
                 if reason is None:
-                    if last is not None and ts - last > limits.silent * 1e6 and not alerted:
-                        out.append((key[0], last, None, seq, "disconnect"))
                     seen[ts], last, alerted = observed, ts, False
                 out.append((key[0], ts, value, seq, reason))
             newest = max(seen.values(), default=0)
             seen = {t: o for t, o in seen.items() if newest - o <= limits.keep * 1e6}  # once a frame, so state keeps within the retention
             yield pd.DataFrame(out, columns=columns)
+        if now is not None and last is not None and now - last > limits.silent * 1e6 and not alerted:
+            alerted = True
+            yield pd.DataFrame([(key[0], last, None, None, "disconnect")], columns=columns)
         state.update((list(seen), list(seen.values()), last, alerted))
         if timer:
             state.setTimeoutDuration(int(limits.silent * 1000))
@@ -92,17 +97,23 @@ def stateful(stream: DataFrame, limits: Limits = Limits(), timer: bool = False)
 
 
 def write_batches(out: DataFrame, folder: str, checkpoint: str):
-    """Accepted rows, dead letters and alerts as three tables; a batch that is run again replaces its own part."""
+    """Accepted rows, dead letters and alerts as three tables, and each batch's counts; a batch that is run again replaces its own part."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
         for name, rows in (("accepted", df.where("reason is null")), ("dead", df.where("reason <> 'disconnect'")), ("alerts", df.where("reason = 'disconnect'"))):
             rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
+        batch_counts(df.where("reason is null or reason <> 'disconnect'")).write.mode("overwrite").parquet(f"{folder}/counts/batch_id={batch_id}")
         df.unpersist()
 
     return out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def throughput(query) -> list[tuple[int, int, float]]:
+    """(batch, rows in, rows a second) of a query's recent batches with rows."""
+    return [(p["batchId"], p["numInputRows"], p["processedRowsPerSecond"]) for p in query.recentProgress if p["numInputRows"]]
+
+
 def batch_counts(checked: DataFrame) -> DataFrame:
     """One row on checked readings: input, accepted, dead letters."""
     return checked.agg(F.count("*").alias("input_count"), F.count_if(F.col("reason").isNull()).alias("accepted_count"), F.count("reason").alias("dead_letter_count"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import compare, evaluate, profile, spc, splits
+from gaugeworks.operators import compare, evaluate, profile, splits
 
 
 def test_paired_repeats(spark):
@@ -45,13 +45,3 @@ def test_logs_and_keys(spark):
     keys = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), (None, 1)], "k string, x int")
     assert sorted(map(tuple, profile.key_audit(keys, "k", ["x"]).collect())) == [(0, 1, 0), (1, 1, 0), (2, 1, 1)]
     assert profile.manifest_match(keys.where("k = 'b'"), keys.where("k is not null").distinct(), "k", ["x"]).first().asDict() == {"found": 1, "absent": 1, "changed": 0, "unknown": 0}
-
-
-def test_window_series(spark):
-    w = spark.createDataFrame([("s", i, [] if v else ["timestamp_gap"], v) for i, v in enumerate([1.0, 2.0, None, 3.0, 4.0])], "key string, k int, reasons array<string>, value double")
-    assert spc.mask_fingerprint(w, "key").first()["mask_sha256"] == spark.range(1).select(F.sha2(F.lit("1x2,0x1,1x2").cast("binary"), 256)).first()[0]
-    assert abs(spc.lag_one(w, "key").first()["autocorrelation"] - 1.0) < 1e-9 and spc.exclusions(w, "key").first()["timestamp_gap"] == 1
-    alarms = spark.createDataFrame([("s", 4, 1, 2)], "key string, evaluable int, alarms int, episodes int")
-    assert spc.roll_up(alarms, w, "key").first()["contradictions"] == 1
-    e = spark.createDataFrame([("r", "a", True, "study"), ("r", "b", True, "p_value_only")], "run string, category string, provided boolean, kind string")
-    assert spc.evidence_complete(e, "run", ["a", "b"]).first()["lacking"] == ["b"]

@@ -41,6 +41,23 @@ def test_a_silent_asset_is_told_once(spark, tmp_path):
     assert sorted((r["seq"] or 0, r["reason"]) for r in spark.table("silent").collect()) == [(0, "disconnect"), (1, None)]
 
 
+def test_a_restart_goes_on_where_it_ended(spark, tmp_path):
+    row = lambda s, seq, seen=None: ("a", at(s), 1.0, at(seen if seen is not None else s), seq)
+    run = lambda: readings.write_batches(readings.stateful(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/check")
+    seen = []
+    for rows in ([row(0, 1), row(10, 2)], [row(10, 3), row(20, 4)], [row(30, 5, 250)], [row(60, 6, 251)], [row(251, 7)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = run()
+        query.awaitTermination()
+        seen += readings.throughput(query)
+    table = lambda n: spark.read.parquet(f"{tmp_path}/out/{n}")
+    assert sorted(r["seq"] for r in table("accepted").collect()) == [1, 2, 4, 5, 6, 7]
+    assert [(r["seq"], r["reason"]) for r in table("dead").collect()] == [(3, "duplicate")]
+    assert sorted((r["ts"] - table("accepted").where("seq = 1").first()["ts"]) // 10**6 for r in table("alerts").collect()) == [30, 60]  # told again after an accepted reading
+    assert sorted((r["batch_id"], r["input_count"], r["accepted_count"], r["dead_letter_count"]) for r in table("counts").collect()) == [(0, 2, 2, 0), (1, 2, 1, 1), (2, 1, 1, 0), (3, 1, 1, 0), (4, 1, 1, 0)]
+    assert [n for _, n, _ in seen] == [2, 2, 1, 1, 1]
+
+
 def test_drift_alerts(spark):
     ref = spark.createDataFrame([("p", float(i)) for i in range(20)] + [("t", 5.0)] * 6 + [("u", 5.0)] * 6 + [("few", 1.0)], "m string, x double")
     cur = spark.createDataFrame([("p", float(i)) for i in range(20)] + [("t", 6.0)] * 6 + [("u", 5.0)] * 5 + [("u", None), ("few", 1.0), ("new", 1.0)], "m string, x double")
