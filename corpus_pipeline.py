@@ -13,7 +13,10 @@ from gaugeworks.llm.shared import read_table, saved
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; null and empty texts are scored like any other."""
     weights = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights, keep=True).where(F.col("score") >= THRESHOLD).drop("score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return quality.score(docs, weights, keep=True, name=name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
