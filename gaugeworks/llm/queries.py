@@ -67,4 +67,4 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_token_count, op4_mixing, op5_quality, op6_jaccard_join, op7_nearest, op8_toxicity, op9_secret_scan, op10_transport_stream)}
 
-ORACLES: dict[str, str] = {"op2_license_scan": license_scan.sql()}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op6_jaccard_join": jaccard_join.sql()}
