@@ -13,14 +13,14 @@ def audit(df: DataFrame, features: list[str], label: str, ts: str) -> DataFrame:
     miss = [F.count_if(F.col(c).isNull()) for c in features]
     agg = df.agg(
         F.count("*").alias("n_rows"), F.sum(label).alias("fails"), F.count_distinct(ts).alias("unique_times"), (F.count("*") - F.count_distinct(F.struct(*features))).alias("duplicate_rows"),
-        *[m.alias(f"m{i}") for i, m in enumerate(miss)], *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(features)],
+        *[m.alias(f"m{i}") for i, m in enumerate(miss)], *[F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(f"d{i}") for i, c in enumerate(features)],
     )
     m, d = [F.col(f"m{i}") for i in range(len(features))], [F.col(f"d{i}") for i in range(len(features))]
     total = sum(m[1:], m[0])
     count = lambda xs: sum([F.when(x, 1).otherwise(0) for x in xs], F.lit(0)).cast("long")
     return agg.select(
         "n_rows", F.col("fails").cast("long").alias("fails"), "unique_times", "duplicate_rows", (F.col("n_rows") * len(features)).alias("cells"), total.alias("missing_cells"),
-        count([x > 0 for x in m]).alias("features_with_missing"), count([x * 2 > F.col("n_rows") for x in m]).alias("features_mostly_missing"), count([x <= 1 for x in d]).alias("uninformative"),
+        count([x > 0 for x in m]).alias("features_with_missing"), count([x * 2 > F.col("n_rows") for x in m]).alias("features_mostly_missing"), count([~x for x in d]).alias("uninformative"),
     )
 
 
