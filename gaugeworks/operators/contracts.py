@@ -43,6 +43,35 @@ def reading_rules(asset: str, ts: str, value: str, required: Column | None = Non
     return rules + ([Rule("measurement_missing", required)] if required is not None else [])
 
 
+def open_readings(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
+    """Readings (asset_code, user_ts, ts, reading map) with sample_id, event_time and reasons: a blank asset, no reading, a time that is absent or
+    can't be read, required names absent, values that aren't finite (null is a missing measurement), an asset and time that occur twice."""
+    text = F.coalesce("user_ts", "ts")
+    at = F.when(~text.rlike(r"^[0-9.+-]+$") | text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text))
+    df = df.withColumn("event_time", at)
+    df = df.withColumn("sample_id", F.concat_ws(":", "asset_code", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
+    values = F.map_values("reading")
+    rules = [
+        Rule("asset_missing", F.coalesce(F.trim("asset_code") == "", F.lit(True))), Rule("reading_missing", F.col("reading").isNull()),
+        Rule("time_missing", text.isNull()), Rule("time_not_valid", text.isNotNull() & F.col("event_time").isNull()),
+        Rule("value_not_finite", F.exists(values, lambda v: v.isNotNull() & ~finite(v))),
+        Rule("duplicate", F.col("event_time").isNotNull() & (F.count("*").over(Window.partitionBy("asset_code", "event_time")) > 1)),
+    ]
+    rules += [Rule(f"{n}_absent", ~F.map_contains_key("reading", F.lit(n))) for n in required]
+    return with_reasons(df, rules)
+
+
+def board_rows(df: DataFrame, board: str, pad: str, value: str, position: str) -> DataFrame:
+    """Adds number and reasons to an export's rows: ids blank, a value that is no finite number of the usual form or negative, and every
+    occurrence of a board and pad after the first in the order of `position`."""
+    ids = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in (board, pad)]
+    raw = F.trim(F.coalesce(F.col(value).cast("string"), F.lit("")))
+    x = F.when(raw.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), raw.try_cast("double"))
+    later = F.row_number().over(Window.partitionBy(*ids).orderBy(position)) > 1
+    rules = [Rule("id_missing", (ids[0] == "") | (ids[1] == "")), Rule("value_not_valid", ~F.coalesce(finite(x) & (x >= 0), F.lit(False))), Rule("board_and_pad_repeated", later)]
+    return with_reasons(df, rules).withColumn("number", x)
+
+
 def latest(df: DataFrame, keys: list[str], *version: str) -> DataFrame:
     """The last version of each key, by a partial aggregate."""
     rest = [c for c in df.columns if c not in keys]

@@ -261,3 +261,27 @@ def con_reports(spark, d):
     full = F.create_map(F.lit("score"), F.col("value").cast("string"), F.lit("clear"), F.when(F.col("event_id") % 7 == 0, "perhaps").otherwise("True"))
     m = e.select(F.when(F.col("event_id") % 5 == 0, F.map_filter(full, lambda k, _: k != "clear")).otherwise(full).alias("report"))
     return contracts.with_reasons(m, feeds.report_rules("report", {"score": (0, 50)}, ["clear"])).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, count(*) AS c, count_if(event_type = 'click') AS k, count_if(event_id % 17 = 0) AS bad FROM events GROUP BY ALL), r AS (SELECT user_id, ts, k, bad, 1 AS n FROM g UNION ALL SELECT user_id, ts, k, bad, 2 FROM g WHERE user_id % 9 = 0)
+SELECT array_to_string(list_filter([CASE WHEN user_id % 13 = 0 THEN 'asset_missing' END, CASE WHEN user_id % 11 = 0 THEN 'time_not_valid' END, CASE WHEN bad > 0 THEN 'value_not_finite' END, CASE WHEN user_id % 9 = 0 AND user_id % 11 <> 0 OR (user_id % 13 = 0 AND user_id % 11 <> 0 AND twice) THEN 'duplicate' END,
+  CASE WHEN k = 0 THEN 'click_absent' END], lambda y: y IS NOT NULL), ',') AS reasons, count(*) AS n FROM (SELECT *, user_id % 13 = 0 AND count(*) OVER (PARTITION BY user_id % 13 = 0, ts) > 1 AS twice FROM r) GROUP BY 1""")
+def con_open_readings(spark, d):
+    e = table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 17 == 0, float("nan")).otherwise(F.col("value")))
+    m = e.groupBy("user_id", "ts").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("event_type", "value")))).alias("reading"))
+    asset = F.when(F.col("user_id") % 13 == 0, " ").otherwise(F.concat(F.lit("a"), F.col("user_id")))
+    text = F.when(F.col("user_id") % 11 == 0, "1700000000").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    r = m.select(asset.alias("asset_code"), F.lit(None).cast("string").alias("user_ts"), text.alias("ts"), "reading", "user_id")
+    r = r.unionByName(r.where("user_id % 9 = 0"))
+    return contracts.open_readings(r, ("click",)).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_partkey * 10000000 + l_suppkey * 100 + l_linenumber) > 1 AS later FROM lineitem WHERE l_orderkey % 10 <> 3)
+SELECT array_to_string(list_filter([CASE WHEN l_orderkey % 10 = 7 THEN 'id_missing' END, CASE WHEN l_linenumber = 2 THEN 'value_not_valid' END], lambda y: y IS NOT NULL), ',') AS reasons, count(*) AS n FROM l WHERE l_orderkey % 10 = 7 OR NOT later GROUP BY 1""")
+def con_board_rows(spark, d):
+    li = table(spark, d, "lineitem").where("l_orderkey % 10 <> 3")
+    board = F.when(F.col("l_orderkey") % 10 == 7, "  ").otherwise(F.col("l_orderkey").cast("string"))
+    value = F.when(F.col("l_linenumber") == 2, F.concat(F.lit("-"), F.col("l_quantity").cast("string"))).otherwise(F.col("l_quantity").cast("string"))
+    rows = li.select(board.alias("board"), F.when(F.col("l_orderkey") % 10 == 7, F.monotonically_increasing_id().cast("string")).otherwise((F.col("l_linenumber") % 2).cast("string")).alias("pad"), value.alias("v"), (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("at"))
+    out = contracts.board_rows(rows, "board", "pad", "v", "at")
+    return out.where(~F.array_contains("reasons", "board_and_pad_repeated")).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))

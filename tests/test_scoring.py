@@ -45,3 +45,18 @@ def test_logs_and_keys(spark):
     keys = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), (None, 1)], "k string, x int")
     assert sorted(map(tuple, profile.key_audit(keys, "k", ["x"]).collect())) == [(0, 1, 0), (1, 1, 0), (2, 1, 1)]
     assert profile.manifest_match(keys.where("k = 'b'"), keys.where("k is not null").distinct(), "k", ["x"]).first().asDict() == {"found": 1, "absent": 1, "changed": 0, "unknown": 0}
+
+
+def test_logistic_scores_cover_all_rows_and_tell_the_class(spark, tmp_path):
+    import random
+    import zlib
+
+    from gaugeworks.plans import registry
+
+    r = random.Random(6)
+    rows = [(i, [float(i % 4 == 3) + r.gauss(0, 0.3), r.gauss(0, 1), r.gauss(0, 1)], i % 4) for i in range(240)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["mod_logistic_scores"](spark, str(tmp_path)).cache()
+    assert sorted(x["id"] for x in got.collect()) == list(range(240))
+    assert all(x["held_out"] == (zlib.crc32(str(x["id"]).encode()) % 5 == 0) and 0 <= x["score"] <= 1 and x["label"] == int(x["id"] % 4 == 3) for x in got.collect())
+    assert evaluate.roc_auc(got.where("held_out")).first()[0] > 0.9
