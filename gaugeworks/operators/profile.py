@@ -99,6 +99,35 @@ def trailing(df: DataFrame, key: str, order: list[str], ts: str, value: str, row
     return df.withColumn("trail_mean", F.avg(value).over(w.rowsBetween(1 - rows, 0))).withColumn("break_before", F.coalesce((us - F.lag(us).over(w)) > gap * 1e6, F.lit(False)))
 
 
+def split_summary(df: DataFrame, split: str, label: str, ts: str) -> DataFrame:
+    """By split: rows, failures and their rate, first and last time."""
+    return df.groupBy(split).agg(F.count("*").alias("n"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("fails"), F.avg(label).alias("fail_rate"), F.min(ts).alias("time_min"), F.max(ts).alias("time_max"))
+
+
+def trace(df: DataFrame, key: str, order: str, ts: str, value: str, at: dict, rows: int = 120, gap: float = 5.0) -> DataFrame:
+    """The last rows of chosen series up to a position: (key, order, ts, value, break_before). at: by series, the position that the trace ends
+    at. A gap of more than gap seconds before a row breaks the line there; the first row of a trace has no break."""
+    ends = df.sparkSession.createDataFrame([(k, v) for k, v in at.items()], f"`{key}` {df.schema[key].dataType.simpleString()}, _at {df.schema[order].dataType.simpleString()}")
+    last = Window.partitionBy(key).orderBy(F.desc(order))
+    mine = df.join(F.broadcast(ends), key).where(F.col(order) <= F.col("_at")).withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= rows)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    w = Window.partitionBy(key).orderBy(order)
+    return mine.select(key, order, ts, value, F.coalesce((us - F.lag(us).over(w)) > gap * 1e6, F.lit(False)).alias("break_before"))
+
+
+def process_cadence(df: DataFrame, key: str, order: list[str], ts: str, features: list[str], longest: float = 0.3) -> DataFrame:
+    """By series of a process: rows, median and largest interval in microseconds, intervals that don't increase or are longer than `longest`
+    seconds, and cells that are missing or not finite."""
+    w = Window.partitionBy(key).orderBy(*order)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    odd = sum([(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).cast("int") for c in features], F.lit(0))
+    rows = df.select(key, (us - F.lag(us).over(w)).alias("step"), odd.alias("odd"))
+    return rows.groupBy(key).agg(
+        F.count("*").alias("n_rows"), F.percentile("step", F.lit(0.5)).alias("median_step_us"), F.max("step").alias("largest_step_us"), F.count_if(F.col("step") <= 0).alias("not_increasing"),
+        F.count_if(F.col("step") > longest * 1_000_000).alias("long_steps"), F.sum("odd").alias("nonfinite_cells"),
+    )
+
+
 def both_ways(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct keys in both, in left alone, in right alone."""
     a, b = left.select(*keys, F.lit(1).alias("l")).distinct(), right.select(*keys, F.lit(1).alias("r")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import compare, contracts, evaluate, features, feeds, profile, review, spc
+from gaugeworks.operators import compare, contracts, evaluate, features, feeds, profile, review, spc, splits
 from gaugeworks.plans.registry import LIMITS, SCORES, known, query, rounded, scores, table
 
 # Context reviews
@@ -285,3 +285,42 @@ def con_board_rows(spark, d):
     rows = li.select(board.alias("board"), F.when(F.col("l_orderkey") % 10 == 7, F.monotonically_increasing_id().cast("string")).otherwise((F.col("l_linenumber") % 2).cast("string")).alias("pad"), value.alias("v"), (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("at"))
     out = contracts.board_rows(rows, "board", "pad", "v", "at")
     return out.where(~F.array_contains("reasons", "board_and_pad_repeated")).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'train' ELSE 'test' END AS split, count(*) AS n, sum((event_type = 'error')::INT)::BIGINT AS fails, round(avg((event_type = 'error')::INT), 6) AS fail_rate, min(ts) AS time_min, max(ts) AS time_max FROM events GROUP BY 1""")
+def prf_split_summary(spark, d):
+    e = table(spark, d, "events").withColumn("fail", (F.col("event_type") == "error").cast("int")).withColumn("split", F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"), "train").otherwise("test"))
+    return rounded(profile.split_summary(e, "split", "fail", "ts"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE user_id IN (3, 7) AND event_id <= CASE user_id WHEN 3 THEN 7000 ELSE 5000 END)
+SELECT user_id, event_id, ts, value, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) > 43200000000, false) AS break_before FROM r WHERE rn <= 20""")
+def prf_trace(spark, d):
+    return profile.trace(table(spark, d, "events"), "user_id", "event_id", "ts", "value", {3: 7000, 7: 5000}, 20, 43_200)
+
+
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, (event_id % 9 = 0)::INT + (event_type = 'error')::INT AS odd FROM events)
+SELECT user_id, count(*) AS n_rows, quantile_cont(step::DOUBLE, 0.5) AS median_step_us, max(step) AS largest_step_us, count_if(coalesce(step <= 0, false)) AS not_increasing, count_if(coalesce(step > 43200000000, false)) AS long_steps, sum(odd)::BIGINT AS nonfinite_cells FROM s GROUP BY 1""")
+def prf_process_cadence(spark, d):
+    e = table(spark, d, "events").withColumn("a", F.when(F.col("event_id") % 9 != 0, F.col("value"))).withColumn("b", F.when(F.col("event_type") == "error", float("inf")).otherwise(F.col("value")))
+    return profile.process_cadence(e, "user_id", ["ts", "event_id"], "ts", ["a", "b"], 43_200)
+
+
+@query(f"""WITH {SCORES}, n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS c FROM known), m AS (SELECT max(c) AS c FROM n), dr AS (SELECT r.i // c AS rep, r.i % c AS i, c FROM m, range(30 * c) r(i)),
+j AS (SELECT rep, i, dr.c, score, label, row_number() OVER (PARTITION BY rep ORDER BY score DESC, id::VARCHAR, i) AS rk FROM dr JOIN n ON ('0x' || substr(md5('1:' || rep || ':' || i), 1, 15))::BIGINT % dr.c = p),
+k AS (SELECT rep, f::DOUBLE AS fraction, sum(label) AS total, coalesce(sum(label) FILTER (rk <= ceil(c * f::DOUBLE)), 0) AS hit FROM j, (VALUES (0.1), (0.3)) v(f) GROUP BY ALL HAVING sum(label) > 0)
+SELECT fraction, count(*) AS replicates, round(avg(hit / total), 6) AS mean, round(quantile_cont(hit / total, 0.025), 6) AS low, round(quantile_cont(hit / total, 0.975), 6) AS high FROM k GROUP BY 1""")
+def eval_capture_interval(spark, d):
+    k = known(spark, d)
+    return rounded(evaluate.capture_interval(splits.bootstrap_draws(k.select("id"), "id", 30), k, [0.1, 0.3]))
+
+
+@query("""WITH q AS (SELECT o_orderkey AS r FROM orders WHERE o_orderkey % 3 <> 0), dc AS (SELECT l_orderkey AS r, l_linenumber AS n, l_shipdate AS d_at, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem WHERE l_linenumber IN (1, 5) AND l_orderkey % 5 <> 0),
+w AS (SELECT dc.*, CASE WHEN q.r IS NULL THEN 'unknown_review' WHEN c > 1 THEN 'decided_twice' WHEN d_at > TIMESTAMP '1998-01-01' THEN 'decided_after_recording' WHEN n = 5 THEN 'outcome_not_allowed' END AS reason FROM dc LEFT JOIN q ON q.r = dc.r)
+SELECT coalesce(reason, 'decided') AS state, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT 'pending', count(*) FROM q WHERE r NOT IN (SELECT r FROM w WHERE reason IS NULL)""")
+def rev_decisions(spark, d):
+    queue = table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("review_id"))
+    li = table(spark, d, "lineitem").where("l_linenumber in (1, 5) and l_orderkey % 5 <> 0")
+    decisions = li.select(F.col("l_orderkey").alias("review_id"), F.col("l_shipdate").alias("decided_at"), F.lit("1998-01-01").cast("timestamp_ntz").alias("recorded_at"), F.when(F.col("l_linenumber") == 1, "false_alarm").otherwise("other").alias("outcome"), F.lit("release").alias("action"))
+    bound, rejected = review.bind_decisions(queue, decisions)
+    return bound.select("state").unionByName(rejected.select(F.col("reason").alias("state"))).groupBy("state").agg(F.count("*").alias("n"))
