@@ -2,7 +2,9 @@
 
 A text is normalised (copyright statements, case, equivalent spellings, punctuation, white space), and the SHA-256 of
 the whole normalised text is joined to the digests of known licences. The same lookup is made for every line, which
-finds short notices inside longer texts. The SQL makes the same list and looks up every line too.
+finds short notices inside longer texts, and for runs of paragraphs, which finds whole licences inside longer texts: a
+licence is there if all its paragraphs, with or without its title, follow each other, empty ones left out. The SQL makes
+the same list and the same lookups.
 
 Nulls and empty texts have the digest of the empty string and match nothing; repeated rows give repeated rows, an
 empty table an empty result. A licence that is listed twice under one digest counts under its smallest name.
@@ -81,17 +83,48 @@ def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) ->
     return known.select(digest(F.col("text")).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
-def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, canonical_sha256, license_id, notice_ids): notice_ids are the distinct names that lines match, by name, comma-joined."""
+#: Where paragraphs part, and how long a first paragraph may be to count as a title.
+PARAGRAPH, TITLE = r"\n[ \t\r]*\n", 80
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(name, text) with paragraphs parted by empty lines: the texts of KNOWN have a paragraph a line."""
+    return [*((k, x.replace("\n", "\n\n")) for k, x in KNOWN.items() if not k.endswith("-notice")), *map(tuple, LISTED["texts"])]
+
+
+def _paragraphs(text: Column) -> Column:
+    """Canonical paragraphs that aren't empty."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), canonical), lambda x: x != "")
+
+
+def known_runs(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
+    """Rows (run_digest, run, name, j, n): paragraph j of the n of a run, a licence's paragraphs with its title or without."""
+    rows = whole_texts() if texts is None else list(texts.items())
+    df = spark.createDataFrame(rows, "name string, text string").select("name", _paragraphs(F.col("text")).alias("all")).where(F.size("all") > 0)
+    bare = df.where((F.size("all") > 1) & (F.length(F.get("all", F.lit(0))) <= TITLE)).select("name", F.slice("all", 2, F.size("all") - 1).alias("all"))
+    both = df.union(bare).withColumn("run", F.sha2(F.concat_ws("|", "name", F.array_join("all", "|")).cast("binary"), 256))
+    each = both.select("run", "name", F.size("all").alias("n"), F.posexplode("all").alias("j", "x"))
+    return each.select(F.sha2(F.col("x").cast("binary"), 256).alias("run_digest"), "run", "name", "j", "n")
+
+
+def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: DataFrame | None = None) -> DataFrame:
+    """Rows (id, canonical_sha256, license_id, notice_ids, and with runs embedded_ids): notice_ids are the distinct names that lines match,
+    embedded_ids those of runs of paragraphs, by name, comma-joined."""
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_text_md5"), text.alias("_text"))  # rows of one id and text have the same notices
     lines = docs.select("_id", "_text_md5", F.explode(F.split("_text", "\n")).alias("_line")).where(F.col("_line") != "").select("_id", "_text_md5", digest(F.col("_line")).alias("_digest"))
     named = F.broadcast(known.select(F.col("known_digest").alias("_digest"), F.col("license_id").alias("_name")))
-    notices = lines.join(named, "_digest").groupBy("_id", "_text_md5").agg(F.array_join(F.array_sort(F.collect_set("_name")), ",").alias("_names")).alias("n")
+    names = lambda found: found.groupBy("_id", "_text_md5").agg(F.array_join(F.array_sort(F.collect_set("_name")), ",").alias("_names"))
     whole = docs.select("_id", "_text_md5", digest(F.col("_text")).alias("_digest")).join(named, "_digest", "left").alias("w")
-    return whole.join(notices, F.col("w._id").eqNullSafe(F.col("n._id")) & (F.col("w._text_md5") == F.col("n._text_md5")), "left").select(
-        F.col("w._id").alias(id_col), F.col("_digest").alias("canonical_sha256"), F.col("_name").alias("license_id"), F.coalesce("_names", F.lit("")).alias("notice_ids")
-    )
+    same = lambda t: F.col("w._id").eqNullSafe(F.col(f"{t}._id")) & (F.col("w._text_md5") == F.col(f"{t}._text_md5"))
+    columns = [F.col("w._id").alias(id_col), F.col("w._digest").alias("canonical_sha256"), F.col("w._name").alias("license_id"), F.coalesce("n._names", F.lit("")).alias("notice_ids")]
+    out = whole.join(names(lines.join(named, "_digest")).alias("n"), same("n"), "left")
+    if runs is not None:
+        parts = docs.select("_id", "_text_md5", F.posexplode(_paragraphs(F.col("_text"))).alias("_at", "_x")).select("_id", "_text_md5", "_at", F.sha2(F.col("_x").cast("binary"), 256).alias("run_digest"))
+        hits = parts.join(F.broadcast(runs), "run_digest").groupBy("_id", "_text_md5", "run", F.col("name").alias("_name"), "n", (F.col("_at") - F.col("j")).alias("_start")).agg(F.count_distinct("j").alias("_found")).where("_found = n")
+        out = out.join(names(hits).alias("r"), same("r"), "left")
+        columns.append(F.coalesce("r._names", F.lit("")).alias("embedded_ids"))
+    return out.select(*columns)
 
 
 def _sql_lines(table: str, key: str, text: str) -> str:
@@ -102,11 +135,22 @@ def _sql_lines(table: str, key: str, text: str) -> str:
   FROM (SELECT {key}, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM (SELECT {key}, string_split(coalesce({text}, ''), chr(10)) AS lines FROM {table})))"""
 
 
-def _sql_digest(x: str) -> str:
+def _sql_paragraphs(table: str, key: str, text: str) -> str:
+    """Rows (key, at_j, x): canonical paragraphs that aren't empty, numbered from 0."""
+    cut = f"(SELECT {key}, unnest(ps) AS body, unnest(range(len(ps))) AS p FROM (SELECT {key}, string_split_regex(coalesce({text}, ''), '{PARAGRAPH}') AS ps FROM {table}))"
+    return f"""(SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY p) - 1 AS at_j, x FROM
+  (SELECT {key}, p, {_sql_canonical("string_agg(line, chr(10) ORDER BY pos)")} AS x FROM {_sql_lines(cut, f"{key}, p", "body")} GROUP BY {key}, p) WHERE x <> '')"""
+
+
+def _sql_canonical(x: str) -> str:
     x = rf"regexp_replace(lower({x}), '\b(sub|non)-\s+', '\1-', 'g')"
     for a, b in SPELLINGS:
         x = f"replace({x}, '{a}', '{b}')"
-    return f"sha256(replace(trim(regexp_replace({x}, '{OTHER}', ' ', 'g')), 'copyright holder', 'copyright owner'))"
+    return f"replace(trim(regexp_replace({x}, '{OTHER}', ' ', 'g')), 'copyright holder', 'copyright owner')"
+
+
+def _sql_digest(x: str) -> str:
+    return f"sha256({_sql_canonical(x)})"
 
 
 def sql() -> str:
@@ -126,5 +170,12 @@ known_text AS (SELECT i, string_agg(line, chr(10) ORDER BY pos) AS body FROM {_s
 known AS (SELECT {_sql_digest("k.body")} AS known_digest, min(license_id) AS license_id FROM known_text k JOIN numbered USING (i) GROUP BY 1),
 lines AS MATERIALIZED (SELECT * FROM {_sql_lines("documents", "doc_id", "text")}),
 notices AS (SELECT doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notice_ids FROM lines JOIN known k ON {_sql_digest("line")} = k.known_digest WHERE line <> '' GROUP BY doc_id),
-whole AS (SELECT doc_id, {_sql_digest("string_agg(line, chr(10) ORDER BY pos)")} AS canonical_sha256 FROM lines GROUP BY doc_id)
-SELECT w.doc_id, canonical_sha256, k.license_id, coalesce(n.notice_ids, '') AS notice_ids FROM whole w LEFT JOIN known k ON canonical_sha256 = k.known_digest LEFT JOIN notices n ON w.doc_id = n.doc_id"""
+whole AS (SELECT doc_id, {_sql_digest("string_agg(line, chr(10) ORDER BY pos)")} AS canonical_sha256 FROM lines GROUP BY doc_id),
+full_text AS (SELECT *, row_number() OVER () AS i FROM (VALUES {values(whole_texts())}) t(name, body)),
+kp AS {_sql_paragraphs("full_text", "i", "body")}, dp AS {_sql_paragraphs("documents", "doc_id", "text")},
+runs AS (SELECT i, 0 AS bare, at_j AS j, x, count(*) OVER (PARTITION BY i) AS n FROM kp UNION ALL
+  SELECT i, 1, at_j - 1, x, count(*) OVER (PARTITION BY i) FROM kp WHERE at_j > 0 AND i IN (SELECT i FROM kp WHERE at_j = 0 AND length(x) <= {TITLE})),
+hits AS (SELECT doc_id, r.i, bare, n, at_j - j AS start_at, count(DISTINCT j) AS found FROM dp JOIN runs r ON r.x = dp.x GROUP BY ALL HAVING count(DISTINCT j) = n),
+inside AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS embedded_ids FROM hits JOIN full_text USING (i) GROUP BY 1)
+SELECT w.doc_id, canonical_sha256, k.license_id, coalesce(n.notice_ids, '') AS notice_ids, coalesce(i.embedded_ids, '') AS embedded_ids
+FROM whole w LEFT JOIN known k ON canonical_sha256 = k.known_digest LEFT JOIN notices n ON w.doc_id = n.doc_id LEFT JOIN inside i ON w.doc_id = i.doc_id"""

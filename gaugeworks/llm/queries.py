@@ -25,7 +25,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(read_table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
+    return license_scan.license_scan(read_table(spark, sf_dir, "documents"), license_scan.known_licenses(spark), runs=license_scan.known_runs(spark))
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,17 @@ def test_license_edges(spark):
     assert [(r["doc_id"], r["license_id"], r["notice_ids"]) for r in got] == [(1, None, "MIT-notice"), (1, None, "MIT-notice"), (2, None, "")]
 
 
+def test_licenses_inside_longer_texts(spark):
+    texts = dict(license_scan.whole_texts())
+    mit = license_scan.KNOWN["MIT"].replace("\n", "\n\n").replace("Copyright (c)", "Copyright (c) 2020 Some Body")
+    bare = mit.split("\n\n", 2)[2]
+    bsd = texts["BSD-3-Clause"]
+    rows = [(1, f"Preface\n\n{mit}\n\nand more"), (2, f"x\n  \n{bare.upper()}\n\n{bsd}"), (3, mit.replace("\n\nThe above", "\n\nA paragraph between.\n\nThe above")), (4, bare.split("\n\n")[0]), (5, None), (6, mit), (6, mit)]
+    known, runs = license_scan.known_licenses(spark), license_scan.known_runs(spark)
+    got = sorted((r["doc_id"], r["embedded_ids"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known, runs=runs).collect())
+    assert got == [(1, "MIT"), (2, "BSD-3-Clause,MIT"), (3, ""), (4, ""), (5, ""), (6, "MIT"), (6, "MIT")]
+
+
 def test_jaccard_edges(spark):
     same = " ".join(f"w{i}" for i in range(30))
     rows = [(None, same), (3, same), (1, same + " tail"), (1, "other words that nobody else has at all"), (1, same + " tail"), (5, ""), (6, "  \n")]
