@@ -38,7 +38,7 @@ from gaugeworks.llm.shared import bitmap, in_bitmap, join_hot, lower_ascii, mix,
 #: Tokens known as frequent, and how often they were seen at least; sets in a block of members or queries, and about the most tokens of its sets.
 FREQUENT, LEAST_SEEN, BLOCK, TOKENS = 1 << 17, 4, 64, 1 << 18
 #: Tokens of the blocks that one call of the verification holds, about.
-HELD = 1 << 19
+HELD = 1 << 21
 
 
 def shingle_sets(column: pa.Array, words: int = 5) -> list[np.ndarray]:
