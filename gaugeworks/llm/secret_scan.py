@@ -12,6 +12,7 @@ code points, ends exclusive.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -55,7 +56,11 @@ WINDOW = 20
 #: Bits a character, by class: hexadecimal digits have at most 4, windows of 20 at most 4.32.
 HEX_BITS, OTHER_BITS = 3.0, 3.7
 HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
-_XLOGX = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
+
+
+@functools.lru_cache(maxsize=8)
+def _xlogx(window: int) -> list[float]:
+    return [0.0] + [k * math.log2(k) for k in range(1, window + 1)]
 
 
 def looks_like_words(letters: str) -> bool:
@@ -94,20 +99,21 @@ def entropy_spans(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans of s that windows above the threshold of their own class cover, touching ones joined."""
     highest, highest_hex = ((math.log2(window) - bits) * window + 1e-9 for bits in (OTHER_BITS, HEX_BITS))
     counts: dict[str, int] = {}
+    xlogx = _xlogx(window)
     total, other, letter, out = 0.0, -1, -1, []  # where the last character beyond hexadecimal, and the last letter stand
     for i, c in enumerate(s):
         if c not in HEXADECIMAL:
             other = i
         elif c > "9":
             letter = i
-        k = counts.get(c, 0)
-        counts[c] = k + 1
-        total += _XLOGX[k + 1] - _XLOGX[k]
-        if i >= window:
+        if i >= window:  # the leaving character first: no count passes the window's length
             gone = s[i - window]
             k = counts[gone]
             counts[gone] = k - 1
-            total += _XLOGX[k - 1] - _XLOGX[k]
+            total += xlogx[k - 1] - xlogx[k]
+        k = counts.get(c, 0)
+        counts[c] = k + 1
+        total += xlogx[k + 1] - xlogx[k]
         if i >= window - 1 and total <= (highest_hex if other <= i - window < letter else highest):
             a, b = i - window + 1, i + 1
             if out and a <= out[-1][1]:

@@ -98,13 +98,57 @@ def test_entropy_windows_equal_a_plain_count():
     hexa, plain = "0123456789abcdefABCDEF", "abcdefghijKLMNOPQ0123456789+/"
     for _ in range(200):
         s = "".join(r.choice(r.choice((hexa, plain, "aab1"))) for _ in range(r.randint(5, 80)))
-        covered = set()
-        for k in range(len(s) - secret_scan.WINDOW + 1):
-            w = s[k : k + secret_scan.WINDOW]
-            of_hex = all(c in hexa for c in w) and any(c > "9" for c in w)
-            if entropy(w) >= (secret_scan.HEX_BITS if of_hex else secret_scan.OTHER_BITS) - 1e-9:
-                covered |= set(range(k, k + len(w)))
-        assert covered == {i for a, b in secret_scan.entropy_spans(s) for i in range(a, b)}
+        assert covered_by_windows(s) == {i for a, b in secret_scan.entropy_spans(s) for i in range(a, b)}
+
+
+def covered_by_windows(s, window=secret_scan.WINDOW):
+    """Positions of s in a window whose plain entropy reaches its class's threshold."""
+    hexa, out = "0123456789abcdefABCDEF", set()
+    for k in range(len(s) - window + 1):
+        w = s[k : k + window]
+        of_hex = all(c in hexa for c in w) and any(c > "9" for c in w)
+        if entropy(w) >= (secret_scan.HEX_BITS if of_hex else secret_scan.OTHER_BITS) - 1e-9:
+            out |= set(range(k, k + window))
+    return out
+
+
+def runs(r, longest=500):
+    """Text of runs of one character, of random lengths."""
+    out = ""
+    while len(out) < longest:
+        out += r.choice("aAfF09zZq+/_=-g") * r.choice((1, 1, 1, 2, 3, 19, 20, 21, 22, 40, r.randint(1, 90)))
+    return out[: r.randint(0, longest)]
+
+
+def test_runs_of_one_character_have_a_result():
+    r = random.Random(21)
+    for n in (19, 20, 21, 22, 23, 40, 41, 300_000):
+        for c in "aAfF0zZ=/":
+            for around in ("", "zzz_", "iVBORw0KGgo", "key=" + "q7Rt2LpXz9", "0f3b"):
+                s = around + c * n
+                if n < 100:
+                    assert covered_by_windows(s) == {i for a, b in secret_scan.entropy_spans(s) for i in range(a, b)}
+                elif not around:
+                    assert [x for x in secret_scan.find_secrets(s) if x[1] == 3] == []
+                secret_scan.find_secrets(s)
+    for _ in range(150):
+        s = runs(r)
+        assert covered_by_windows(s) == {i for a, b in secret_scan.entropy_spans(s) for i in range(a, b)}
+        for a, k, b in secret_scan.find_secrets(f"x {s} y"):
+            assert 0 <= a < b <= len(s) + 4 and k in range(4)
+    for window in (1, 2, 7, 33):
+        assert secret_scan.entropy_spans("a" * 90, window) == []
+
+
+def test_runs_of_one_character_in_scan_redact_and_pipeline(spark):
+    long = "A" * 300_000
+    rows = [(1, "a" * 21), (2, "x " + long + " y"), (3, "iVBORw0KGgo" + "A" * 30), (4, f"token={'q' * 22} {long}"), (5, "f" * 32 + long), (6, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.summary(secret_scan.scan(docs)).collect()}
+    assert got == {1: "", 2: "", 3: "", 4: "assign:0:28", 5: "hex:0:32", 6: ""}
+    for stage in (secret_scan.redact(docs), corpus_pipeline.mask_secrets(spark, docs, "")):
+        masked = {x["doc_id"]: x["text"] for x in stage.collect()}
+        assert masked[4] == f"<secret> {long}" and masked[5] == "<secret>" + long and [masked[i] for i in (1, 2, 3, 6)] == [rows[i - 1][1] for i in (1, 2, 3, 6)]
 
 
 def sources(spark, sizes):
