@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import fill_middle, jaccard_join, license_scan, mixing, nearest, quality, secret_scan, sentencepiece_codec, token_count, toxicity, transport_stream
+from gaugeworks.llm import fill_middle, jaccard_join, license_scan, mixing, nearest, quality, secret_scan, sentencepiece_codec, source_divergence, token_count, toxicity, transport_stream
 from gaugeworks.llm.shared import read_table, saved
 
 #: A text counts as good from this score on, and as toxic from this expected severity on.
@@ -69,6 +69,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.summary(fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_token_count, op4_mixing, op5_quality, op6_jaccard_join, op7_nearest, op8_toxicity, op9_secret_scan, op10_transport_stream, op12_fill_middle)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(read_table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op6_jaccard_join": jaccard_join.sql(), "op12_fill_middle": fill_middle.sql()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_token_count, op4_mixing, op5_quality, op6_jaccard_join, op7_nearest, op8_toxicity, op9_secret_scan, op10_transport_stream, op12_fill_middle, op13_source_divergence)}
+
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op6_jaccard_join": jaccard_join.sql(), "op12_fill_middle": fill_middle.sql(), "op13_source_divergence": source_divergence.sql()}
