@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import fill_middle, jaccard_join, license_scan, mixing, nearest, quality, secret_scan, sentencepiece_codec, source_divergence, token_count, toxicity, transport_stream
+from gaugeworks.llm import fill_middle, id_store, jaccard_join, license_scan, mixing, nearest, quality, secret_scan, sentencepiece_codec, source_divergence, token_count, toxicity, transport_stream
 from gaugeworks.llm.shared import read_table, saved
 
 #: A text counts as good from this score on, and as toxic from this expected severity on.
 THRESHOLD, FLAGGED = 0.3, 0.2
+#: The id that ends a document in the store of ids.
+END = 2
 
 
 def tokenizer(name: str) -> str:
@@ -65,6 +67,11 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.summary(transport_stream.from_media(stored))
 
 
+def op11_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return id_store.look_up(id_store.write_store(docs, tokenizer("word_bpe_49k.json"), END), docs, with_ids=False)
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.summary(fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents")))
 
@@ -73,6 +80,6 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_token_count, op4_mixing, op5_quality, op6_jaccard_join, op7_nearest, op8_toxicity, op9_secret_scan, op10_transport_stream, op12_fill_middle, op13_source_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_token_count, op4_mixing, op5_quality, op6_jaccard_join, op7_nearest, op8_toxicity, op9_secret_scan, op10_transport_stream, op11_id_store, op12_fill_middle, op13_source_divergence)}
 
 ORACLES: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op6_jaccard_join": jaccard_join.sql(), "op12_fill_middle": fill_middle.sql(), "op13_source_divergence": source_divergence.sql()}
