@@ -6,10 +6,9 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from gaugeworks.operators.contracts import finite
 from gaugeworks.operators.evaluate import psi
@@ -45,68 +44,113 @@ def batch(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
-STATE = "seen array<long>, seen_at array<long>, last long, alerted boolean"
-OUT = "asset string, ts long, value double, seq long, reason string"
-
-
-def stateful(stream: DataFrame, limits: Limits = Limits(), timer: bool = False) -> DataFrame:
-    """Rows (asset, ts in microseconds, value, seq, reason): accepted rows have none, dead ones theirs, alerts `disconnect`.
-
-    State by asset: times seen within the retention, the time of the reading accepted last (in order of arrival), whether an
-    alert is out. A dead row leaves no trace in it. When a batch's last observation of an asset lies more than the limit
-    behind that time, the asset is told as disconnected, once, until a reading is accepted again. An asset that sends
-    nothing at all is told by a timer, which keeps a query running, so it is for continuous queries and not for those that
-    end with the data at hand."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen_list, at_list, last, alerted = state.get if state.exists else ([], [], None, False)
-        seen, columns = dict(zip(seen_list, at_list, strict=True)), ["asset", "ts", "value", "seq", "reason"]
-        if state.hasTimedOut:
-            if last is not None and not alerted:
-                yield pd.DataFrame([(key[0], last, None, None, "disconnect")], columns=columns)
-            state.update((seen_list, at_list, last, True))
-            return
-        now = None
-        for rows in frames:
-            out = []
-            times = rows["observed"].dropna()
-            now = max(int(times.max()), now or 0) if len(times) else now
-            for ts, value, observed, seq, broken in rows.sort_values("seq")[["ts", "value", "observed", "seq", "broken"]].itertuples(index=False):
-                if broken:
-                    out.append((key[0], None if pd.isna(ts) else int(ts), value, seq, "contract"))
-                    continue
-                ts, observed = int(ts), int(observed)
-                lag = (observed - ts) / 1e6
-                known = ts in seen and observed - seen[ts] <= limits.keep * 1e6
-                reason = "duplicate" if known else "future" if lag < -limits.ahead else "late" if lag > limits.late else None
-                if reason is None:
-                    seen[ts], last, alerted = observed, ts, False
-                out.append((key[0], ts, value, seq, reason))
-            newest = max(seen.values(), default=0)
-            seen = {t: o for t, o in seen.items() if newest - o <= limits.keep * 1e6}  # once a frame, so state keeps within the retention
-            yield pd.DataFrame(out, columns=columns)
-        if now is not None and last is not None and now - last > limits.silent * 1e6 and not alerted:
+OUT = "asset string, ts long, value double, seq long, reason string, raw string"
+READING = Row("asset", "ts", "value", "seq", "reason", "raw")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Asset(StatefulProcessor):
+    """What is kept of an asset: for each time of an accepted reading when it was observed, as an entry of its own that goes when its
+    time to live is over; the time of the reading accepted last (in order of arrival) and whether an alert is out; one timer.
+    A batch reads and writes the entries of its own readings alone."""
+
+    def __init__(self, limits: Limits, timer: bool, ttl: float) -> None:
+        self.limits, self.timer, self.ttl = limits, timer, ttl
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "ts long", "observed long", ttlDurationMs=int(self.ttl * 1000))
+        self.state = handle.getValueState("state", "last long, alerted boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        keep, now, known = self.limits.keep * 1e6, None, {}
+        last, alerted = self.state.get() or (None, False)
+        for r in sorted(rows, key=lambda r: r.seq):  # an asset's readings of one batch
+            now = r.observed if now is None else max(now, r.observed if r.observed is not None else now)
+            if r.broken:
+                yield READING(key[0], r.ts, r.value, r.seq, "contract", r.raw)
+                continue
+            if r.ts not in known:
+                known[r.ts] = self.seen.getValue((r.ts,))[0] if self.seen.containsKey((r.ts,)) else None
+            lag, before = (r.observed - r.ts) / 1e6, known[r.ts]
+            reason = "duplicate" if before is not None and r.observed - before <= keep else "future" if lag < -self.limits.ahead else "late" if lag > self.limits.late else None
+            if reason is None:
+                known[r.ts], last, alerted = r.observed, r.ts, False
+                self.seen.updateValue((r.ts,), (r.observed,))
+            yield READING(key[0], r.ts, r.value, r.seq, reason, None if reason is None else r.raw)
+        if now is not None and last is not None and now - last > self.limits.silent * 1e6 and not alerted:
             alerted = True
-            yield pd.DataFrame([(key[0], last, None, None, "disconnect")], columns=columns)
-        state.update((list(seen), list(seen.values()), last, alerted))
-        if timer:
-            state.setTimeoutDuration(int(limits.silent * 1000))
-
-    rows = stream.select("asset", F.unix_micros("ts").alias("ts"), "value", F.unix_micros("observed_at").alias("observed"), "seq", contract_broken().alias("broken"))
-    return rows.groupBy("asset").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout)
-
-
-def write_batches(out: DataFrame, folder: str, checkpoint: str):
-    """Accepted rows, dead letters and alerts as three tables, and each batch's counts; a batch that is run again replaces its own part."""
+            yield READING(key[0], last, None, None, "disconnect", None)
+        self.state.update((last, alerted))
+        if self.timer:
+            for at in self.handle.listTimers():
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.limits.silent * 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, alerted = self.state.get() or (None, False)
+        if last is not None and not alerted:
+            self.state.update((last, True))
+            yield READING(key[0], last, None, None, "disconnect", None)
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(stream: DataFrame, limits: Limits = Limits(), timer: bool = False, ttl: float | None = None) -> DataFrame:
+    """Rows (asset, ts in microseconds, value, seq, reason, raw): accepted rows have no reason, dead ones theirs and the whole row as
+    JSON, alerts `disconnect`.
+
+    A dead row leaves no trace in the state. When a batch's last observation of an asset lies more than the limit behind its last
+    accepted reading, the asset is told as disconnected, once, until a reading is accepted again. An asset that sends nothing at all
+    is told by its timer, for which the query has to go on (see write_batches). Entries live for `ttl` seconds by the clock, as long
+    as duplicates are looked for if not given; readings that are worked off later than that need more. The session keeps state in
+    RocksDB, which holds each entry by itself; queries begun with another store go on with theirs."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    raw = F.to_json(F.struct(*stream.columns))
+    rows = stream.select("asset", F.unix_micros("ts").alias("ts"), "value", F.unix_micros("observed_at").alias("observed"), "seq", contract_broken().alias("broken"), raw.alias("raw"))
+    return rows.groupBy("asset").transformWithState(Asset(limits, timer, limits.keep if ttl is None else ttl), OUT, "append", "ProcessingTime")
+
+
+def accepted_only(stream: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The cheap mode: the accepted rows alone, their duplicates dropped by a watermark, without reasons, alerts or Python.
+
+    Two readings of one asset and time that both are neither late nor early are observed within late + ahead of each other, so the
+    state of a reading goes after that. A row that arrives after rows observed so much later is dropped. Of duplicates within one
+    batch any may stay."""
+    lag = (F.unix_micros("observed_at") - F.unix_micros("ts")) / 1e6
+    fine = stream.where(~contract_broken() & lag.between(-limits.ahead, limits.late))
+    return fine.withWatermark("observed_at", f"{limits.late + limits.ahead} seconds").dropDuplicatesWithinWatermark(["asset", "ts"])
+
+
+def write_batches(out: DataFrame, folder: str, checkpoint: str, **trigger):
+    """Accepted rows, dead letters and alerts as three tables, and each batch's counts, observed while they are written; a batch that is
+    run again replaces its own part. trigger: as for a stream's writer, all data at hand if none is given. With such an end, timers
+    can only go off in batches with data."""
+    trigger = trigger or {"availableNow": True}
+    spark = out.sparkSession
 
     def write(df: DataFrame, batch_id: int) -> None:
-        df = df.persist()
+        df, counts = df.persist(), {}
         for name, rows in (("accepted", df.where("reason is null")), ("dead", df.where("reason <> 'disconnect'")), ("alerts", df.where("reason = 'disconnect'"))):
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
-        batch_counts(df.where("reason is null or reason <> 'disconnect'")).write.mode("overwrite").parquet(f"{folder}/counts/batch_id={batch_id}")
+            seen = Observation()
+            rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
+            counts[name] = seen.get["n"]
+        row = (counts["accepted"] + counts["dead"], counts["accepted"], counts["dead"])
+        df.sparkSession.createDataFrame([row], COUNTS).write.mode("overwrite").parquet(f"{folder}/counts/batch_id={batch_id}")
         df.unpersist()
 
-    return out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    ends = bool(trigger.get("availableNow") or trigger.get("once"))
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false" if ends else before)  # a query takes its own copy of the settings when it starts
+    try:
+        return out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
+    finally:
+        spark.conf.set(empty, before)
+
+
+COUNTS = "input_count long, accepted_count long, dead_letter_count long"
 
 
 def throughput(query) -> list[tuple[int, int, float]]:
