@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.ranking import exact_quantiles, global_rank, group_rank, running_sums
+from gaugeworks.functions.ranking import exact_quantiles, global_rank, group_rank, running_sums, saved
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -191,12 +193,82 @@ def disagreement(summary: DataFrame, family: str, mode: str, curve: str, capture
     return a.join(b, [family, "contrast"]).withColumn("disagree", F.coalesce((F.abs(x) > least) & (x * y < 0), F.lit(False)))
 
 
+def _intervals(caught: DataFrame, confidence: float) -> DataFrame:
+    """By fraction: means and percentile intervals of capture and precision over rows (fraction, cut, captured, total), one for each
+    replicate. Those without a positive are left out."""
+    tail = (1 - confidence) / 2
+    rates = {"": F.when(F.col("total") > 0, F.col("captured") / F.col("total")), "precision_": F.when(F.col("total") > 0, F.col("captured") / F.col("cut"))}
+    parts = [f.alias(f"{n}{k}") for n, v in rates.items() for k, f in (("mean", F.avg(v)), ("low", F.percentile(v, F.lit(tail))), ("high", F.percentile(v, F.lit(1 - tail))))]
+    return caught.groupBy("fraction").agg(F.count_if(F.col("total") > 0).alias("replicates"), *parts)
+
+
+def _of_fractions(fractions: list[float]) -> Column:
+    return F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
+
+
 def capture_interval(draws: DataFrame, scored: DataFrame, fractions: list[float], confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of capture by fraction over replicates (rows rep, i, id of bootstrap draws). Replicates without a positive are left out."""
+    """By fraction: percentile intervals of capture and precision over replicates (rows rep, i, id of bootstrap draws). Exact, and as
+    large as all draws together; see poisson_interval for large tables."""
     rows = draws.join(scored.select("id", "score", "label", F.col("id").cast("string").alias("_name")), "id")
-    w, whole = Window.partitionBy("rep").orderBy(F.desc("score"), "_name", "i"), Window.partitionBy("rep")  # a replicate is bounded by the draws' own limit
-    rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("n", F.count("*").over(whole))
-    caught = rows.groupBy("rep").agg(F.sum("label").alias("total"), *[F.sum(F.when(F.col("rank") <= F.ceil(F.col("n") * F.lit(float(f))), F.col("label")).otherwise(0)).alias(f"c{i}") for i, f in enumerate(fractions)]).where("total > 0")
-    tail = (1 - confidence) / 2
-    parts = [F.struct(F.lit(f).alias("fraction"), F.count("*").alias("replicates"), F.avg(F.col(f"c{i}") / F.col("total")).alias("mean"), F.percentile(F.col(f"c{i}") / F.col("total"), F.lit(tail)).alias("low"), F.percentile(F.col(f"c{i}") / F.col("total"), F.lit(1 - tail)).alias("high")).alias(f"f{i}") for i, f in enumerate(fractions)]
-    return caught.agg(*parts).select(F.inline(F.array(*[f"f{i}" for i in range(len(fractions))])))
+    rows = group_rank(rows, ["rep"], F.desc("score"), F.asc("_name"), F.asc("i"))
+    hits = [F.coalesce(F.sum(F.when(F.col("rank") <= F.ceil(F.col("_n") * F.lit(float(f))), F.col("label"))), F.lit(0)) for f in fractions]
+    each = [F.struct(F.lit(float(f)).alias("fraction"), F.ceil(F.max("_n") * F.lit(float(f))).alias("cut"), h.alias("captured")) for f, h in zip(fractions, hits, strict=True)]
+    caught = rows.groupBy("rep").agg(F.sum("label").alias("total"), F.array(*each).alias("each")).select("total", F.inline("each"))
+    found = _intervals(caught, confidence)
+    return scored.sparkSession.range(1).select(_of_fractions(fractions)).join(F.broadcast(found), "fraction", "left").fillna(0, ["replicates"])
+
+
+def hashed_uniform(seed: int = 1) -> Callable[[Column, Column], Column]:
+    """A number from 0 to below 1 for each replicate and id."""
+    return lambda rep, name: F.shiftrightunsigned(F.xxhash64(F.lit(seed), rep, name), 11) / float(1 << 53)
+
+
+def poisson_thresholds(most: int = 17) -> list[float]:
+    """The shares of a Poisson distribution of mean 1 at or below 0, 1, 2, ..."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, most + 1):
+        total += term
+        out.append(total)
+        term /= k
+    return out
+
+
+def poisson_interval(scored: DataFrame, fractions: list[float], replicates: int = 2000, confidence: float = 0.95, groups: int = 1024, uniform: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Like capture_interval for large tables: in each replicate a row counts as often as a Poisson number of mean 1 says, drawn by hash of
+    the replicate and the row's id.
+
+    The weights are summed by replicate and range of scores where the rows are, so what is shuffled is replicates x groups rows. Running
+    sums over the ranges tell in which one a replicate's cut lies; the rows of this one range alone are then summed by score, and
+    running sums over sorted ranges of (replicate, score) find the cut. Rows with equal scores come together: of the group at the cut,
+    its share of positives counts. Nothing holds a replicate's rows in one task."""
+    uniform = uniform or hashed_uniform()
+    rows = scored.select(F.col("id"), F.col("score").cast("double").alias("score"), F.col("label").cast("long").alias("label"))
+    shares = [i / groups for i in range(1, groups)]
+    cuts = sorted({c for c in rows.approxQuantile("score", shares, 0.25 / groups) if math.isfinite(c)}) if shares else []
+    if cuts:
+        rows = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="score", outputCol="range", handleInvalid="keep").transform(rows)
+    else:
+        rows = rows.withColumn("range", F.lit(0.0))
+
+    def weighed(df: DataFrame) -> DataFrame:
+        u, w = F.col("u"), F.lit(0)
+        for k, at in reversed(list(enumerate(poisson_thresholds()))):
+            w = F.when(u < at, k).otherwise(w if k < 16 else 17)
+        return df.withColumn("u", uniform(F.col("rep"), F.col("id"))).withColumn("w", w.cast("long")).where("w > 0")
+
+    sums = weighed(rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))).groupBy("rep", "range").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("label")).alias("p"))
+    whole = Window.partitionBy("rep")  # a row for each range
+    before = whole.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("w", "p")], F.sum("w").over(whole).alias("n"), F.sum("p").over(whole).alias("total"))
+    edge = sums.select("*", _of_fractions(fractions)).withColumn("cut", F.ceil(F.col("n") * F.col("fraction")))
+    edge = saved(edge.where("w0 < cut and cut <= w0 + w").select("rep", "range", "fraction", "cut", "total", "p0", (F.col("cut") - F.col("w0")).alias("need")))
+    # replicates x fractions rows
+    near = weighed(rows.join(F.broadcast(edge.select("rep", "range", "fraction")), "range")).groupBy("rep", "fraction", "score").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("label")).alias("p"))
+    run = saved(running_sums(near, [F.asc("rep"), F.asc("fraction"), F.desc("score")], {"seen": "w", "hits": "p"}))
+    start = run.groupBy("rep", "fraction").agg(F.min(F.col("seen") - F.col("w")).alias("s0"), F.min(F.col("hits") - F.col("p")).alias("h0"))
+    run = run.join(start, ["rep", "fraction"]).join(edge, ["rep", "fraction"])
+    last = F.col("seen") - F.col("s0") - F.col("w")  # draws before the group, within the range
+    at_cut = run.where((last < F.col("need")) & (F.col("need") <= last + F.col("w")))
+    captured = F.col("p0") + F.col("hits") - F.col("h0") - F.col("p") + F.col("p") * (F.col("need") - last) / F.col("w")
+    found = _intervals(at_cut.select("fraction", "cut", "total", captured.alias("captured")), confidence)
+    return scored.sparkSession.range(1).select(_of_fractions(fractions)).join(F.broadcast(found), "fraction", "left").fillna(0, ["replicates"])

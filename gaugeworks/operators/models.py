@@ -6,12 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.ranking import global_rank
+from gaugeworks.functions.ranking import global_rank, saved
 from gaugeworks.operators import splits
-from gaugeworks.operators.evaluate import average_precision, calibration, classification_metrics, roc_auc, top_k
+from gaugeworks.operators.evaluate import average_precision, calibration, classification_metrics, hashed_uniform, poisson_interval, roc_auc, top_k
 from gaugeworks.sources.sinks import guard_target, load_model, publish, rows_digest
 
 
@@ -135,23 +135,63 @@ def verify_selection(manifest: dict, train: DataFrame, features: list[str], know
         raise ValueError(f"the saved model was not made so: {sorted(wrong)} differ")
 
 
-def locked_scores(path: str, df: DataFrame, declared: dict, target: str, fractions: list[float], id_col: str = "id", label: str = "label") -> dict[str, DataFrame]:
-    """One evaluation with a saved model: nothing is fitted or tuned. declared: what was approved (features_sha256, rows_digest of the data
-    set, n_rows). The target must be absent or empty. Tables, written when all are ready: predictions (ranked), metrics, budgets."""
+def refit_selected(manifest: dict, frozen: DataFrame, train: DataFrame, features: list[str], known: list[str], id_col: str = "id", label: str = "label", ts: str = "ts") -> PipelineModel:
+    """The manifest's candidate fitted once more on the frozen split, after every row of `train` was found there with its label and time.
+    frozen: (id, label, time) of the split, without repeats. Raises, before anything is fitted, if a row is lacking, added, repeated or
+    changed, or if the manifest isn't that of these rows and features."""
+    verify_selection(manifest, train, features, known, id_col, label)
+    mine = train.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"), F.first(label).alias("_label"), F.first(ts).alias("_ts"))
+    j = frozen.select(F.col(id_col).alias("_id"), F.lit(1).alias("_known"), F.col(label).alias("_label_then"), F.col(ts).alias("_ts_then")).join(mine, "_id", "full")
+    both = F.col("_known").isNotNull() & F.col("_n").isNotNull()
+    counts = j.agg(
+        F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_known").isNull()).alias("unexpected"), F.count_if(F.col("_n") > 1).alias("repeated"),
+        F.count_if(both & ~F.col("_label").eqNullSafe(F.col("_label_then"))).alias("label_changed"), F.count_if(both & ~F.col("_ts").eqNullSafe(F.col("_ts_then"))).alias("time_changed"),
+    ).first().asDict()
+    if wrong := {k: v for k, v in counts.items() if v}:
+        raise ValueError(f"not the frozen split: {wrong}")
+    whole = balanced(train.withColumnsRenamed({id_col: "id", label: "label"}))
+    return candidates(whole.count(), features)[manifest["candidate"]].fit(whole)
+
+
+APPROVED = ("features_sha256", "rows_digest", "n_rows", "approved_by", "approved_at")
+
+
+def _approval_digest() -> Column:
+    return F.sha2(F.to_json(F.struct(*APPROVED), {"ignoreNullFields": "false"}), 256)
+
+
+def approval(manifest: dict, df: DataFrame, approved_by: str, approved_at: str, id_col: str = "id", label: str = "label") -> DataFrame:
+    """One row: a data set and a model's features, who approved their evaluation and when, and the digest that binds all of it."""
+    row = df.agg(F.count("*").alias("n_rows"), rows_digest(id_col, label).alias("rows_digest"))
+    return row.select(F.lit(manifest["features_sha256"]).alias("features_sha256"), "rows_digest", "n_rows", F.lit(approved_by).alias("approved_by"), F.lit(approved_at).alias("approved_at")).withColumn("digest", _approval_digest())
+
+
+def _declared(approved: DataFrame) -> tuple[dict, str]:
+    rows = approved.withColumn("_now", _approval_digest()).limit(2).collect()
+    if len(rows) != 1 or rows[0]["_now"] != rows[0]["digest"]:
+        raise ValueError("the approval isn't one row that its digest binds")
+    return {k: rows[0][k] for k in ("features_sha256", "rows_digest", "n_rows")}, rows[0]["digest"]
+
+
+def locked_scores(path: str, df: DataFrame, declared: dict | DataFrame, target: str, fractions: list[float], id_col: str = "id", label: str = "label", replicates: int = 2000, seed: int = 20260905) -> dict[str, DataFrame]:
+    """One evaluation with a saved model: nothing is fitted or tuned. declared: what was approved, as a table made by `approval` or as
+    its values (features_sha256, rows_digest of the data set, n_rows). The target must be absent or empty. Tables, written when all are
+    ready: predictions (ranked), metrics (with the approval's digest), budgets, and bootstrap (intervals of capture and precision)."""
     spark = df.sparkSession
     guard_target(spark, target)
     model, manifest = load_model(spark, path)
     features = list(manifest["features"])
     if lacking := sorted(set(features) - set(df.columns)):
         raise ValueError(f"features {lacking[:5]} are absent")
+    declared, digest = (declared, None) if isinstance(declared, dict) else _declared(declared)
     actual = df.agg(F.count("*").alias("n_rows"), rows_digest(id_col, label).alias("rows_digest")).first().asDict() | {"features_sha256": manifest["features_sha256"]}
     if wrong := [k for k, v in declared.items() if actual.get(k) != v]:
         raise ValueError(f"not what was approved: {wrong} differ")
-    s = score(model, df.withColumnRenamed(id_col, "id").withColumnRenamed(label, "label"))
+    s = saved(score(model, df.withColumnRenamed(id_col, "id").withColumnRenamed(label, "label")))
     if not s.where(~F.coalesce(F.col("score").between(0, 1), F.lit(False))).isEmpty():
         raise ValueError("a score is outside 0 to 1")
     ranked = priority_table(s, "id", 0.5)
-    metrics = classification_metrics(s).join(average_precision(s), how="cross").join(roc_auc(s), how="cross").join(calibration(s), how="cross")
-    tables = {"predictions": ranked, "metrics": metrics, "budgets": top_k(s, fractions)}
+    metrics = classification_metrics(s).join(average_precision(s), how="cross").join(roc_auc(s), how="cross").join(calibration(s), how="cross").withColumn("approval_digest", F.lit(digest).cast("string"))
+    tables = {"predictions": ranked, "metrics": metrics, "budgets": top_k(s, fractions), "bootstrap": poisson_interval(s, fractions, replicates, uniform=hashed_uniform(seed))}
     publish(tables, target)
     return {k: spark.read.parquet(f"{target}/{k}") for k in tables}

@@ -308,13 +308,29 @@ def prf_process_cadence(spark, d):
 
 @query(f"""WITH {SCORES}, n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS c FROM known), m AS (SELECT max(c) AS c FROM n), dr AS (SELECT r.i // c AS rep, r.i % c AS i, c FROM m, range(30 * c) r(i)),
 j AS (SELECT rep, i, dr.c, score, label, row_number() OVER (PARTITION BY rep ORDER BY score DESC, id::VARCHAR, i) AS rk FROM dr JOIN n ON ('0x' || substr(md5('1:' || rep || ':' || i), 1, 15))::BIGINT % dr.c = p),
-k AS (SELECT rep, f::DOUBLE AS fraction, sum(label) AS total, coalesce(sum(label) FILTER (rk <= ceil(c * f::DOUBLE)), 0) AS hit FROM j, (VALUES (0.1), (0.3)) v(f) GROUP BY ALL HAVING sum(label) > 0)
-SELECT fraction, count(*) AS replicates, round(avg(hit / total), 6) AS mean, round(quantile_cont(hit / total, 0.025), 6) AS low, round(quantile_cont(hit / total, 0.975), 6) AS high FROM k GROUP BY 1""")
+k AS (SELECT rep, f::DOUBLE AS fraction, any_value(ceil(c * f::DOUBLE)) AS cut, sum(label) AS total, coalesce(sum(label) FILTER (rk <= ceil(c * f::DOUBLE)), 0) AS hit FROM j, (VALUES (0.1), (0.3)) v(f) GROUP BY ALL HAVING sum(label) > 0)
+SELECT fraction, count(*) AS replicates, round(avg(hit / total), 6) AS mean, round(quantile_cont(hit / total, 0.025), 6) AS low, round(quantile_cont(hit / total, 0.975), 6) AS high,
+  round(avg(hit / cut), 6) AS precision_mean, round(quantile_cont(hit / cut, 0.025), 6) AS precision_low, round(quantile_cont(hit / cut, 0.975), 6) AS precision_high FROM k GROUP BY 1""")
 def eval_capture_interval(spark, d):
     k = known(spark, d)
     return rounded(evaluate.capture_interval(splits.bootstrap_draws(k.select("id"), "id", 30), k, [0.1, 0.3]))
 
 
+def md5_uniform(rep, name):
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("1"), rep.cast("string"), name.cast("string")).cast("binary")), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+@query(f"""WITH {SCORES}, u AS (SELECT r.i AS rep, id, round(score, 2) AS score, label, ('0x' || substr(md5('1:' || r.i || ':' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM known, range(40) r(i)),
+w AS (SELECT *, CASE {" ".join(f"WHEN u < {t!r}::DOUBLE THEN {i}" for i, t in enumerate(evaluate.poisson_thresholds()))} ELSE 17 END AS w FROM u),
+g AS (SELECT rep, score, sum(w) AS w, sum(w * label) AS p FROM w WHERE w > 0 GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY rep ORDER BY score DESC) - w AS b, sum(p) OVER (PARTITION BY rep ORDER BY score DESC) - p AS h, sum(w) OVER (PARTITION BY rep) AS n, sum(p) OVER (PARTITION BY rep) AS total FROM g),
+k AS (SELECT rep, f::DOUBLE AS fraction, ceil(n * f::DOUBLE) AS cut, total, h + p * (ceil(n * f::DOUBLE) - b) / w AS hit FROM r, (VALUES (0.1), (0.3)) v(f) WHERE b < ceil(n * f::DOUBLE) AND ceil(n * f::DOUBLE) <= b + w AND total > 0)
+SELECT fraction, count(*) AS replicates, round(avg(hit / total), 6) AS mean, round(quantile_cont(hit / total, 0.025), 6) AS low, round(quantile_cont(hit / total, 0.975), 6) AS high,
+  round(avg(hit / cut), 6) AS precision_mean, round(quantile_cont(hit / cut, 0.025), 6) AS precision_low, round(quantile_cont(hit / cut, 0.975), 6) AS precision_high FROM k GROUP BY 1""")
+def eval_poisson_interval(spark, d):
+    k = known(spark, d).withColumn("score", F.round("score", 2))
+    return rounded(evaluate.poisson_interval(k, [0.1, 0.3], 40, groups=16, uniform=md5_uniform))
+
+
 @query("""WITH q AS (SELECT o_orderkey AS r FROM orders WHERE o_orderkey % 3 <> 0), dc AS (SELECT l_orderkey AS r, l_linenumber AS n, l_shipdate AS d_at, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem WHERE l_linenumber IN (1, 5) AND l_orderkey % 5 <> 0),
 w AS (SELECT dc.*, CASE WHEN q.r IS NULL THEN 'unknown_review' WHEN c > 1 THEN 'decided_twice' WHEN d_at > TIMESTAMP '1998-01-01' THEN 'decided_after_recording' WHEN n = 5 THEN 'outcome_not_allowed' END AS reason FROM dc LEFT JOIN q ON q.r = dc.r)
 SELECT coalesce(reason, 'decided') AS state, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT 'pending', count(*) FROM q WHERE r NOT IN (SELECT r FROM w WHERE reason IS NULL)""")

@@ -160,14 +160,47 @@ def test_models_in_use(spark, tmp_path):
     with pytest.raises(ValueError, match="rows_digest"):
         models.verify_selection(manifest, fit.withColumn("label", F.when(F.col("id") == 0, 1 - F.col("label")).otherwise(F.col("label"))), ["f0", "f1"], ["forest_d8_l4"])
     approved = {"features_sha256": manifest["features_sha256"], "n_rows": later.count()} | later.agg(sinks.rows_digest("id", "label").alias("rows_digest")).first().asDict()
-    out = models.locked_scores(path, later, approved, target, [0.1, 0.5])
+    out = models.locked_scores(path, later, approved, target, [0.1, 0.5], replicates=200)
     assert out["predictions"].count() == later.count() and out["budgets"].count() == 2 and out["metrics"].first()["roc_auc"] > 0.7
+    assert [(r["fraction"], r["replicates"]) for r in out["bootstrap"].orderBy("fraction").collect()] == [(0.1, 200), (0.5, 200)] and out["bootstrap"].where("low <= mean and mean <= high and precision_low <= precision_high").count() == 2
+    signed = models.approval(manifest, later, "reviewer", "2025-01-01")
+    again = models.locked_scores(path, later, signed, f"{target}1", [0.1, 0.5], replicates=200)
+    assert again["bootstrap"].orderBy("fraction").collect() == out["bootstrap"].orderBy("fraction").collect()
+    assert again["metrics"].first()["approval_digest"] == signed.first()["digest"] and out["metrics"].first()["approval_digest"] is None
+    for changed in (signed.withColumn("n_rows", F.lit(3).cast("long")), signed.withColumn("approved_by", F.lit("another")), signed.union(signed), signed.limit(0)):
+        with pytest.raises(ValueError, match="approval"):
+            models.locked_scores(path, later, changed, f"{target}2", [0.1])
+    with pytest.raises(ValueError, match="rows_digest"):
+        models.locked_scores(path, later, models.approval(manifest, fit, "reviewer", "2025-01-01"), f"{target}2", [0.1])
     with pytest.raises(ValueError, match="absent or empty"):
         models.locked_scores(path, later, approved, target, [0.1])
     with pytest.raises(ValueError, match="n_rows"):
         models.locked_scores(path, later, approved | {"n_rows": 3}, f"{target}2", [0.1])
 
 
+def test_a_refit_needs_the_frozen_split(spark, tmp_path):
+    fit = labelled(spark).where("id < 160")
+    frozen, path, known = fit.select("id", "label", "ts"), f"file://{tmp_path}/model", ["l1_C0.1", "l1_C1"]
+    whole = models.balanced(fit)
+    saved = models.candidates(whole.count(), ["f0", "f1"])["l1_C1"].fit(whole)
+    sinks.save_model(saved, path, ["f0", "f1"], fit, "id", "label", "l1_C1")
+    loaded, manifest = sinks.load_model(spark, path)
+    again = models.refit_selected(manifest, frozen, fit, ["f0", "f1"], known)
+    assert again.stages[-1].coefficients.toArray() == pytest.approx(loaded.stages[-1].coefficients.toArray(), rel=1e-9) and again.stages[-1].intercept == pytest.approx(loaded.stages[-1].intercept, rel=1e-9)
+    later = F.col("ts") + F.expr("interval 1 hour")
+    for changed, why in (
+        (frozen.where("id <> 3"), "unexpected"), (frozen.unionByName(frozen.where("id = 3").withColumn("id", F.lit(999).cast("long"))), "missing"),
+        (frozen.withColumn("label", F.when(F.col("id") == 3, 1 - F.col("label")).otherwise(F.col("label"))), "label_changed"), (frozen.withColumn("ts", F.when(F.col("id") == 3, later).otherwise(F.col("ts"))), "time_changed"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            models.refit_selected(manifest, changed, fit, ["f0", "f1"], known)
+    for rows in (fit.where("id <> 3"), fit.unionByName(fit.where("id = 3")), fit.withColumn("label", F.when(F.col("id") == 3, 1 - F.col("label")).otherwise(F.col("label")))):
+        with pytest.raises(ValueError):
+            models.refit_selected(manifest, frozen, rows, ["f0", "f1"], known)
+    with pytest.raises(ValueError, match="candidate"):
+        models.refit_selected(manifest, frozen, fit, ["f0", "f1"], ["l1_C0.1"])
+
+
 def test_saved_tables_and_budgets(spark):
     a = spark.createDataFrame([("a", 1, 0.9, 1), ("b", 2, 0.6, 1), ("c", 3, 0.1, 0)], "id string, rank long, score double, prediction int")
     b = spark.createDataFrame([("a", 2, 0.7, 1), ("b", 1, 0.8, 1), ("d", 3, 0.1, 0)], "id string, rank long, score double, prediction int")

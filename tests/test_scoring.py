@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,9 +18,70 @@ def test_paired_repeats(spark):
         evaluate.paired_repeats(df.where("not (candidate = 'f1' and repeat = 4)"), "logistic", "forest")
 
 
+def poisson_by_hand(spark, df, fractions, replicates):
+    """The same weights, summed in Python row by row."""
+    u = evaluate.hashed_uniform()
+    rows = df.select("id", "score", "label", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("u", u(F.col("rep"), F.col("id"))).collect()
+    steps, out = evaluate.poisson_thresholds(), {}
+    for f in fractions:
+        capture, precision = [], []
+        for rep in range(replicates):
+            groups = {}
+            for r in rows:
+                if r["rep"] == rep:
+                    w = sum(r["u"] >= t for t in steps)
+                    g = groups.setdefault(r["score"], [0, 0])
+                    g[0], g[1] = g[0] + w, g[1] + w * r["label"]
+            n, total = (sum(g[i] for g in groups.values()) for i in (0, 1))
+            left, hit = math.ceil(n * f), 0.0
+            cut = left
+            for s in sorted(groups, reverse=True):
+                w, p = groups[s]
+                if w and left > 0:
+                    hit += p * min(1, left / w)
+                    left -= w
+            if total:
+                capture.append(hit / total)
+                precision.append(hit / cut)
+        out[f] = [len(capture)] + [float(g(x)) for x in (capture, precision) for g in (np.mean, lambda x: np.quantile(x, 0.025), lambda x: np.quantile(x, 0.975))]
+    return out
+
+
+NAMES = ["replicates", "mean", "low", "high", "precision_mean", "precision_low", "precision_high"]
+
+
+@pytest.mark.parametrize("groups", [1, 2, 8, 1024])
+def test_poisson_interval_equals_a_plain_sum(spark, groups):
+    for scores in ((F.col("id") * 37 % 100) / 100, F.floor(F.col("id") / 30) / 10, F.lit(0.5)):
+        df = spark.range(150).select("id", scores.cast("double").alias("score"), ((F.col("id") % 11 == 0) | (F.col("id") > 140)).cast("int").alias("label"))
+        got = {r["fraction"]: [r[n] for n in NAMES] for r in evaluate.poisson_interval(df, [0.05, 0.2, 1.0], 25, groups=groups).collect()}
+        want = poisson_by_hand(spark, df, [0.05, 0.2, 1.0], 25)
+        assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], abs=1e-12) for f in want)
+
+
+def test_poisson_interval_is_near_the_exact_one(spark):
+    df = spark.range(400).select("id", ((F.col("id") * 7919 % 400) / 400).alias("score"))
+    df = df.withColumn("label", (F.pmod(F.xxhash64("id"), F.lit(100)) < F.col("score") * 40).cast("int"))
+    exact = evaluate.capture_interval(splits.bootstrap_draws(df.select("id"), "id", 400), df, [0.2]).first()
+    near = evaluate.poisson_interval(df, [0.2], 400).first()
+    assert exact["replicates"] == near["replicates"] == 400
+    assert all(abs(exact[n] - near[n]) < 0.04 for n in NAMES[1:])
+    whole = df.agg(F.sum(F.when(F.col("score") >= 0.8, F.col("label"))) / F.sum("label")).first()[0]
+    assert near["low"] < whole < near["high"]
+
+
+def test_intervals_of_nothing(spark):
+    df = spark.range(20).select("id", F.lit(0.1).alias("score"), F.lit(0).alias("label"))
+    for t in (df, df.limit(0)):
+        row = evaluate.poisson_interval(t, [0.1], 5).first()
+        assert row["replicates"] == 0 and row["mean"] is None and row["precision_high"] is None
+    assert abs(sum(1 - t for t in evaluate.poisson_thresholds()) - 1) < 1e-12  # the mean of the weights
+
+
 def test_capture_interval(spark):
     df = spark.range(100).select("id", (F.col("id") / 100).alias("score"), (F.col("id") >= 90).cast("int").alias("label"))
     got = evaluate.capture_interval(splits.bootstrap_draws(df.select("id"), "id", 50), df, [0.1, 1.0]).orderBy("fraction").collect()
+    assert got[0]["precision_mean"] > got[1]["precision_mean"] and abs(got[1]["precision_mean"] - 0.1) < 0.02
     assert got[1]["low"] == got[1]["high"] == 1.0 and 0.5 < got[0]["low"] <= got[0]["mean"] <= got[0]["high"] <= 1.0
     none = df.withColumn("label", F.lit(0))
     assert evaluate.capture_interval(splits.bootstrap_draws(df.select("id"), "id", 5), none, [0.1]).first()["replicates"] == 0
