@@ -11,11 +11,11 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.ranking import saved
+
 METHODS = ("shewhart", "ewma", "cusum")
 #: Evidence that a claim of stable running needs.
 STABILITY = ("operating_context", "trend", "distribution", "autocorrelation", "motion_cycle")
@@ -138,7 +138,7 @@ def reference_fit(run_table: DataFrame, key: str, c: Config) -> DataFrame:
     return fit.join(lag1, how="cross").select("n", "center", "scale", F.when((F.col("n") > 2) & (F.col("b") > 0), F.col("a") / F.col("b")).alias("lag1"), state.alias("state"))
 
 
-def statistics(run_table: DataFrame, key: str, center: float, scale: float, c: Config) -> DataFrame:
+def statistics(run_table: DataFrame, key: str, center: Column | float, scale: Column | float, c: Config) -> DataFrame:
     """Rows (key, k, segment, shewhart, ewma, cusum) of evaluable windows, without reset after an alarm. Any other window starts anew.
 
     CUSUM is a running sum less its running minimum. EWMA sums a frame so long that what lies before it is below double precision.
@@ -155,31 +155,80 @@ def statistics(run_table: DataFrame, key: str, center: float, scale: float, c: C
     return z.select(key, "k", "segment", F.abs("z").alias("shewhart"), "ewma", F.greatest(up, down).alias("cusum"))
 
 
+#: Windows of a file that are folded as one row, and of its parts, whose results are joined.
+CHUNK, PART = 16_384, 256
+
+
+def _fold(run_table: DataFrame, key: str, center: Column | float, scale: Column | float, grid: list[tuple[str, Column | float]], c: Config, rows: bool = False, keep: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """Detectors that start anew after an alarm, all of the grid in one pass. A file's windows are cut into chunks of bounded size; each is
+    folded in order, and its end state is handed on to the next, so there are as many rounds as the longest file has chunks.
+
+    Rows (key, keep, at): by detector of the grid its alarms and episodes. With rows: (key, k, segment, statistic, alarm) of evaluable
+    windows for the one detector. keep: columns that are the same for all of a file's windows; thresholds may be made of them."""
+    w = Window.partitionBy(key).orderBy("k")
+    ok = F.col("value").isNotNull() & ~F.isnan("value")
+    items = run_table.select(
+        key, *keep, "k", F.when(ok, (F.col("value") - center) / scale).alias("z"), F.sum((~ok).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"),
+        F.floor((F.row_number().over(w) - 1) / chunk).alias("chunk"),
+    )
+    items = saved(items.groupBy(key, *keep, "chunk").agg(F.sort_array(F.collect_list(F.struct("k", "segment", "z"))).alias("items")))
+
+    def state(e: Column, up: Column, down: Column, alarms: Column, episodes: Column, alarm: Column) -> Column:
+        return F.struct(e.alias("e"), up.alias("up"), down.alias("down"), alarms.alias("alarms"), episodes.alias("episodes"), alarm.alias("alarm"))
+
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+
+    def after(s: Column, z: Column, method: str, threshold: Column | float) -> tuple[Column, Column]:
+        e, up, down = c.lam * z + (1 - c.lam) * s["e"], F.greatest(zero, s["up"] + z - c.slack), F.greatest(zero, s["down"] - z - c.slack)
+        if method == "shewhart":
+            stat, moved = F.abs(z), (zero, zero, zero)
+        elif method == "ewma":
+            stat, moved = F.abs(e) / math.sqrt(c.lam / (2 - c.lam)), (e, zero, zero)
+        else:
+            stat, moved = F.greatest(up, down), (zero, up, down)
+        alarm = F.coalesce(stat > threshold, F.lit(False))
+        new = state(*[F.when(alarm, zero).otherwise(x) for x in moved], s["alarms"] + alarm.cast("long"), s["episodes"] + (alarm & ~s["alarm"]).cast("long"), alarm)
+        return F.when(z.isNull(), state(zero, zero, zero, s["alarms"], s["episodes"], F.lit(False))).otherwise(new), stat
+
+    def all_after(at: Column, item: Column) -> Column:
+        return F.array(*[after(at[i], item["z"], m, t)[0] for i, (m, t) in enumerate(grid)])
+
+    def told(a: Column, item: Column) -> Column:
+        s, stat = after(a["at"][0], item["z"], *grid[0])
+        row = F.struct(item["k"].alias("k"), item["segment"].alias("segment"), stat.alias("statistic"), s["alarm"].alias("alarm"))
+        return F.struct(F.array(s).alias("at"), F.when(item["z"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(row))).alias("out"))
+
+    start = F.array(*[state(zero, zero, zero, none, none, F.lit(False)) for _ in grid])
+    no_rows = F.array().cast("array<struct<k:bigint,segment:bigint,statistic:double,alarm:boolean>>")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / PART)), lambda i: F.slice("items", i * PART + 1, PART))
+    first = F.array(F.struct(F.col("at"), no_rows.alias("out")))
+    by_part = F.aggregate(parts, first, lambda done, part: F.concat(done, F.array(F.aggregate(part, F.struct(F.element_at(done, -1)["at"].alias("at"), no_rows.alias("out")), told))))
+    rounds, states = items.agg(F.max("chunk")).first()[0], None
+    done = []
+    for r in range((rounds or 0) + 1):
+        now = items.where(F.col("chunk") == r)
+        now = now.withColumn("at", start) if states is None else now.join(states, key)
+        if rows:
+            now = now.select(key, *keep, "chunk", by_part.alias("done")).select(key, *keep, "chunk", F.element_at("done", -1)["at"].alias("at"), F.flatten("done.out").alias("out"))
+        else:
+            now = now.select(key, *keep, "chunk", F.aggregate("items", F.col("at"), all_after).alias("at"))
+        now = saved(now) if rounds else now
+        states = now.select(key, "at")
+        done.append(now)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    if rows:
+        return out.select(key, F.inline("out"))
+    return out if not rounds else out.groupBy(key, *keep).agg(F.max_by("at", "chunk").alias("at"))
+
+
 def detect(run_table: DataFrame, key: str, center: float, scale: float, method: str, threshold: float, c: Config) -> DataFrame:
     """Rows (key, k, segment, statistic, alarm) of evaluable windows for one method and threshold. With reset after an alarm the
     statistic depends on the threshold, and a file's windows (not its samples) are gone through in order."""
-    if not c.reset_after_alarm:
-        return statistics(run_table, key, center, scale, c).select(key, "k", "segment", F.col(method).alias("statistic"), (F.col(method) > threshold).alias("alarm"))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        e = up = down = 0.0
-        segment, out = 0, []
-        for k, value in zip(rows["k"], rows["value"], strict=True):
-            if value is None or np.isnan(value):
-                e = up = down = 0.0
-                segment += 1
-                continue
-            z = (value - center) / scale
-            e, up, down = c.lam * z + (1 - c.lam) * e, max(0.0, up + z - c.slack), max(0.0, down - z - c.slack)
-            stat = abs(z) if method == "shewhart" else abs(e) / math.sqrt(c.lam / (2 - c.lam)) if method == "ewma" else max(up, down)
-            out.append((rows[key].iloc[0], k, segment, stat, stat > threshold))
-            if stat > threshold:
-                e = up = down = 0.0
-        return pd.DataFrame(out, columns=[key, "k", "segment", "statistic", "alarm"])
-
-    kind = run_table.schema[key].dataType.simpleString()
-    return run_table.select(key, "k", "value").groupBy(key).applyInPandas(walk, f"`{key}` {kind}, k long, segment long, statistic double, alarm boolean")
+    if c.reset_after_alarm:
+        return _fold(run_table, key, center, scale, [(method, threshold)], c, rows=True)
+    return statistics(run_table, key, center, scale, c).select(key, "k", "segment", F.col(method).alias("statistic"), (F.col(method) > threshold).alias("alarm"))
 
 
 def alarm_counts(detected: DataFrame, run_table: DataFrame, key: str, c: Config) -> DataFrame:
@@ -206,19 +255,15 @@ def mask(run_table: DataFrame, key: str) -> DataFrame:
 def calibrate(run_table: DataFrame, key: str, center: float, scale: float, c: Config) -> DataFrame:
     """Rows (method, threshold, alarms, evaluable, tried, chosen): each method's grid, whether a threshold was reached before an
     earlier one fitted, and the one chosen: the first whose alarms are within the budget. A method without one has failed."""
-    parts = []
+    grid = [(m, i, float(t)) for m in METHODS for i, t in enumerate(c.grids[m])]
     if c.reset_after_alarm:
-        for m in METHODS:
-            for i, t in enumerate(c.grids[m]):
-                parts.append(detect(run_table, key, center, scale, m, t, c).agg(F.count("*").alias("evaluable"), F.count_if("alarm").alias("alarms")).select(F.lit(m).alias("method"), F.lit(i).alias("i"), F.lit(float(t)).alias("threshold"), "alarms", "evaluable"))
+        at = _fold(run_table, key, center, scale, [(m, t) for m, _, t in grid], c)
+        counts = at.agg(*[F.coalesce(F.sum(F.col("at")[j]["alarms"]), F.lit(0)).alias(f"a{j}") for j in range(len(grid))])
+        counts = counts.join(run_table.agg(F.count_if(F.col("value").isNotNull() & ~F.isnan("value")).alias("evaluable")), how="cross")  # one row each
     else:
-        grid = [(m, i, float(t)) for m in METHODS for i, t in enumerate(c.grids[m])]
         s = statistics(run_table, key, center, scale, c)
         counts = s.agg(F.count("*").alias("evaluable"), *[F.count_if(F.col(m) > t).alias(f"a{j}") for j, (m, _, t) in enumerate(grid)])
-        parts.append(counts.select("evaluable", F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(i).alias("i"), F.lit(t).alias("threshold"), F.col(f"a{j}").alias("alarms")) for j, (m, i, t) in enumerate(grid)]))))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = counts.select("evaluable", F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(i).alias("i"), F.lit(t).alias("threshold"), F.col(f"a{j}").alias("alarms")) for j, (m, i, t) in enumerate(grid)])))
     fits = F.coalesce((F.col("evaluable") > 0) & (F.col("alarms") / F.col("evaluable") <= c.budget), F.lit(False))
     w = Window.partitionBy("method").orderBy("i")  # a method's grid
     before = F.coalesce(F.max(fits).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))

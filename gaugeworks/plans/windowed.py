@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import windowed
+from gaugeworks.functions.ranking import saved
+from gaugeworks.operators import protocol, windowed
 from gaugeworks.operators.windowed import Config
 from gaugeworks.plans.registry import query, rounded, table
 
@@ -107,7 +110,7 @@ walk(user_id, k, e, up, down, stat, alarm, before) AS (
 
 @query(f"""WITH {WALK} SELECT user_id, count(stat) AS evaluable, count_if(alarm) AS alarms, count_if(alarm AND NOT before) AS episodes, count_if(stat IS NULL) AS resets_not_evaluable, count_if(alarm) AS resets_after_alarm FROM walk WHERE k >= 0 GROUP BY 1""")
 def spc_reset_after_alarm(spark, d):
-    runs = run_table(spark, d, RESET)[2]
+    runs = saved(run_table(spark, d, RESET)[2])
     return windowed.alarm_counts(windowed.detect(runs, "user_id", CENTER, SCALE, "cusum", 2.0, RESET), runs, "user_id", RESET)
 
 
@@ -129,3 +132,52 @@ def spc_evidence(spark, d):
     e = o.select("o_custkey", "category", F.when(~p_only, "supported").alias("status"), F.when(~no_basis, "study").alias("basis"), F.lit("lab").alias("assessed_by"), F.when(p_only, 0.2).alias("p_value"))
     found = windowed.assess_stability(e, "o_custkey", ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
     return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
+#: Ten runs, a user's file in the run of its last digit, in turn with each role. Each run but 0 and 9 has one thing wrong.
+PLANTED = {"strict": replace(CONFIG, least_reference=1_000_000_000), "none": replace(CONFIG, budget=0.0, grids={"shewhart": (0.001,), "ewma": (0.001,), "cusum": (0.001,)})}
+
+
+@query(f"""WITH {ALL}, u AS (SELECT user_id, user_id % 10 AS run, ['reference', 'calibration', 'evaluation'][1 + (user_id // 10) % 3] AS role FROM f0),
+g AS (SELECT run, count_if(role = 'evaluation') AS ev FROM u GROUP BY 1), bad AS (SELECT DISTINCT run, role FROM u JOIN f0 USING (user_id) WHERE why <> ''),
+v AS (SELECT w.*, run, role FROM w JOIN u USING (user_id)), fit AS (SELECT run, avg(value) AS center, stddev_samp(value) AS scale FROM v WHERE role = 'reference' GROUP BY 1),
+z1 AS (SELECT user_id, v.run, role, k, (value - center) / scale AS z, sum((value IS NULL)::INT) OVER (PARTITION BY user_id ORDER BY k) AS segment FROM v JOIN fit ON fit.run = v.run),
+z2 AS (SELECT *, sum(z - 0.5) OVER q AS up, sum(-z - 0.5) OVER q AS down, list(z) OVER q AS zs FROM z1 WHERE z IS NOT NULL WINDOW q AS (PARTITION BY user_id, segment ORDER BY k)),
+stats AS (SELECT run, role, abs(z) AS shewhart, abs(list_reduce(list_prepend(0.0::DOUBLE, zs), lambda e, x: 0.2 * x + 0.8 * e)) / sqrt(0.2 / 1.8) AS ewma, greatest(up - least(0, min(up) OVER q), down - least(0, min(down) OVER q)) AS cusum
+  FROM z2 WINDOW q AS (PARTITION BY user_id, segment ORDER BY k)),
+tried AS (SELECT run, m, t, count_if(CASE m WHEN 'shewhart' THEN shewhart WHEN 'ewma' THEN ewma ELSE cusum END > t) / count(*) <= 0.05 AS fits FROM stats,
+  (VALUES ('shewhart', 1.0), ('shewhart', 1.5), ('shewhart', 2.0), ('ewma', 1.0), ('ewma', 2.0), ('ewma', 3.0), ('cusum', 2.0), ('cusum', 4.0), ('cusum', 6.0)) x(m, t) WHERE role = 'calibration' GROUP BY ALL),
+th AS (SELECT run, min(t::DOUBLE) FILTER (fits AND m = 'shewhart') AS a, min(t::DOUBLE) FILTER (fits AND m = 'ewma') AS b, min(t::DOUBLE) FILTER (fits AND m = 'cusum') AS c FROM tried GROUP BY 1),
+e AS (SELECT g.run, ev, center, scale, a, b, c, CASE g.run WHEN 1 THEN 'invalid_config' WHEN 2 THEN 'invalid_manifest' WHEN 3 THEN 'invalid_manifest' WHEN 4 THEN 'source_verification_failed' WHEN 5 THEN 'source_verification_failed' WHEN 6 THEN 'input_missing'
+    WHEN 7 THEN 'reference_invalid' WHEN 8 THEN CASE WHEN (8, 'reference') IN (SELECT (run, role) FROM bad) THEN 'reference_invalid' ELSE 'calibration_failed' END
+    ELSE CASE WHEN (g.run, 'reference') IN (SELECT (run, role) FROM bad) THEN 'reference_invalid' WHEN (g.run, 'calibration') IN (SELECT (run, role) FROM bad) OR coalesce(a, b, c) IS NULL THEN 'calibration_failed' ELSE 'exploratory_alarm_activity_only' END END AS run_status,
+  list_sort(list_concat(CASE g.run WHEN 1 THEN ['config_unknown'] WHEN 2 THEN ['config_sha256_mismatch'] WHEN 3 THEN ['group_count_mismatch:evaluation:' || ev || '!=' || (ev + 1)]
+      WHEN 4 THEN (SELECT list('source_sha256_mismatch:' || user_id) FROM u WHERE u.run = 4 AND user_id % 20 = 4) WHEN 5 THEN (SELECT list('source_missing:' || user_id) FROM u WHERE u.run = 5 AND user_id % 20 = 5) WHEN 6 THEN ['array_missing:ghost']
+      WHEN 7 THEN ['reference_windows_insufficient'] ELSE []::VARCHAR[] END,
+    CASE WHEN g.run NOT IN (0, 7, 8, 9) THEN []::VARCHAR[] WHEN (g.run, 'reference') IN (SELECT (run, role) FROM bad) THEN ['reference_file_invalid'] WHEN g.run = 7 THEN []::VARCHAR[]
+      ELSE list_concat(CASE WHEN (g.run, 'calibration') IN (SELECT (run, role) FROM bad) THEN ['calibration_file_invalid'] ELSE []::VARCHAR[] END,
+        CASE WHEN g.run = 8 OR coalesce(a, b, c) IS NULL THEN ['calibration_failed:shewhart', 'calibration_failed:ewma', 'calibration_failed:cusum'] ELSE []::VARCHAR[] END) END)) AS why
+  FROM g LEFT JOIN fit ON fit.run = g.run LEFT JOIN th ON th.run = g.run), o AS (SELECT *, run_status = 'exploratory_alarm_activity_only' AS ok FROM e)
+SELECT run, run_status, array_to_string(why, ',') AS reasons, CASE WHEN NOT ok THEN '' ELSE concat_ws(',', CASE WHEN a IS NULL THEN 'calibration_failed:shewhart' END, CASE WHEN b IS NULL THEN 'calibration_failed:ewma' END, CASE WHEN c IS NULL THEN 'calibration_failed:cusum' END,
+    CASE WHEN run = 9 THEN 'stability_supported_by_annotation' ELSE 'stability_unverified' END, 'reused_development_data', CASE WHEN run = 0 THEN 'exploratory_posthoc_reference_selection' END) END AS flags,
+  CASE WHEN ok THEN ev END AS evaluation_recording_groups, CASE WHEN ok THEN ev END AS evaluation_files, CASE WHEN ok THEN round(center, 6) END AS center, CASE WHEN ok THEN round(scale, 6) END AS scale,
+  CASE WHEN ok THEN a END AS threshold_shewhart, CASE WHEN ok THEN b END AS threshold_ewma, CASE WHEN ok THEN c END AS threshold_cusum FROM o""")
+def spc_protocol(spark, d):
+    s = samples(spark, d).withColumn("file", F.col("user_id").cast("string"))
+    users = s.select("user_id", "file").distinct()
+    sha = F.sha2(F.col("file"), 256)
+    role = F.element_at(F.array(*map(F.lit, protocol.ROLES)), (F.floor(F.col("user_id") / 10) % 3 + 1).cast("int"))
+    files = users.select((F.col("user_id") % 10).alias("run"), "file", F.concat(F.lit("g"), "file").alias("recording_group"), role.alias("role"), F.when(F.col("user_id") % 20 == 4, F.sha2(F.lit("other"), 256)).otherwise(sha).alias("source_sha256"))
+    files = files.withColumn("source_sha256", F.when(F.col("source_sha256") == F.sha2(F.lit("other"), 256), F.sha2(F.concat(F.lit("other"), "file"), 256)).otherwise(F.col("source_sha256")))
+    ghost = files.where("run = 6 and role = 'evaluation'").groupBy("run", "role").agg(F.min("recording_group").alias("recording_group")).select("run", F.lit("ghost").alias("file"), "recording_group", "role", F.sha2(F.lit("ghost"), 256).alias("source_sha256"))
+    sources = users.where("user_id % 20 <> 5").select("file", sha.alias("sha256")).unionByName(ghost.select("file", F.col("source_sha256").alias("sha256")))
+    groups = files.groupBy("run").agg(*[F.count_if(F.col("role") == r).alias(f"{r}_groups") for r in protocol.ROLES])
+    configs = {"usual": CONFIG, **PLANTED}
+    name = F.when(F.col("run") == 1, "other").when(F.col("run") == 7, "strict").when(F.col("run") == 8, "none").otherwise("usual")
+    digest = F.create_map(*[F.lit(x) for n, c in configs.items() for x in (n, protocol.config_digest(c))])
+    runs = groups.withColumn("config", name).withColumn("config_sha256", F.when(F.col("run") == 2, F.lit("x")).otherwise(digest[F.col("config")])).withColumn("evaluation_groups", F.col("evaluation_groups") + (F.col("run") == 3).cast("long"))
+    runs = runs.withColumn("protocol_status", F.when(F.col("run") == 0, "exploratory_posthoc").otherwise("prespecified")).withColumn("holdout_status", F.lit("reused_development_data"))
+    evidence = runs.where("run = 9").select("run", F.explode(F.array(*map(F.lit, windowed.STABILITY))).alias("category"), F.lit("supported").alias("status"), F.lit("study").alias("basis"), F.lit("lab").alias("assessed_by"), F.lit(None).cast("double").alias("p_value"))
+    files = files.unionByName(ghost).withColumn("op", F.lit("run")).withColumn("env", F.lit("lab"))
+    found = protocol.protocol(runs, files, sources, s, configs, ["ts", "event_id"], "t", ["value"], evidence)["status"]
+    return rounded(found.withColumn("reasons", F.array_join("reasons", ",")).withColumn("flags", F.array_join("flags", ",")))

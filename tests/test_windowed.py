@@ -122,6 +122,26 @@ def test_detectors_equal_a_plain_loop(spark, reset):
             assert x["resets_not_evaluable"] == sum(v is None for v in files[x["file"]])
 
 
+@pytest.mark.parametrize("chunk", [1000, 7])
+def test_a_fold_hands_its_state_from_chunk_to_chunk(spark, monkeypatch, chunk):
+    monkeypatch.setattr(windowed, "PART", 5)
+    r, c = random.Random(4), replace(C, reset_after_alarm=True, grids={"shewhart": (1.0, 2.0), "ewma": (1.0,), "cusum": (1.0, 3.0)})
+    files = {f: [None if r.random() < 0.1 else float("nan") if r.random() < 0.05 else r.gauss(0, 1.5) for _ in range(n)] for f, n in (("a", 40), ("b", 3), ("c", 21))}
+    runs = spark.createDataFrame([(f, 2 * k, v) for f, vs in files.items() for k, v in enumerate(vs)], "file string, k long, value double")
+    plain = {f: [None if v is None or math.isnan(v) else v for v in vs] for f, vs in files.items()}
+    grid = [(m, t) for m in windowed.METHODS for t in c.grids[m]]
+    at = {x["file"]: x["at"] for x in windowed._fold(runs, "file", 0.0, 1.0, grid, c, chunk=chunk).collect()}
+    for f, vs in plain.items():
+        assert [(s["alarms"], s["episodes"]) for s in at[f]] == [tuple(walk(vs, m, t, c)[1:]) for m, t in grid]
+        for m, t in grid:
+            rows = windowed._fold(runs, "file", 0.0, 1.0, [(m, t)], c, rows=True, chunk=chunk).where(F.col("file") == f).orderBy("k").collect() if f == "a" else []
+            assert not rows or ([x["k"] for x in rows] == [2 * k for k, v in enumerate(vs) if v is not None] and sum(x["alarm"] for x in rows) == walk(vs, m, t, c)[1])
+            assert not rows or [x["segment"] for x in rows] == [sum(v is None for v in vs[:k]) for k, v in enumerate(vs) if v is not None]
+    tried = {(x["method"], x["threshold"]): (x["alarms"], x["evaluable"]) for x in windowed.calibrate(runs, "file", 0.0, 1.0, c).collect()}
+    assert tried == {(m, t): (sum(walk(vs, m, t, c)[1] for vs in plain.values()), sum(v is not None for vs in plain.values() for v in vs)) for m, t in grid}
+    assert windowed._fold(runs.limit(0), "file", 0.0, 1.0, grid, c).count() == 0
+
+
 def test_reference_lag_is_pooled_over_files(spark):
     values = {"a": [1.0, 2.0, 4.0], "b": [3.0, 1.0]}
     runs = spark.createDataFrame([(f, k, 1, 1, [], v) for f, vs in values.items() for k, v in enumerate(vs)], "file string, k long, count long, n long, reasons array<string>, value double")
