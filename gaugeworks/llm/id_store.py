@@ -18,7 +18,8 @@ of spark.checkpoint.dir, or another shared folder, through pyarrow's file system
 shuffle's partitions, so the driver and the executors hold that table whole.
 
 The encoding is the library's: text is cut at ASCII white space, which no token of the vocabulary spans and which
-keeps the normalisation of what stands beside it, and each distinct word of a batch is encoded by the library once.
+keeps the normalisation of what stands beside it, and a worker gets the ids of a word from the library once. Words of
+plain letters are first split into pieces as the vocabulary's pattern does, all others are encoded by the library whole.
 
 Null texts are empty and have the end id alone. Null keys come first and are one key. A key may have several
 documents; their order is that of the hash of their texts, and a key with a large part of all rows spans several
@@ -28,9 +29,12 @@ documents. Other columns are not looked at. Keys that are not integers are kept
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
 from array import array
@@ -52,8 +56,8 @@ TRAILER = struct.Struct("<8sHHIQQQQ16x")
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 #: Bits of a level for each key that is still without a slot; levels at most, far beyond what distinct keys need.
 GAMMA, LEVELS = 2.0, 64
-#: A word up to so many bytes is remembered with its ids, and so many bytes of words and ids in all.
-LONG, REMEMBERED = 64, 96 << 20
+#: A worker remembers so many bytes of words and their ids, and as many of pieces.
+REMEMBERED = 96 << 20
 #: Bytes of ids that are read at once.
 READ = 8 << 20
 
@@ -69,9 +73,40 @@ def open_folder(path: str):
 
 # ---- encoding ----
 
+#: Words of ASCII and Latin letters, which the vocabulary's normalisation changes to lower case and nothing else, and
+#: how its pattern splits them: ends of English words, letters, digits one by one, runs of other characters.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+SPLIT = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00c0-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u017f]+").findall
+
+
+def _byte_characters() -> dict[int, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, all others from 256 on in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_characters()
+
+
+class Remembered(dict):
+    """Raw ids by word or piece; what is missing is computed, and all is forgotten beyond a bound."""
+
+    def __init__(self, compute) -> None:
+        super().__init__()
+        self.compute, self.held = compute, 0
+
+    def __missing__(self, key):
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = 0
+        ids = self[key] = self.compute(key)
+        self.held += len(key) + len(ids) + 200
+        return ids
+
 
 class Encoder:
-    """The library's ids of whole texts, from its ids of each distinct word."""
+    """The library's ids of whole texts, from its ids of each distinct word, and those from its ids of the word's pieces."""
 
     def __init__(self, path: str, end: int | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,36 +116,39 @@ class Encoder:
             model = json.load(f)
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
-        self.end = b"" if end is None else np.array([end], self.kind).tobytes()
+        self.code = "H" if self.width == 2 else "I"
+        self.end = b"" if end is None else self._raw([end])
         self.by_word = drops_space(model)
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in model["added_tokens"]) or "(?!)").search
+        self.tokenize = self.library.model.tokenize
+        self.words, self.pieces = Remembered(self._word), Remembered(self._piece)
+
+    def _raw(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if PLAIN(text) and not self.special(text):
+            return b"".join([self.pieces[p] for p in SPLIT(text.lower())])
+        return self._raw(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._raw([t.id for t in self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES))])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Raw ids of each text with the end id."""
         if not self.by_word:
-            return [x + self.end for x in self._bytes([t.decode() for t in texts])]
-        words = [t.split() for t in texts]
-        known = self.known
-        new = list(set().union(*words).difference(known)) if words else []
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, ids in zip(some, self._bytes([w.decode() for w in some]), strict=True):
-                known[w] = ids
-        out = [b"".join(map(known.__getitem__, w)) + self.end for w in words]
-        for w in new:
-            if len(w) > LONG:
-                del known[w]
-            else:
-                self.held += len(w) + len(known[w]) + 200
-        if self.held > REMEMBERED:
-            known.clear()
-            self.held = 0
-        return out
+            return [self._raw(e.ids) + self.end for e in self.library.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        return [b"".join(map(self.words.__getitem__, t.split())) + self.end for t in texts]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, end: int | None) -> Encoder:
+    """A worker's tasks share what it remembers."""
+    return Encoder(path, end)
 
 
 def drops_space(model: dict) -> bool:
@@ -301,7 +339,7 @@ def write_store(docs: DataFrame, path: str, end: int | None = None, folder: str
     docs = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, out = Encoder(path, end), TaskContext.get().partitionId(), None
+        encoder, shard, out = encoder_of(path, end), TaskContext.get().partitionId(), None
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 out = out or _Writer(folder, shard, encoder.width)

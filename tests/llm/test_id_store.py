@@ -142,6 +142,20 @@ def test_damage_is_told(spark, tmp_path):
     assert isinstance(id_store.open_folder(f"{scratch(spark)}/x")[0], pyarrow.fs.LocalFileSystem)
 
 
+def test_words_apart_equal_the_library_for_all_characters(monkeypatch):
+    """Every character beside letters, marks and digits of either kind, and words made of the ends that are split off."""
+    monkeypatch.setattr(id_store, "REMEMBERED", 100_000)
+    chars = [chr(c) for c in [*range(0x600), *range(0x1E00, 0x2100), *range(0x3000, 0x3100), 0x212B, 0xFB01, 0x1F642, 0xFF21, 0xFEFF, 0x0E01, 0x0905, 0x093F]]
+    values = [f"a{c}b {c} {c}1 É{c}! x{c}{c} '{c}s" for c in chars]
+    r = random.Random(4)
+    parts = ["'s", "'S", "'re", "'", "l", "ll", "'ll", "D", "9", "42", "!", "--", "é", "ß", "İ", "ſ", "Ǆ", "ª", "×", "÷", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "k", "µ", "\x7f", "\x1c"]
+    values += ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    coder = id_store.Encoder(PATH, END)
+    for at in range(0, len(values), 500):
+        got = coder.encode([t.encode() for t in values[at : at + 500]])
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == library(values[at : at + 500])
+
+
 def test_a_vocabulary_whose_tokens_hold_spaces_is_encoded_whole(spark):
     from tokenizers import Tokenizer
 
