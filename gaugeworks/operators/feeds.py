@@ -124,15 +124,15 @@ def energy(df: DataFrame, key: str, ts: str, wh: str, points: str) -> DataFrame:
 
 def modelled_hours(df: DataFrame, time: str, values: list[str], flag: str, key: str | None = None) -> DataFrame:
     """Adds ts (from yyyyMMdd:HHmm) and reasons: times readable, values finite and not negative, flag 0 or 1; with a key also times
-    that repeat in a series, and rows that don't follow the one before by an hour."""
+    that repeat in a series, and rows that don't follow the time before theirs by an hour (of repeated times all or none)."""
     out = df.withColumn("ts", F.try_to_timestamp(F.col(time), F.lit("yyyyMMdd:HHmm")))
     rules = [Rule("time_not_readable", F.col("ts").isNull())]
     rules += [Rule(f"{v}_not_valid", ~F.coalesce(finite(F.col(v)) & (F.col(v) >= 0), F.lit(False))) for v in values]
     rules += [Rule("flag_not_valid", ~F.coalesce(F.col(flag).isin(0, 1), F.lit(False)))]
     if key is not None:
         us = micros("ts")
-        step = us - F.lag(us).over(Window.partitionBy(key).orderBy("ts"))
-        rules += [Rule("time_repeated", F.col("ts").isNotNull() & _repeated(key, "ts")), Rule("hour_gap", (step != 0) & (step != 3_600_000_000))]
+        step = us - F.max(us).over(Window.partitionBy(key).orderBy(us).rangeBetween(Window.unboundedPreceding, -1))
+        rules += [Rule("time_repeated", F.col("ts").isNotNull() & _repeated(key, "ts")), Rule("hour_gap", step != 3_600_000_000)]
     return with_reasons(out, rules)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.ranking import saved
+
 #: Fixed values.
 OUTCOMES = ("confirmed_issue", "false_alarm", "insufficient_evidence")
 ACTIONS = ("reinspect", "equipment_check", "hold", "release", "no_action")
@@ -24,8 +26,9 @@ def bind_decisions(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, D
     return queue.join(good, "review_id", "left").withColumn("state", F.when(F.col("outcome").isNull(), "pending").otherwise("decided")), d.where("reason is not null")
 
 
-def context_holds(rows: DataFrame, changes: DataFrame, baseline: DataFrame, key: str, ts: str = "ts", at: str = "effective_at", value: str = "value", coverage: DataFrame | None = None) -> DataFrame:
-    """Adds the changes of a row's series inside its baseline and after it up to the row, and the reasons to withhold.
+def context_holds(rows: DataFrame, changes: DataFrame, baseline: DataFrame, key: str, ts: str = "ts", at: str = "effective_at", value: str = "value", coverage: DataFrame | None = None, change_id: str | None = None) -> DataFrame:
+    """Adds the changes of a row's series inside its baseline and after it up to the row, and the reasons to withhold; with the name of the
+    changes' id also `related_changes`, these changes' ids in the order of time, then id.
 
     Changes and rows are laid in one time order by series and counted as they pass: no pairs of rows and changes.
     baseline: (key, baseline_start, baseline_end and, if known, flagged: its statistics need a review); a series without one
@@ -39,6 +42,7 @@ def context_holds(rows: DataFrame, changes: DataFrame, baseline: DataFrame, key:
     w = Window.partitionBy(key).orderBy("_t", F.desc("_change")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(key)
     out = lines.withColumn("changes_inside", F.count_if(inside).over(whole)).withColumn("changes_after", F.count_if(after).over(w))
+    out = out.withColumn("_before", F.count_if((F.col("_change") == 1) & (F.col("_t") < F.col("baseline_start"))).over(whole))
     own = F.when(F.col("_change") == 0, F.col("_t"))
     out = out.withColumn("_first", F.min(own).over(whole)).withColumn("_last", F.max(own).over(whole)).where("_change = 0")
     covered = F.lit(True)
@@ -48,7 +52,37 @@ def context_holds(rows: DataFrame, changes: DataFrame, baseline: DataFrame, key:
     reasons = F.array_compact(F.array(
         F.when(~covered, "history_coverage_unverified"), F.when(F.col("baseline_end").isNull(), "baseline_absent"), F.when(F.col("changes_inside") > 0, "change_inside_baseline"),
         F.when(F.col("changes_after") > 0, "change_after_baseline"), F.when(F.col(f"_row.{value}").isNull(), "measurement_missing"), F.when(F.col("_flagged"), "statistical_baseline_requires_review")))
-    return out.select("_row.*", "changes_inside", "changes_after", reasons.alias("hold_reasons"), F.when(F.size(reasons) > 0, "withheld").otherwise("context_clear").alias("state"))
+    told = ["changes_inside", "changes_after", reasons.alias("hold_reasons"), F.when(F.size(reasons) > 0, "withheld").otherwise("context_clear").alias("state")]
+    if change_id is None:
+        return out.select("_row.*", *told)
+    return _related(out.select("_row", key, F.col("_before").alias("_first"), (F.col("_before") + F.col("changes_inside") + F.col("changes_after")).alias("_end"), *told), changes, key, at, change_id)
+
+
+#: Ids of a series' changes that are kept as one array.
+IDS = 4096
+
+
+def _related(rows: DataFrame, changes: DataFrame, key: str, at: str, change_id: str, ids: int = IDS) -> DataFrame:
+    """The ids of the changes _first .. _end - 1 of each row's series, numbered in their order. A series' ids are arrays of bounded size;
+    a row takes slices of those that its range touches, in most cases of one. Rows and changes are never paired."""
+    numbered = changes.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(at, change_id)) - 1).alias("_no"), F.col(change_id).alias("_name"))
+    block = F.floor(F.col("_no") / ids).alias("_block")
+    blocks = numbered.groupBy(F.col(key).alias("_key"), block).agg(F.sort_array(F.collect_list(F.struct("_no", "_name"))).alias("_ids"))
+    some, low, high = F.col("_first") < F.col("_end"), F.floor(F.col("_first") / ids), F.floor((F.col("_end") - 1) / ids)
+
+    def with_ids(part: DataFrame) -> DataFrame:
+        a = F.greatest(F.col("_first") - F.col("_block") * ids, F.lit(0))
+        b = F.least(F.col("_end") - F.col("_block") * ids, F.lit(ids))
+        j = part.join(blocks.withColumnRenamed("_block", "_of"), (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_of")))
+        return j.withColumn("_part", F.slice("_ids", (a + 1).cast("int"), (b - a).cast("int"))["_name"])
+
+    shown = ["_row.*", "changes_inside", "changes_after", "hold_reasons", "state"]
+    kind = f"array<{changes.schema[change_id].dataType.simpleString()}>"
+    none = rows.where(~some).select(*shown, F.array().cast(kind).alias("related_changes"))
+    one = with_ids(rows.where(some & (low == high)).withColumn("_block", low)).select(*shown, F.col("_part").alias("related_changes"))
+    long = saved(rows.where(some & (low < high))).withColumn("_place", F.monotonically_increasing_id())
+    parts = with_ids(long.select("_place", key, "_first", "_end", F.explode(F.sequence(low, high)).alias("_block"))).groupBy("_place").agg(F.flatten(F.sort_array(F.collect_list(F.struct("_block", "_part")))["_part"]).alias("related_changes"))
+    return none.unionByName(one).unionByName(long.join(parts, "_place").select(*shown, "related_changes"))
 
 
 def change_timeline(changes: DataFrame, spans: DataFrame, key: str, at: str = "effective_at") -> tuple[DataFrame, DataFrame]:

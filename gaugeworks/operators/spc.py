@@ -52,61 +52,6 @@ def review_queue(chart: DataFrame, key: str, sample: str, value: str = "value",
     return out.select(key, sample, "ts", value, "status", "severity", tier[F.col("status")].alias("tier"), name[F.col("status")].alias("priority"), review.alias("review_id"))
 
 
-def window_rms(df: DataFrame, key: str, ts: str, value: str, width: int, least: int, gap: float) -> DataFrame:
-    """Half-open windows of width seconds from each series' first reading; a value only where no reason speaks against it.
-    Windows without a reading are not made; a window that a gap of more than gap seconds touches is marked."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    ends = df.groupBy(key).agg(F.min(us).alias("t0"), F.max(us).alias("t1"))
-    w = Window.partitionBy(key).orderBy("us")
-    rows = df.select(key, us.alias("us"), F.col(value).alias("x")).join(ends, key).withColumn("k", F.floor((F.col("us") - F.col("t0")) / (width * 1_000_000)))
-    rows = rows.withColumn("to_next", F.lead("us").over(w) - F.col("us")).withColumn("from_last", F.col("us") - F.lag("us").over(w))
-    wide = (F.coalesce("to_next", F.lit(0)) > gap * 1_000_000) | (F.coalesce("from_last", F.lit(0)) > gap * 1_000_000)
-    out = rows.groupBy(key, "k").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.max(wide).alias("gap"), F.count_if(F.col("x").isNull() | F.isnan("x")).alias("bad"), F.first("t0").alias("t0"), F.first("t1").alias("t1"))
-    out = out.where(F.col("k") < F.floor((F.col("t1") - F.col("t0")) / (width * 1_000_000)))
-    reasons = F.array_compact(F.array(F.when(F.col("gap"), "timestamp_gap"), F.when(F.col("n") < least, "insufficient_samples"), F.when(F.col("bad") > 0, "nonfinite_value")))
-    return out.withColumn("reasons", reasons).select(key, "k", "n", "reasons", F.when(F.size("reasons") == 0, F.col("rms")).alias("value"))
-
-
-def reference_fit(windows: DataFrame, least: int = 2, floor: float = 1e-9) -> DataFrame:
-    out = windows.agg(F.count("value").alias("n"), F.avg("value").alias("center"), F.stddev_samp("value").alias("scale"))
-    state = F.when(F.col("n") < least, "too_few_windows").when(~(F.col("scale") > floor), "scale_not_positive").otherwise("fitted")
-    return out.withColumn("state", state)
-
-
-def detectors(windows: DataFrame, key: str, center: float, scale: float, lam: float = 0.2, slack: float = 0.5) -> DataFrame:
-    """Shewhart, EWMA and CUSUM statistics of evaluable windows. A gap in the windows or one without a value starts anew.
-
-    CUSUM needs no loop: it is a running sum less its running minimum. EWMA sums a frame so long that what lies before it
-    is below double precision.
-    """
-    w = Window.partitionBy(key).orderBy("k")
-    z = windows.withColumn("z", (F.col("value") - center) / scale)
-    start = F.col("z").isNull() | F.coalesce(F.lag("z").over(w).isNull(), F.lit(True)) | (F.coalesce(F.col("k") - F.lag("k").over(w), F.lit(1)) != 1)
-    z = z.withColumn("segment", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("z").isNotNull())
-    s = Window.partitionBy(key, "segment").orderBy("k")
-    run = s.rowsBetween(Window.unboundedPreceding, 0)
-    z = z.withColumn("i", F.row_number().over(s)).withColumn("up_sum", F.sum(F.col("z") - slack).over(run)).withColumn("down_sum", F.sum(-F.col("z") - slack).over(run))
-    up = F.col("up_sum") - F.least(F.lit(0.0), F.min("up_sum").over(run))
-    down = F.col("down_sum") - F.least(F.lit(0.0), F.min("down_sum").over(run))
-    reach = 0 if lam >= 1 else math.ceil(math.log(1e-18) / math.log(1 - lam))
-    fold = F.aggregate(F.collect_list("z").over(s.rowsBetween(-reach, 0)), F.lit(0.0), lambda e, x: lam * x + (1 - lam) * e)
-    return z.select(key, "k", "segment", F.abs("z").alias("shewhart"), (F.abs(fold) / (lam / (2 - lam)) ** 0.5).alias("ewma"), F.greatest(up, down).alias("cusum"))
-
-
-def episodes(stats: DataFrame, key: str, statistic: str, threshold: float) -> DataFrame:
-    """Alarms and runs of alarms of each series."""
-    alarm = F.col(statistic) > threshold
-    begins = alarm & ~F.coalesce(F.lag(alarm).over(Window.partitionBy(key, "segment").orderBy("k")), F.lit(False))
-    return stats.select(key, alarm.alias("alarm"), begins.alias("begins")).groupBy(key).agg(F.count("*").alias("evaluable"), F.count_if("alarm").alias("alarms"), F.count_if("begins").alias("episodes"))
-
-
-def calibrate(stats: DataFrame, statistic: str, grid: list[float], budget: float) -> DataFrame:
-    """The smallest threshold of a grid whose share of alarms is within the budget; all thresholds from one pass."""
-    out = stats.agg(F.count("*").alias("n"), *[F.count_if(F.col(statistic) > t).alias(f"a{i}") for i, t in enumerate(grid)])
-    rows = out.select("n", F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"a{i}").alias("alarms")) for i, t in enumerate(grid)])).alias("g")).select("n", "g.*")
-    return rows.select("threshold", "alarms", (F.col("alarms") / F.col("n")).alias("share"), ((F.col("n") > 0) & (F.col("alarms") / F.col("n") <= budget)).alias("accepted"))
-
-
 def against_range(df: DataFrame, ranges: DataFrame, key: str, value: str) -> DataFrame:
     """Measurements against specification ranges (a small table): missing, within or outside, and the distance to the nearer limit."""
     v, out = F.col(value), df.join(ranges, key, "left")

@@ -8,7 +8,6 @@ windows are accounted for, but one without a sample is never made a row: `runs`
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -281,50 +280,6 @@ def assess_stability(evidence: DataFrame, key: str, categories: tuple[str, ...]
     return out.select(key, F.when(F.size("reasons") == 0, "stability_supported_by_annotation").otherwise("stability_unverified").alias("status"), "reasons")
 
 
-def evaluation(samples: DataFrame, manifest: DataFrame, key: str, order: list[str], t: str, axes: list[str], c: Config, role: str = "role", mode: str = "vector") -> Iterator[tuple[str, DataFrame]]:
-    """The protocol: named tables (`reference`, `calibration`, `evaluation`), and `status` in the end, one row with run_status and
-    reasons. It stops at the first step that fails. manifest: a row for each file, with its role."""
-    spark = samples.sparkSession
-    ended = lambda status, *why: ("status", spark.createDataFrame([(status, list(why))], "run_status string, reasons array<string>"))
-    files = manifest.select(key, role)
-    missing = files.join(samples.select(key).distinct(), key, "left_anti")
-    if not missing.isEmpty():
-        yield ended("input_missing", *sorted(f"array_missing:{r[0]}" for r in missing.select(key).limit(20).collect()))
-        return
-    samples = samples.join(files, key)
-    states = file_states(samples, key, order, t, c)
-    table = runs(samples, states, key, t, axes, c, mode).join(files, key).persist()
-    bad = {r[role] for r in states.join(files, key).where(F.size("reasons") > 0).groupBy(role).count().collect()}
-    roles = {r[0] for r in files.select(role).distinct().collect()}
-    for name, status in (("reference", "reference_invalid"), ("calibration", "calibration_failed")):
-        if name not in roles or name in bad:
-            yield ended(status, f"{name}_file_invalid" if name in roles else f"role_violation:{name}_only")
-            return
-        if name == "reference":
-            reference = reference_fit(table.where(F.col(role) == name), key, c)
-            fit = reference.first()
-            yield "reference", reference
-            if fit["state"] != "fitted":
-                yield ended(status, fit["state"])
-                return
-    tried = calibrate(table.where(F.col(role) == "calibration"), key, fit["center"], fit["scale"], c)
-    yield "calibration", tried
-    chosen = {r["method"]: r["threshold"] for r in tried.where("chosen").collect()}  # a row for each method
-    if not chosen:
-        yield ended("calibration_failed", *[f"calibration_failed:{m}" for m in METHODS])
-        return
-    mine = table.where(F.col(role) == "evaluation")
-    out = file_summary(samples.where(F.col(role) == "evaluation"), states.join(files.where(F.col(role) == "evaluation"), key, "left_semi"), mine, key, t, c)
-    marks = mask(mine, key).select(key, "mask_sha256")
-    for m in METHODS:
-        if m in chosen:
-            counts = alarm_counts(detect(mine, key, fit["center"], fit["scale"], m, chosen[m], c), mine, key, c)
-            out = out.join(counts.select(key, F.col("alarms").alias(f"{m}_alarms"), F.col("episodes").alias(f"{m}_episodes"), F.col("resets_after_alarm").alias(f"{m}_resets_after_alarm")), key, "left")
-            out = out.withColumn(f"{m}_alarms_per_window", F.try_divide(F.col(f"{m}_alarms"), F.col("evaluable")))
-    yield "evaluation", out.join(marks, key, "left")
-    yield ended("exploratory_alarm_activity_only", *[f"calibration_failed:{m}" for m in METHODS if m not in chosen])
-
-
 def roll_up(summary: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """One row over all files: sums, and files whose figures contradict each other (episodes <= alarms <= evaluable <= complete)."""
     j = summary.where("file_status = 'valid'").select(key, "complete").join(counts, key, "left").fillna(0, ["evaluable", "alarms", "episodes"])

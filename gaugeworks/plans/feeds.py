@@ -75,11 +75,13 @@ def con_energy(spark, d):
     return rounded(feeds.steps(good, "user_id", "slot", 1800).join(known, "user_id"))
 
 
-@query("""WITH e AS (SELECT event_type, event_id % 40 = 0 AS a, value < 1 AS b, event_id % 3 = 2 AS c FROM events)
-SELECT event_type, concat_ws(',', CASE WHEN a THEN 'time_not_readable' END, CASE WHEN b THEN 'power_not_valid' END, CASE WHEN c THEN 'flag_not_valid' END) AS reasons, count(*) AS n FROM e GROUP BY ALL""")
+@query("""WITH m AS (SELECT user_id, event_type, event_id, value, CASE WHEN event_id % 40 <> 0 THEN date_trunc('minute', ts) END AS t FROM events),
+e AS (SELECT *, t IS NOT NULL AND count(*) OVER (PARTITION BY user_id, t) > 1 AS twice, epoch_us(t) - max(epoch_us(t)) OVER (PARTITION BY user_id ORDER BY epoch_us(t) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM m)
+SELECT event_type, concat_ws(',', CASE WHEN t IS NULL THEN 'time_not_readable' END, CASE WHEN value < 1 THEN 'power_not_valid' END, CASE WHEN event_id % 3 = 2 THEN 'flag_not_valid' END, CASE WHEN twice THEN 'time_repeated' END,
+  CASE WHEN step <> 3600000000 THEN 'hour_gap' END) AS reasons, count(*) AS n FROM e GROUP BY ALL""")
 def con_modelled_hours(spark, d):
-    e = table(spark, d, "events").select("event_type", (F.col("value") - 1).alias("power"), (F.col("event_id") % 3).alias("flag"), F.when(F.col("event_id") % 40 == 0, "20240230:xx").otherwise(F.date_format("ts", "yyyyMMdd:HHmm")).alias("time"))
-    return feeds.modelled_hours(e, "time", ["power"], "flag").groupBy("event_type", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+    e = table(spark, d, "events").select("user_id", "event_type", (F.col("value") - 1).alias("power"), (F.col("event_id") % 3).alias("flag"), F.when(F.col("event_id") % 40 == 0, "20240230:xx").otherwise(F.date_format("ts", "yyyyMMdd:HHmm")).alias("time"))
+    return feeds.modelled_hours(e, "time", ["power"], "flag", "user_id").groupBy("event_type", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH h AS (SELECT event_type, year(ts) AS year, epoch_us(ts) // 3600000000 AS hour, count(*) AS n, min(user_id % 1000 < 500) AS a, max(user_id % 1000 < 500) AS b, sum(value * 10000 / 3600) AS s, count(value) AS k FROM events GROUP BY ALL)

@@ -89,55 +89,6 @@ def spc_review_queue(spark, d):
     return rounded(spc.review_queue(chart, "user_id", "event_id"))
 
 
-WINDOWS = """w0 AS (SELECT user_id, epoch_us(ts) AS us, value AS x FROM events),
-w1 AS (SELECT *, min(us) OVER (PARTITION BY user_id) AS t0, max(us) OVER (PARTITION BY user_id) AS t1, lead(us) OVER (PARTITION BY user_id ORDER BY us) - us AS a, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS b FROM w0),
-w2 AS (SELECT user_id, (us - t0) // 86400000000 AS k, count(*) AS n, sqrt(avg(x * x)) AS rms, bool_or(coalesce(a, 0) > 129600000000 OR coalesce(b, 0) > 129600000000) AS gap, min(t0) AS t0, min(t1) AS t1 FROM w1 GROUP BY ALL),
-win AS (SELECT user_id, k, n, gap, CASE WHEN NOT gap AND n >= 1 THEN rms END AS value FROM w2 WHERE k < (t1 - t0) // 86400000000)"""
-
-
-def daily_windows(spark, d):
-    return spc.window_rms(table(spark, d, "events"), "user_id", "ts", "value", 86_400, 1, 129_600)
-
-
-@query(f"WITH {WINDOWS} SELECT user_id, k, n, CASE WHEN gap THEN 'timestamp_gap' ELSE '' END AS reasons, round(value, 6) AS value FROM win")
-def spc_window_rms(spark, d):
-    return rounded(daily_windows(spark, d).withColumn("reasons", F.array_join("reasons", ",")))
-
-
-@query(f"WITH {WINDOWS} SELECT count(value) AS n, round(avg(value), 6) AS center, round(stddev_samp(value), 6) AS scale, 'fitted' AS state FROM win WHERE user_id % 4 = 0")
-def spc_reference_fit(spark, d):
-    return rounded(spc.reference_fit(daily_windows(spark, d).where("user_id % 4 = 0")))
-
-
-DETECT = """z0 AS (SELECT user_id, k, (value - 50) / 25 AS z FROM win),
-z1 AS (SELECT *, CASE WHEN z IS NULL OR lag(z) OVER w IS NULL OR k - lag(k) OVER w <> 1 THEN 1 ELSE 0 END AS s FROM z0 WINDOW w AS (PARTITION BY user_id ORDER BY k)),
-z2 AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY k) AS segment FROM z1),
-z3 AS (SELECT *, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS down, list(z) OVER w AS zs FROM z2 WHERE z IS NOT NULL WINDOW w AS (PARTITION BY user_id, segment ORDER BY k)),
-stats AS (SELECT user_id, k, segment, abs(z) AS shewhart, abs(list_reduce(list_prepend(0.0::DOUBLE, zs), lambda e, x: 0.2 * x + 0.8 * e)) / sqrt(0.2 / 1.8) AS ewma,
-  greatest(up - least(0, min(up) OVER w), down - least(0, min(down) OVER w)) AS cusum FROM z3 WINDOW w AS (PARTITION BY user_id, segment ORDER BY k))"""
-
-
-def daily_stats(spark, d):
-    return spc.detectors(daily_windows(spark, d), "user_id", 50.0, 25.0)
-
-
-@query(f"WITH {WINDOWS}, {DETECT} SELECT user_id, k, segment::BIGINT AS segment, round(shewhart, 6) AS shewhart, round(ewma, 6) AS ewma, round(cusum, 6) AS cusum FROM stats")
-def spc_detectors(spark, d):
-    return rounded(daily_stats(spark, d))
-
-
-@query(f"""WITH {WINDOWS}, {DETECT}, a AS (SELECT *, shewhart > 1 AND NOT coalesce(lag(shewhart > 1) OVER (PARTITION BY user_id, segment ORDER BY k), false) AS begins FROM stats)
-SELECT user_id, count(*) AS evaluable, count_if(shewhart > 1)::BIGINT AS alarms, count_if(begins)::BIGINT AS episodes FROM a GROUP BY 1""")
-def spc_episodes(spark, d):
-    return spc.episodes(daily_stats(spark, d), "user_id", "shewhart", 1.0)
-
-
-@query(f"""WITH {WINDOWS}, {DETECT} SELECT t::DOUBLE AS threshold, count_if(cusum > t)::BIGINT AS alarms, round(count_if(cusum > t) / count(*), 6) AS share, count_if(cusum > t) / count(*) <= 0.05 AS accepted
-FROM stats, (VALUES (2), (4), (6), (8)) g(t) GROUP BY t""")
-def spc_calibrate(spark, d):
-    return rounded(spc.calibrate(daily_stats(spark, d), "cusum", [2, 4, 6, 8], 0.05))
-
-
 @query("""SELECT event_id, event_type, value, CASE WHEN event_type NOT IN ('click', 'view') THEN 'waiting' WHEN value BETWEEN lo AND hi THEN 'within' ELSE 'outside' END AS state,
 CASE WHEN event_type NOT IN ('click', 'view') THEN 0.0 ELSE round(greatest(lo - value, value - hi, 0), 2) END AS distance
 FROM (SELECT *, CASE event_type WHEN 'click' THEN 20.0 ELSE 10.0 END AS lo, CASE event_type WHEN 'click' THEN 80.0 ELSE 60.0 END AS hi FROM events)""")
@@ -416,14 +367,14 @@ def con_regularise_rejected(spark, d):
     return slots(spark, d)[1].groupBy("event_type", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SLOTS}, good AS (SELECT * FROM g0 WHERE agrees), lim AS (SELECT min(slot) AS a, max(slot) AS b FROM good), grid AS (SELECT event_type, unnest(range(a, b, 21600)) AS slot FROM (SELECT DISTINCT event_type FROM good), lim),
+@query(f"""WITH {SLOTS}, good AS (SELECT * FROM g0 WHERE agrees), lim AS (SELECT min(slot) AS a, max(slot) AS b FROM good), grid AS (SELECT event_type, unnest(range(a, b + 1, 21600)) AS slot FROM (SELECT DISTINCT event_type FROM good), lim),
 f AS (SELECT g.event_type, readings, nulls, adjusted, CASE WHEN isnan(v) THEN NULL ELSE v END AS value FROM grid g LEFT JOIN good o ON o.event_type = g.event_type AND o.slot = g.slot)
 SELECT event_type, count(*) AS normalized_rows, count_if(readings IS NULL) AS missing_slots, count_if(coalesce(adjusted, false)) AS rounded, count_if(coalesce(readings > 1, false)) AS collisions, count_if(coalesce(readings - nulls = 1 AND nulls > 0, false)) AS value_over_null,
   count_if(value IS NULL) AS missing_values, count_if(coalesce(value < 0, false)) AS clipped_negatives FROM f GROUP BY 1""")
 def con_grid_audit(spark, d):
     good = slots(spark, d)[0]
     low, high = good.agg(F.min("slot"), F.max("slot")).first()
-    return contracts.grid_audit(contracts.on_grid(good, "event_type", low or 0, high or 1, 21_600), "event_type")
+    return contracts.grid_audit(contracts.on_grid(good, "event_type", low or 0, (high or 0) + 1, 21_600), "event_type")
 
 
 @query("""WITH h AS (SELECT event_type, epoch_us(ts) // 3600000000 AS h, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT DISTINCT event_type FROM h),
@@ -506,13 +457,14 @@ def rev_roster(spark, d):
 
 
 @query("""WITH r AS (SELECT l_orderkey, count_if(l_shipdate <= TIMESTAMP '1998-01-01') AS i, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT o_orderpriority, count(*) AS listed, count_if(i > 0)::BIGINT AS admitted, count_if(i = 0)::BIGINT AS late_only, count_if(n IS NULL)::BIGINT AS lost, CASE WHEN count_if(i > 0) < count(*) THEN 'BLOCKED' ELSE 'MATCH' END AS verdict FROM orders LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY 1""")
+SELECT o_custkey, count(*) AS listed, count_if(i > 0)::BIGINT AS admitted, count_if(i = 0)::BIGINT AS late_only, count_if(n IS NULL)::BIGINT AS lost, count_if(i > 0 AND o_orderkey % 11 <> 0)::BIGINT AS scored,
+  CASE WHEN count_if(i > 0) < count(*) THEN 'BLOCKED' WHEN count_if(i > 0 AND o_orderkey % 11 = 0) > 0 THEN 'MISSING' ELSE 'MATCH' END AS verdict FROM orders LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY 1""")
 def rev_receipts(spark, d):
     import datetime
 
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").alias("received_at"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority")
-    return review.receipt_audit(o, li, datetime.datetime(1998, 1, 1), "k", "o_orderpriority")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
+    return review.receipt_audit(o, li, datetime.datetime(1998, 1, 1), "k", "o_custkey", scored=o.where("k % 11 <> 0"))
 
 
 # Readings

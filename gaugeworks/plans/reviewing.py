@@ -30,14 +30,15 @@ def context(spark, d):
 
 
 @query(f"""WITH {CONTEXT}, n AS (SELECT r.user_id, r.event_id, count(*) FILTER (c.at BETWEEN b.a AND b.b) AS i, count(*) FILTER (c.at > b.b AND c.at <= r.ts) AS p, any_value(r.value) AS value, any_value(b.b) AS base, coalesce(any_value(b.flagged), false) AS flagged,
+  coalesce(string_agg(c.event_id::VARCHAR, ',' ORDER BY c.at, c.event_id) FILTER (c.at BETWEEN b.a AND b.b OR (c.at > b.b AND c.at <= r.ts)), '') AS related,
   coalesce(any_value(v.complete) AND any_value(v.s) <= any_value(s.f) AND any_value(v.e) >= any_value(s.l), false) AS covered
   FROM rw r JOIN sp s ON s.user_id = r.user_id LEFT JOIN bs b ON b.user_id = r.user_id LEFT JOIN cv v ON v.user_id = r.user_id LEFT JOIN ch c ON c.user_id = r.user_id GROUP BY ALL)
-SELECT event_id, i AS changes_inside, p AS changes_after, array_to_string(list_filter([CASE WHEN NOT covered THEN 'history_coverage_unverified' END, CASE WHEN base IS NULL THEN 'baseline_absent' END, CASE WHEN i > 0 THEN 'change_inside_baseline' END,
+SELECT event_id, i AS changes_inside, p AS changes_after, related AS related_changes, array_to_string(list_filter([CASE WHEN NOT covered THEN 'history_coverage_unverified' END, CASE WHEN base IS NULL THEN 'baseline_absent' END, CASE WHEN i > 0 THEN 'change_inside_baseline' END,
   CASE WHEN p > 0 THEN 'change_after_baseline' END, CASE WHEN value IS NULL THEN 'measurement_missing' END, CASE WHEN flagged THEN 'statistical_baseline_requires_review' END], lambda y: y IS NOT NULL), ',') AS hold_reasons FROM n""")
 def rev_context_review(spark, d):
     rows, changes, base, _, coverage = context(spark, d)
-    out = review.context_holds(rows, changes, base, "user_id", coverage=coverage)
-    return out.select("event_id", "changes_inside", "changes_after", F.array_join("hold_reasons", ",").alias("hold_reasons"))
+    out = review.context_holds(rows, changes, base, "user_id", coverage=coverage, change_id="event_id")
+    return out.select("event_id", "changes_inside", "changes_after", F.array_join(F.transform("related_changes", lambda x: x.cast("string")), ",").alias("related_changes"), F.array_join("hold_reasons", ",").alias("hold_reasons"))
 
 
 @query(f"""WITH {CONTEXT} SELECT CASE WHEN b.user_id IS NULL THEN 'other_stream' WHEN c.at < s.f THEN 'before_baseline' WHEN c.at <= b.b THEN 'baseline' WHEN c.at <= s.l THEN 'monitoring' ELSE 'scheduled' END AS period, count(*) AS n
@@ -126,18 +127,6 @@ def eval_disagreement(spark, d):
     return rounded(evaluate.disagreement(s, "o_orderstatus", "mode", "v", "c", [("1", "5"), ("2", "3")]), 4)
 
 
-@query("""SELECT * FROM (VALUES ('equal', 0.0::DOUBLE), ('other', 'inf'::DOUBLE), ('gone', 0.0::DOUBLE), ('returned', 'inf'::DOUBLE), ('absent', NULL)) t(g, psi) WHERE (SELECT count(*) FROM events) > 10""")
-def eval_psi_constants(spark, d):
-    """A constant or missing reference against the same, other, missing and returning values, and a group without a reference."""
-    e = table(spark, d, "events").select("event_id")
-    part = lambda g, x, y: (e.select(F.lit(g).alias("g"), F.lit(x).cast("double").alias("x")), e.select(F.lit(g).alias("g"), F.lit(y).cast("double").alias("x")))
-    sides = [part("equal", 5.0, 5.0), part("other", 5.0, 9.0), part("gone", None, float("nan")), part("returned", None, 1.0), (e.select(F.lit("absent").alias("g"), F.lit(1.0).alias("x")).limit(0), e.select(F.lit("absent").alias("g"), F.lit(1.0).alias("x")))]
-    ref, cur = (sides[0][i] for i in (0, 1))
-    for a, b in sides[1:]:
-        ref, cur = ref.union(a), cur.union(b)
-    return evaluate.psi(ref, cur, "x", "g")
-
-
 # Audits
 
 LABELLED = "ev AS (SELECT *, (user_id % 5 = 0)::INT AS label FROM events)"
@@ -254,10 +243,10 @@ def con_half_hours(spark, d):
     return good.select(F.lit("").alias("reasons")).unionByName(bad.select(F.array_join("reasons", ",").alias("reasons"))).groupBy("reasons").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CASE WHEN event_id % 5 = 0 THEN 'clear_missing' ELSE '' END || CASE WHEN event_id % 5 = 0 AND value > 50 THEN ',' ELSE '' END || CASE WHEN value > 50 THEN 'score_not_valid' ELSE '' END || CASE WHEN (event_id % 5 = 0 OR value > 50) AND event_id % 7 = 0 THEN ',' ELSE '' END
- || CASE WHEN event_id % 7 = 0 THEN 'clear_not_boolean' ELSE '' END AS reasons, count(*) AS n FROM (SELECT * FROM events WHERE event_id % 35 <> 0) GROUP BY 1""")
+@query("""SELECT CASE WHEN event_id % 5 = 0 THEN 'clear_missing' ELSE '' END || CASE WHEN event_id % 5 = 0 AND value > 50 THEN ',' ELSE '' END || CASE WHEN value > 50 THEN 'score_not_valid' ELSE '' END || CASE WHEN value > 50 AND event_id % 7 = 0 AND event_id % 5 <> 0 THEN ',' ELSE '' END
+ || CASE WHEN event_id % 7 = 0 AND event_id % 5 <> 0 THEN 'clear_not_boolean' ELSE '' END AS reasons, count(*) AS n FROM events GROUP BY 1""")
 def con_reports(spark, d):
-    e = table(spark, d, "events").where("event_id % 35 <> 0")
+    e = table(spark, d, "events")
     full = F.create_map(F.lit("score"), F.col("value").cast("string"), F.lit("clear"), F.when(F.col("event_id") % 7 == 0, "perhaps").otherwise("True"))
     m = e.select(F.when(F.col("event_id") % 5 == 0, F.map_filter(full, lambda k, _: k != "clear")).otherwise(full).alias("report"))
     return contracts.with_reasons(m, feeds.report_rules("report", {"score": (0, 50)}, ["clear"])).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
@@ -276,15 +265,15 @@ def con_open_readings(spark, d):
     return contracts.open_readings(r, ("click",)).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_partkey * 10000000 + l_suppkey * 100 + l_linenumber) > 1 AS later FROM lineitem WHERE l_orderkey % 10 <> 3)
-SELECT array_to_string(list_filter([CASE WHEN l_orderkey % 10 = 7 THEN 'id_missing' END, CASE WHEN l_linenumber = 2 THEN 'value_not_valid' END], lambda y: y IS NOT NULL), ',') AS reasons, count(*) AS n FROM l WHERE l_orderkey % 10 = 7 OR NOT later GROUP BY 1""")
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN l_orderkey % 10 = 7 THEN -1 ELSE l_orderkey END, l_linenumber % 2 ORDER BY l_orderkey * 10 + l_linenumber) > 1 AS later FROM lineitem)
+SELECT array_to_string(list_filter([CASE WHEN l_orderkey % 10 = 7 THEN 'id_missing' END, CASE WHEN l_linenumber = 2 OR l_linenumber = 4 AND l_orderkey % 10 = 3 THEN 'value_not_valid' END, CASE WHEN later THEN 'board_and_pad_repeated' END], lambda y: y IS NOT NULL), ',') AS reasons, count(*) AS n FROM l GROUP BY 1""")
 def con_board_rows(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 <> 3")
+    li = table(spark, d, "lineitem")
     board = F.when(F.col("l_orderkey") % 10 == 7, "  ").otherwise(F.col("l_orderkey").cast("string"))
-    value = F.when(F.col("l_linenumber") == 2, F.concat(F.lit("-"), F.col("l_quantity").cast("string"))).otherwise(F.col("l_quantity").cast("string"))
-    rows = li.select(board.alias("board"), F.when(F.col("l_orderkey") % 10 == 7, F.monotonically_increasing_id().cast("string")).otherwise((F.col("l_linenumber") % 2).cast("string")).alias("pad"), value.alias("v"), (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("at"))
-    out = contracts.board_rows(rows, "board", "pad", "v", "at")
-    return out.where(~F.array_contains("reasons", "board_and_pad_repeated")).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+    value = F.col("l_quantity").cast("string")
+    value = F.when(F.col("l_linenumber") == 2, F.concat(F.lit("-"), value)).when((F.col("l_linenumber") == 4) & (F.col("l_orderkey") % 10 == 3), F.concat(value, F.lit("mm"))).otherwise(value)
+    rows = li.select(board.alias("board"), (F.col("l_linenumber") % 2).alias("pad"), value.alias("v"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return contracts.board_rows(rows, "board", "pad", "v", "at").groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'train' ELSE 'test' END AS split, count(*) AS n, sum((event_type = 'error')::INT)::BIGINT AS fails, round(avg((event_type = 'error')::INT), 6) AS fail_rate, min(ts) AS time_min, max(ts) AS time_max FROM events GROUP BY 1""")

@@ -16,20 +16,27 @@ CONFIG = Config(width=DAY // 2, period=8 * HOUR, gap_factor=3.0, cadence=0.9, le
 RESET = Config(width=DAY // 2, period=8 * HOUR, gap_factor=3.0, cadence=0.9, least=1, most=99.0, reset_after_alarm=True, grids={"shewhart": (1.0,), "ewma": (1.0,), "cusum": (2.0,)})
 CENTER, SCALE = 50.0, 20.0
 
-ALL = """e0 AS (SELECT user_id, epoch_us(ts) AS us, value AS x, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events),
+
+def windows_sql(c):
+    return f"""e0 AS (SELECT user_id, epoch_us(ts) AS us, value AS x, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events),
 f0 AS (SELECT user_id, count(*) AS n, min(us) AS t0, max(us) AS t1, CASE WHEN count(*) < 2 THEN 'shape_invalid' WHEN count_if(us <= last) > 0 THEN 'time_not_strictly_increasing'
-  WHEN abs(quantile_cont(us - last, 0.5) - 28800000000) / 28800000000 > 0.9 THEN 'cadence_mismatch' ELSE '' END AS why FROM e0 GROUP BY 1),
-f AS (SELECT *, CASE WHEN why = '' THEN (t1 - t0) // 43200000000 END AS complete FROM f0),
-s AS (SELECT e0.*, (us - t0) // 43200000000 AS k, t0, complete FROM e0 JOIN f USING (user_id) WHERE why = ''),
-gap AS (SELECT user_id, (last + 28800000000 - t0) // 43200000000 AS lo, k AS hi FROM s WHERE us - last > 86400000000),
+  WHEN abs(quantile_cont(us - last, 0.5) - {c.period}) / {c.period} > {c.cadence} THEN 'cadence_mismatch' ELSE '' END AS why FROM e0 GROUP BY 1),
+f AS (SELECT *, CASE WHEN why = '' THEN (t1 - t0) // {c.width} END AS complete FROM f0),
+s AS (SELECT e0.*, (us - t0) // {c.width} AS k, t0, complete FROM e0 JOIN f USING (user_id) WHERE why = ''),
+gap AS (SELECT user_id, (last + {c.period} - t0) // {c.width} AS lo, k AS hi FROM s WHERE us - last > {int(c.gap)}),
 touched AS (SELECT DISTINCT user_id, unnest(range(lo, hi + 1)) AS k FROM gap),
 grid AS (SELECT user_id, unnest(range(complete)) AS k FROM f WHERE why = ''),
-full_w AS (SELECT user_id, k, count(*) AS n, sqrt(avg(CASE WHEN abs(x) <= 99 THEN x * x END)) AS rms, max((abs(x) > 99)::INT) = 1 AS over_most FROM s WHERE k < complete GROUP BY ALL),
+full_w AS (SELECT user_id, k, count(*) AS n, sqrt(avg(CASE WHEN abs(x) <= {c.most} THEN x * x END)) AS rms, max((abs(x) > {c.most})::INT) = 1 AS over_most FROM s WHERE k < complete GROUP BY ALL),
 w AS (SELECT g.user_id, g.k, coalesce(n, 0) AS n, t.k IS NOT NULL AS in_gap, coalesce(over_most, false) AS over_most, CASE WHEN t.k IS NULL AND n > 0 AND NOT over_most THEN rms END AS value,
   array_to_string(list_filter([CASE WHEN t.k IS NOT NULL THEN 'timestamp_gap' END, CASE WHEN n IS NULL THEN 'insufficient_samples' END, CASE WHEN over_most THEN 'value_out_of_range' END], lambda y: y IS NOT NULL), ',') AS reasons
   FROM grid g LEFT JOIN full_w u ON u.user_id = g.user_id AND u.k = g.k LEFT JOIN touched t ON t.user_id = g.user_id AND t.k = g.k)"""
 
 
+ALL = windows_sql(CONFIG)
+#: Files of days, whose gaps of more than a day and a half are told, whatever their cadence.
+DAILY = Config(width=DAY, period=DAY, gap_factor=1.5, cadence=1e9, least=1, grids={"shewhart": (1.0, 1.5), "ewma": (1.0, 1.5), "cusum": (2.0, 4.0, 6.0, 8.0)})
+
+
 def samples(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
 
@@ -80,12 +87,16 @@ def spc_autocorrelation(spark, d):
     return rounded(windowed.reference_fit(run_table(spark, d)[2].where("user_id % 4 = 0"), "user_id", CONFIG))
 
 
-STATS = f"""z1 AS (SELECT user_id, k, (value - {CENTER}) / {SCALE} AS z, sum((value IS NULL)::INT) OVER (PARTITION BY user_id ORDER BY k) AS segment FROM w),
+def statistics_sql(center, scale):
+    return f"""z1 AS (SELECT user_id, k, (value - {center}) / {scale} AS z, sum((value IS NULL)::INT) OVER (PARTITION BY user_id ORDER BY k) AS segment FROM w),
 z2 AS (SELECT *, sum(z - 0.5) OVER q AS up, sum(-z - 0.5) OVER q AS down, list(z) OVER q AS zs FROM z1 WHERE z IS NOT NULL WINDOW q AS (PARTITION BY user_id, segment ORDER BY k)),
 stats AS (SELECT user_id, k, abs(z) AS shewhart, abs(list_reduce(list_prepend(0.0::DOUBLE, zs), lambda e, x: 0.2 * x + 0.8 * e)) / sqrt(0.2 / 1.8) AS ewma, greatest(up - least(0, min(up) OVER q), down - least(0, min(down) OVER q)) AS cusum
   FROM z2 WINDOW q AS (PARTITION BY user_id, segment ORDER BY k))"""
 
 
+STATS = statistics_sql(CENTER, SCALE)
+
+
 @query(f"""WITH {ALL}, {STATS} SELECT user_id, k, round(shewhart, 6) AS shewhart, round(ewma, 6) AS ewma, round(cusum, 6) AS cusum FROM stats""")
 def spc_statistics(spark, d):
     return rounded(windowed.statistics(run_table(spark, d)[2], "user_id", CENTER, SCALE, CONFIG).drop("segment"))
@@ -181,3 +192,33 @@ def spc_protocol(spark, d):
     files = files.unionByName(ghost).withColumn("op", F.lit("run")).withColumn("env", F.lit("lab"))
     found = protocol.protocol(runs, files, sources, s, configs, ["ts", "event_id"], "t", ["value"], evidence)["status"]
     return rounded(found.withColumn("reasons", F.array_join("reasons", ",")).withColumn("flags", F.array_join("flags", ",")))
+
+
+@query(f"""WITH {windows_sql(DAILY)}, i AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, n = 0, reasons ORDER BY k) AS island FROM w)
+SELECT user_id, min(k) AS k, count(*) AS count, max(n) AS n, reasons, round(max(value), 6) AS value FROM i GROUP BY user_id, reasons, CASE WHEN n = 0 THEN island END, CASE WHEN n > 0 THEN k END""")
+def spc_window_rms(spark, d):
+    return rounded(run_table(spark, d, DAILY)[2].withColumn("reasons", F.array_join("reasons", ",")))
+
+
+@query(f"""WITH {windows_sql(DAILY)} SELECT count(value) AS n, round(avg(value), 6) AS center, round(stddev_samp(value), 6) AS scale, 'fitted' AS state FROM w WHERE user_id % 4 = 0""")
+def spc_reference_fit(spark, d):
+    return rounded(windowed.reference_fit(run_table(spark, d, DAILY)[2].where("user_id % 4 = 0"), "user_id", DAILY).drop("lag1"))
+
+
+@query(f"""WITH {windows_sql(DAILY)}, {statistics_sql(50.0, 25.0)} SELECT user_id, k, round(shewhart, 6) AS shewhart, round(ewma, 6) AS ewma, round(cusum, 6) AS cusum FROM stats""")
+def spc_detectors(spark, d):
+    return rounded(windowed.statistics(run_table(spark, d, DAILY)[2], "user_id", 50.0, 25.0, DAILY).drop("segment"))
+
+
+@query(f"""WITH {windows_sql(DAILY)}, {statistics_sql(50.0, 25.0)}, a AS (SELECT s.user_id, shewhart > 1 AS alarm, shewhart > 1 AND NOT coalesce(p.b, false) AS begins FROM stats s LEFT JOIN (SELECT user_id, k + 1 AS k, shewhart > 1 AS b FROM stats) p ON p.user_id = s.user_id AND p.k = s.k),
+c AS (SELECT user_id, count(*) AS evaluable, count_if(alarm) AS alarms, count_if(begins) AS episodes FROM a GROUP BY 1), u AS (SELECT user_id, count_if(value IS NULL) AS resets FROM w GROUP BY 1)
+SELECT user_id, coalesce(evaluable, 0) AS evaluable, coalesce(alarms, 0) AS alarms, coalesce(episodes, 0) AS episodes, resets AS resets_not_evaluable FROM u LEFT JOIN c USING (user_id)""")
+def spc_episodes(spark, d):
+    runs = saved(run_table(spark, d, DAILY)[2])
+    return windowed.alarm_counts(windowed.detect(runs, "user_id", 50.0, 25.0, "shewhart", 1.0, DAILY), runs, "user_id", DAILY).drop("resets_after_alarm")
+
+
+@query(f"""WITH {windows_sql(DAILY)}, {statistics_sql(50.0, 25.0)}, c AS (SELECT t::DOUBLE AS threshold, count_if(cusum > t) AS alarms, count(*) AS evaluable FROM stats, (VALUES (2), (4), (6), (8)) g(t) GROUP BY t), fi AS (SELECT *, alarms / evaluable <= 0.05 AS fits FROM c)
+SELECT threshold, alarms, evaluable, fits AND NOT coalesce(bool_or(fits) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS chosen FROM fi""")
+def spc_calibrate(spark, d):
+    return windowed.calibrate(run_table(spark, d, DAILY)[2], "user_id", 50.0, 25.0, DAILY).where("method = 'cusum'").select("threshold", "alarms", "evaluable", "chosen")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.ranking import global_rank
-from gaugeworks.operators import compare, contracts, evaluate, features, review, spc
+from gaugeworks.operators import compare, contracts, evaluate, features, review, spc, windowed
 from gaugeworks.plans import registry
 from gaugeworks.sources import readers
 from gaugeworks.streaming import readings
@@ -34,7 +34,8 @@ def test_suspect_and_short_baselines(spark):
 
 def test_cusum_equals_the_step_by_step_fold(spark):
     values = [0.2, 1.4, 2.2, -0.3, 3.0, 0.1, -4.0, -2.0, 0.0]
-    got = spc.detectors(series(spark, values).withColumnRenamed("i", "k2").withColumn("k", F.col("k2")).withColumn("s", F.lit("x")), "s", 0.0, 1.0).orderBy("k").collect()
+    rows = series(spark, values).withColumnRenamed("i", "k2").withColumn("k", F.col("k2")).withColumn("s", F.lit("x"))
+    got = windowed.statistics(rows, "s", 0.0, 1.0, windowed.Config(width=1, period=1)).orderBy("k").collect()
     up = down = e = 0.0
     for x, r in zip(values, got, strict=True):
         up, down, e = max(0, up + x - 0.5), max(0, down - x - 0.5), 0.2 * x + 0.8 * e

@@ -32,6 +32,26 @@ def test_series_without_a_baseline_are_withheld_and_kept(spark):
     assert [r["period"] for r in mine.orderBy("effective_at").collect()] == ["before_baseline", "baseline", "monitoring", "scheduled"] and other.count() == 1
 
 
+@pytest.mark.parametrize("ids", [1, 2, 4096])
+def test_related_changes_over_long_histories(spark, monkeypatch, ids):
+    monkeypatch.setattr(review, "IDS", ids)
+    monkeypatch.setattr(review._related, "__defaults__", (ids,))
+    r = random.Random(6)
+    at = lambda m: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [(k, r.randint(0, 60), i) for k in "abc" for i in range(40)] + [("none", 5, 1), ("unbased", 5, 2)]
+    changes = [(k, r.randint(-5, 70), f"c{i:02d}") for k in "ab" for i in range(30)] + [("unbased", 3, "x"), ("other", 3, "y"), ("a", 20, "same2"), ("a", 20, "same1")]
+    bases = {"a": (10, 20), "b": (5, 5), "c": (0, 9), "none": (0, 9)}
+    got = review.context_holds(
+        spark.createDataFrame([(k, at(t), i, 1.0) for k, t, i in rows], "k string, ts timestamp, i int, value double"), spark.createDataFrame([(k, at(t), c) for k, t, c in changes], "k string, effective_at timestamp, name string"),
+        spark.createDataFrame([(k, at(a), at(b)) for k, (a, b) in bases.items()], "k string, baseline_start timestamp, baseline_end timestamp"), "k", change_id="name").collect()
+    assert len(got) == len(rows)
+    for x in got:
+        t = next(t for k, t, i in rows if (k, i) == (x["k"], x["i"]))
+        a, b = bases.get(x["k"], (None, None))
+        want = sorted((c, n) for k, c, n in changes if a is not None and k == x["k"] and (a <= c <= b or b < c <= t))
+        assert x["related_changes"] == [n for _, n in want] and len(want) == x["changes_inside"] + x["changes_after"]
+
+
 def test_knowledge_cutoff_and_queue_integrity(spark):
     rows = spark.createDataFrame([("a", T(1)), ("a", T(20))], "k string, ts timestamp")
     history = spark.createDataFrame([("a", T(12), T(0), T(13)), ("b", T(5), T(0), T(4))], "k string, available_at timestamp, start timestamp, end timestamp")

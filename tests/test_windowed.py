@@ -152,25 +152,6 @@ def test_reference_lag_is_pooled_over_files(spark):
     assert windowed.reference_fit(runs.withColumn("value", F.lit(2.0)), "file", C).first()["state"] == "reference_scale_invalid"
 
 
-def test_the_protocol_ends_with_a_named_status(spark):
-    r = random.Random(3)
-    make = lambda scale: (list(range(0, 5001, 10)), [r.gauss(0, scale) for _ in range(501)])
-    files = {"r1": make(1.0), "r2": make(1.0), "c1": make(1.0), "e1": make(1.0), "e2": make(3.0)}
-    s = spark.createDataFrame([(f, t, v) for f, (ts, vs) in files.items() for t, v in zip(ts, vs)], "file string, t long, x double")
-    role = {"r": "reference", "c": "calibration", "e": "evaluation"}
-    m = spark.createDataFrame([(f, role[f[0]]) for f in files], "file string, role string")
-    run = lambda m, c=C: dict(windowed.evaluation(s, m, "file", ["t"], "t", ["x"], c))
-    out = run(m)
-    assert out["status"].first()["run_status"] == "exploratory_alarm_activity_only"
-    rows = {x["file"]: x for x in out["evaluation"].collect()}
-    assert rows["e2"]["shewhart_alarms"] > rows["e1"]["shewhart_alarms"] and rows["e1"]["complete"] == 100
-    assert run(m.union(spark.createDataFrame([("x", "evaluation")], m.schema)))["status"].first()["run_status"] == "input_missing"
-    assert run(m.where("role <> 'calibration'"))["status"].first()["reasons"] == ["role_violation:calibration_only"]
-    assert run(m, replace(C, least_reference=10_000))["status"].first()["reasons"] == ["reference_windows_insufficient"]
-    none = replace(C, budget=0.0, grids={"shewhart": (0.0,), "ewma": (0.0,), "cusum": (0.0,)})
-    assert run(m, none)["status"].first()["run_status"] == "calibration_failed"
-
-
 def test_stability_and_roll_up(spark):
     rows = [("r", c, "supported", "study", "lab", None) for c in windowed.STABILITY]
     e = spark.createDataFrame([*rows, ("s", "trend", "supported", "", "lab", None), ("s", "distribution", None, None, None, 0.4)], "run string, category string, status string, basis string, assessed_by string, p_value double")
