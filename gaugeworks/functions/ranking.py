@@ -67,6 +67,13 @@ def exact_quantiles(df: DataFrame, by: str, value: str, shares: list[float]) ->
     return found.select(by, F.array(*[at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * (p - F.floor(p)) for p in place]).alias("quantiles"))
 
 
+def column_quantiles(df: DataFrame, columns: list[str], share: float = 0.5) -> dict[str, float | None]:
+    """Each column's exact quantile over its values that are not null, as a number (null: no value). A row for each column comes back."""
+    tall = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns)])))
+    found = {r["_c"]: r["quantiles"][0] for r in exact_quantiles(tall, "_c", "_x", [share]).collect()}
+    return {c: found.get(i) for i, c in enumerate(columns)}
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows, by a top-n of each partition."""
     return df.orderBy(*order).limit(n)

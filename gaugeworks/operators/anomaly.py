@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.ranking import column_quantiles
+
 EULER = 0.5772156649015329
 
 
@@ -71,7 +73,7 @@ def grow(drawn: DataFrame, features: list[str], id_col: str, sample: int, seed:
 def isolation_forest(train: DataFrame, df: DataFrame, features: list[str], id_col: str, trees: int = 200, sample: int = 256, seed: int = 20260822) -> DataFrame:
     """Adds score (0 to 1, higher: more isolated) to df. train holds normal rows only; missing values take train's medians.
     An empty train table gives an error, an empty df an empty result."""
-    stats = train.agg(*[F.percentile(F.nanvl(F.col(c), F.lit(None)), F.lit(0.5)).alias(c) for c in features]).first()
+    stats = column_quantiles(train.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in features]), features)
     if any(stats[c] is None for c in features):
         raise ValueError("a feature without a value in the training rows")
     filled = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(stats[c])))

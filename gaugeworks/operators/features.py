@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.ranking import column_quantiles
+
 
 def fit_columns(df: DataFrame, id_col: str, features: list[str], most_missing: float = 0.5) -> list[str]:
     """Columns that are known often enough, vary, and don't equal an earlier one (by an order-free fingerprint, then exactly)."""
@@ -34,7 +36,7 @@ def equal_features(df: DataFrame, id_col: str, features: list[str]) -> list[str]
 
 def impute_and_scale(train: DataFrame, df: DataFrame, features: list[str]) -> DataFrame:
     """Medians of train for missing values, with indicators, then z-scores by train's mean and population deviation."""
-    med = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in features], *[F.count_if(F.col(c).isNull()).alias(f"{c}_gone") for c in features]).first()
+    med = column_quantiles(train, features) | train.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_gone") for c in features]).first().asDict()
     filled = lambda c: F.coalesce(F.col(c), F.lit(med[c]))
     fit = train.agg(*[x for c in features for x in (F.avg(filled(c)).alias(f"{c}_m"), F.stddev_pop(filled(c)).alias(f"{c}_s"))]).first()
     out = df

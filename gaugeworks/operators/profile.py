@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.ranking import exact_quantiles
 from gaugeworks.operators.evaluate import psi
 
 
@@ -26,9 +27,11 @@ def audit(df: DataFrame, features: list[str], label: str, ts: str) -> DataFrame:
 
 def group_summary(df: DataFrame, feature: str, label: str, value: str) -> DataFrame:
     """By feature and label: size, missing, mean, deviation, quantiles."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = df.groupBy(feature, label).agg(F.count("*").alias("n"), F.count(value).alias("observed"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("q"))
-    return out.select(feature, label, "n", "observed", (1 - F.col("observed") / F.col("n")).alias("missing_rate"), "mean", "std", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((5, 25, 50, 75, 95))])
+    shares = (5, 25, 50, 75, 95)
+    out = df.groupBy(feature, label).agg(F.count("*").alias("n"), F.count(value).alias("observed"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    quantiles = exact_quantiles(df.select(F.struct(feature, label).alias("_pair"), value), "_pair", value, [p / 100 for p in shares])
+    out = out.withColumn("_pair", F.struct(feature, label)).join(quantiles, "_pair", "left")
+    return out.select(feature, label, "n", "observed", (1 - F.col("observed") / F.col("n")).alias("missing_rate"), "mean", "std", *[F.col("quantiles")[i].alias(f"q{p}") for i, p in enumerate(shares)])
 
 
 def standardised_difference(summary: DataFrame, feature: str, label: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.ranking import global_rank, running_sums
+from gaugeworks.functions.ranking import global_rank, group_rank, running_sums
 
 
 def _boundaries(df: DataFrame, ts: str, positions: list[int]) -> list:
@@ -40,8 +40,8 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, repeats
     """Adds repeat and fold: within a label, rows in the order of md5(seed, repeat, id) are dealt in turn."""
     rep = df.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(id_col).cast("string")).cast("binary"))
-    w = Window.partitionBy("repeat", label).orderBy(place, id_col)
-    return rep.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    ranked = group_rank(rep.withColumn("_place", place), ["repeat", label], F.asc("_place"), F.asc(id_col), name="fold")
+    return ranked.withColumn("fold", ((F.col("fold") - 1) % k).cast("int")).drop("_place", "_n")
 
 
 def group_disjoint(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
