@@ -13,6 +13,7 @@ def matrix(spark: SparkSession, path: str, prefix: str = "feature_") -> DataFram
 
 
 def hashes(spark: SparkSession, path: str) -> DataFrame:
+    """Digest and length of each file. Spark doesn't list empty files, so the gate counts them as absent."""
     return spark.read.format("binaryFile").load(path).select(F.col("path"), F.sha2("content", 256).alias("sha256"), "length")
 
 

@@ -44,6 +44,42 @@ def publish(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> N
             fs.delete(source, True)
 
 
+POINTER = "current.json"
+
+
+def publish_by_pointer(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> str:
+    """publish for object stores: the tables are written to a folder of their own under the path, and a small file that names it is put
+    there last, only if there is none, which is the one step that makes them the result. Of several writers the first to put it wins;
+    another raises and takes its own folder away, as a failure does. The store has to refuse to create a file that exists."""
+    spark = next(iter(tables.values())).sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    fs, folder = _folder(spark, f"{path.rstrip('/')}/{version}")
+    _, pointer = _folder(spark, f"{path.rstrip('/')}/{POINTER}")
+    if fs.exists(pointer):
+        raise ValueError(f"{path} has a result; results are never overwritten")
+    try:
+        for name, df in tables.items():
+            writer = df.write.option("header", True) if kind == "csv" else df.write
+            writer.format(kind).save(f"{path.rstrip('/')}/{version}/{name}")
+        out = fs.create(pointer, False)  # fails if another writer's is there
+        try:
+            out.write(bytearray(json.dumps({"version": version, "kind": kind, "tables": sorted(tables)}).encode()))
+        finally:
+            out.close()
+    except Exception:
+        fs.delete(folder, True)
+        raise
+    return version
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that the pointer at a path names."""
+    at = path.rstrip("/")
+    named = json.loads(spark.read.text(f"{at}/{POINTER}", wholetext=True).first()[0])
+    reader = spark.read.option("header", True) if named["kind"] == "csv" else spark.read
+    return {t: reader.format(named["kind"]).load(f"{at}/{named['version']}/{t}") for t in named["tables"]}
+
+
 def names_digest(features: list[str]) -> str:
     return hashlib.sha256(json.dumps(features).encode()).hexdigest()
 
