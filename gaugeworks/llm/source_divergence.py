@@ -95,6 +95,8 @@ class Audit:
         kept = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count")).where(F.col("docs") >= least).drop("docs")
         kept = saved(kept, "kept")
         totals = kept.groupBy("lang").agg(F.count("*").alias("V"), F.sum("count").alias("N"), F.ceil(F.count("*") / terms).alias("blocks"))  # a row for each language
+        # As a table its size is known, so the planner sends it to the terms while it is small and deals them out by block alone.
+        totals = saved(totals, "totals")
         block = F.pmod(F.xxhash64("term"), F.col("blocks"))
         placed = kept.join(totals, "lang").withColumn("block", block)
         #: A block has about `terms` terms: its window is bounded.
