@@ -12,12 +12,15 @@ empty table an empty result. A licence that is listed twice under one digest cou
 
 from __future__ import annotations
 
+import functools
 import json
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.shared import saved
+
 #: Spellings that count as one.
 SPELLINGS = [
     ("licence", "license"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"),
@@ -55,14 +58,41 @@ NO_NAME = (
 SIGNED = r"(?i:copyright)[ \t:,]*(?:\([cC]\)|©|[0-9]{4}|[<\[{(][ \t]*(?i:year|yyyy|dates?|name|owner|copyright))|©|\([cC]\)[ \t]*(?:(?i:copyright)|[0-9]{4}|[<\[{][ \t]*(?i:year|yyyy))"
 COPYRIGHT = rf"(^|\n)[ \t*#/;-]*(?:{SIGNED}|(?i:copyright)[ \t:]+(?:by[ \t]+)?(?!(?i:{NO_NAME})(?!\p{{L}}))\p{{Lu}})[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
+#: Marks in a text that is being normalised: a word that may belong to what a hyphen ends, and the end of a paragraph. Private characters, which texts lose first.
+JOINED, ENDED = "\ue000", "\ue001"
+#: Where paragraphs part, and how long a first paragraph may be to count as a title.
+PARAGRAPH, TITLE = r"\n[ \t\r]*\n", 80
+
+
+def _replace(text: Column, *pairs: tuple[str, str]) -> Column:
+    return functools.reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, text)
+
+
+def _merge(text: Column) -> Column:
+    return _replace(text, (f" {JOINED}", ""), (JOINED, ""), ("copyright holder", "copyright owner"))
+
+
+def marked_lines(text: Column) -> Column:
+    """The lines that have letters or digits, each normalised once, and the mark ENDED as a line where a paragraph ends."""
+    text = _replace(F.coalesce(text, F.lit("")), (JOINED, "¶"), (ENDED, "¶"))
+    text = F.lower(F.regexp_replace(text, COPYRIGHT, "$1\f"))  # not an empty line, as that would end a paragraph
+    text = F.regexp_replace(text, r"\b(?:(sub)-(\s++)(?=licen[cs]e)|(non)-(\s++)(?=commercial))", f"$1$3-$2$4{JOINED}")  # a spelling that a line's end may part
+    text = F.regexp_replace(_replace(text, *SPELLINGS), PARAGRAPH, f"\n{ENDED}\n")
+    lines = F.split(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}\n{JOINED}{ENDED}]+", " "), "\n")
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _whole(lines: Column) -> Column:
+    return _merge(_replace(F.array_join(lines, " "), (f" {ENDED}", ""), (f"{ENDED} ", ""), (ENDED, "")))
+
+
+def _paragraphs(lines: Column) -> Column:
+    """Canonical paragraphs that aren't empty."""
+    return F.filter(F.transform(F.split(F.array_join(lines, " "), ENDED), lambda x: _merge(F.trim(x))), lambda x: x != "")
 
 
 def canonical(text: Column) -> Column:
-    text = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, "$1"))
-    text = F.regexp_replace(text, r"\b(sub|non)-\s+", "$1-")  # a spelling that a line's end parts
-    for a, b in SPELLINGS:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.replace(F.trim(F.regexp_replace(text, OTHER, " ")), F.lit("copyright holder"), F.lit("copyright owner"))
+    return _whole(marked_lines(text))
 
 
 def digest(text: Column) -> Column:
@@ -83,24 +113,15 @@ def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) ->
     return known.select(digest(F.col("text")).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
-#: Where paragraphs part, and how long a first paragraph may be to count as a title.
-PARAGRAPH, TITLE = r"\n[ \t\r]*\n", 80
-
-
 def whole_texts() -> list[tuple[str, str]]:
     """(name, text) with paragraphs parted by empty lines: the texts of KNOWN have a paragraph a line."""
     return [*((k, x.replace("\n", "\n\n")) for k, x in KNOWN.items() if not k.endswith("-notice")), *map(tuple, LISTED["texts"])]
 
 
-def _paragraphs(text: Column) -> Column:
-    """Canonical paragraphs that aren't empty."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), canonical), lambda x: x != "")
-
-
 def known_runs(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """Rows (run_digest, run, name, j, n): paragraph j of the n of a run, a licence's paragraphs with its title or without."""
     rows = whole_texts() if texts is None else list(texts.items())
-    df = spark.createDataFrame(rows, "name string, text string").select("name", _paragraphs(F.col("text")).alias("all")).where(F.size("all") > 0)
+    df = spark.createDataFrame(rows, "name string, text string").select("name", marked_lines(F.col("text")).alias("_lines")).select("name", _paragraphs(F.col("_lines")).alias("all")).where(F.size("all") > 0)
     bare = df.where((F.size("all") > 1) & (F.length(F.get("all", F.lit(0))) <= TITLE)).select("name", F.slice("all", 2, F.size("all") - 1).alias("all"))
     both = df.union(bare).withColumn("run", F.sha2(F.concat_ws("|", "name", F.array_join("all", "|")).cast("binary"), 256))
     each = both.select("run", "name", F.size("all").alias("n"), F.posexplode("all").alias("j", "x"))
@@ -111,20 +132,26 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     """Rows (id, canonical_sha256, license_id, notice_ids, and with runs embedded_ids): notice_ids are the distinct names that lines match,
     embedded_ids those of runs of paragraphs, by name, comma-joined."""
     text = F.col(text_col).cast("string")
-    docs = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_text_md5"), text.alias("_text"))  # rows of one id and text have the same notices
-    lines = docs.select("_id", "_text_md5", F.explode(F.split("_text", "\n")).alias("_line")).where(F.col("_line") != "").select("_id", "_text_md5", digest(F.col("_line")).alias("_digest"))
-    named = F.broadcast(known.select(F.col("known_digest").alias("_digest"), F.col("license_id").alias("_name")))
-    names = lambda found: found.groupBy("_id", "_text_md5").agg(F.array_join(F.array_sort(F.collect_set("_name")), ",").alias("_names"))
-    whole = docs.select("_id", "_text_md5", digest(F.col("_text")).alias("_digest")).join(named, "_digest", "left").alias("w")
-    same = lambda t: F.col("w._id").eqNullSafe(F.col(f"{t}._id")) & (F.col("w._text_md5") == F.col(f"{t}._text_md5"))
-    columns = [F.col("w._id").alias(id_col), F.col("w._digest").alias("canonical_sha256"), F.col("w._name").alias("license_id"), F.coalesce("n._names", F.lit("")).alias("notice_ids")]
-    out = whole.join(names(lines.join(named, "_digest")).alias("n"), same("n"), "left")
+    docs = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_text_md5"), marked_lines(text).alias("_lines"))  # rows of one id and text have the same notices
+    piece = lambda kind, at, x: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), x.alias("x"))
+    pieces = [F.array(piece("whole", F.lit(0), _whole(F.col("_lines")))), F.transform(F.filter("_lines", lambda x: x != ENDED), lambda x: piece("line", F.lit(0), _merge(x)))]
+    none = F.lit(None)
+    parts = [known.select(F.explode(F.array(F.lit("whole"), F.lit("line"))).alias("kind"), F.col("known_digest").alias("digest"), F.col("license_id").alias("name"), none.cast("string").alias("run"), none.cast("int").alias("j"), none.cast("int").alias("n"))]
     if runs is not None:
-        parts = docs.select("_id", "_text_md5", F.posexplode(_paragraphs(F.col("_text"))).alias("_at", "_x")).select("_id", "_text_md5", "_at", F.sha2(F.col("_x").cast("binary"), 256).alias("run_digest"))
-        hits = parts.join(F.broadcast(runs), "run_digest").groupBy("_id", "_text_md5", "run", F.col("name").alias("_name"), "n", (F.col("_at") - F.col("j")).alias("_start")).agg(F.count_distinct("j").alias("_found")).where("_found = n")
-        out = out.join(names(hits).alias("r"), same("r"), "left")
-        columns.append(F.coalesce("r._names", F.lit("")).alias("embedded_ids"))
-    return out.select(*columns)
+        pieces.append(F.transform(_paragraphs(F.col("_lines")), lambda x, i: piece("paragraph", i, x)))
+        parts.append(runs.select(F.lit("paragraph").alias("kind"), F.col("run_digest").alias("digest"), "name", "run", "j", "n"))
+    listed = saved(functools.reduce(DataFrame.unionByName, parts), "license-list")  # as files, its size is known to the join
+    # one pass over the texts: a row for each document's whole, and what its lines and paragraphs hit
+    pieces = docs.select("_id", "_text_md5", F.explode_outer(F.concat(*pieces)).alias("p")).select("_id", "_text_md5", "p.*").where("kind = 'whole' OR x <> ''")
+    found = pieces.select("_id", "_text_md5", "kind", "at", F.sha2(F.col("x").cast("binary"), 256).alias("digest")).join(listed, ["kind", "digest"], "left").where("kind = 'whole' OR name IS NOT NULL")
+    found = saved(found.withColumn("digest", F.when(F.col("kind") == "whole", F.col("digest"))), "license-hits")
+    runs_hit = found.where("kind = 'paragraph'").groupBy("_id", "_text_md5", "run", "name", "n", (F.col("at") - F.col("j")).alias("_start")).agg(F.count_distinct("j").alias("_found")).where("_found = n")
+    hits = found.where("kind = 'line'").select("_id", "_text_md5", "kind", "name").unionByName(runs_hit.select("_id", "_text_md5", F.lit("paragraph").alias("kind"), "name"))
+    names = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))), ",")
+    h, w = hits.groupBy("_id", "_text_md5").agg(names("line").alias("notice_ids"), names("paragraph").alias("embedded_ids")).alias("h"), found.where("kind = 'whole'").alias("w")
+    out = w.join(h, F.col("w._id").eqNullSafe(F.col("h._id")) & (F.col("w._text_md5") == F.col("h._text_md5")), "left")
+    told = ["notice_ids"] if runs is None else ["notice_ids", "embedded_ids"]
+    return out.select(F.col("w._id").alias(id_col), F.col("w.digest").alias("canonical_sha256"), F.col("w.name").alias("license_id"), *[F.coalesce(f"h.{x}", F.lit("")).alias(x) for x in told])
 
 
 def _sql_lines(table: str, key: str, text: str) -> str:
