@@ -109,8 +109,9 @@ def _evaluated(alive: DataFrame, files: DataFrame, samples: DataFrame, order: li
     files = files.join(alive.select("run"), "run", "left_semi").select("run", "file", "role", "recording_group", "op", "env")
     samples = samples.join(files.select("file").distinct(), "file", "left_semi")
     states = saved(windowed.file_states(samples, "file", order, t, c))
-    by_file = saved(windowed.runs(samples, states, "file", t, axes, c, mode))
-    summary = saved(windowed.file_summary(samples, states, by_file, "file", t, c))
+    placed = saved(windowed.windows(samples, states, "file", t, axes, c, mode))
+    by_file = windowed.runs(placed, "file", c)
+    summary = saved(windowed.file_summary(states, placed, by_file, "file", c))
     table = files.select("run", "file", "role").join(by_file, "file").withColumn("key", F.struct("run", "file"))
     part = lambda role: table.where(F.col("role") == role)
     invalid = files.join(summary.where("file_status = 'invalid'"), "file", "left_semi")

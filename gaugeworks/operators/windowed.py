@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.ranking import saved
 
 METHODS = ("shewhart", "ewma", "cusum")
+#: Fixed value: windows of a file, at most.
+MOST_WINDOWS = 2**53 - 1
 #: Evidence that a claim of stable running needs.
 STABILITY = ("operating_context", "trend", "distribution", "autocorrelation", "motion_cycle")
 
@@ -48,64 +50,70 @@ def _div(a: str, b: int) -> Column:
     return F.expr(f"({a}) div {b}")
 
 
-def file_states(samples: DataFrame, key: str, order: list[str], t: str, c: Config) -> DataFrame:
+def file_states(samples: DataFrame, key: str, order: list[str], t: str, c: Config, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """By file: n, t0, t1, complete (windows) and reasons (none: valid). order: the columns that give a file's own order of samples."""
     w = Window.partitionBy(key).orderBy(*order)
     rows = samples.select(key, F.col(t).alias("t"), F.lag(t).over(w).alias("last"), F.row_number().over(w).alias("at"))
     out = rows.groupBy(key).agg(
         F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.count_if(F.col("t").isNull()).alias("bad"),
-        F.count_if((F.col("at") > 1) & (F.col("t") <= F.col("last"))).alias("falls"), F.percentile(F.col("t") - F.col("last"), F.lit(0.5)).alias("step"),
+        F.count_if((F.col("at") > 1) & (F.col("t") <= F.col("last"))).alias("falls"), F.percentile(F.try_subtract("t", "last"), F.lit(0.5)).alias("step"),
     )
     off = F.abs(F.col("step") - c.period) / c.period > c.cadence
+    complete = F.expr(f"try_subtract(t1, t0) div {c.width}")  # null: a span beyond a long
     reason = (
         F.when(F.col("n") < 2, "shape_invalid").when(F.col("bad") > 0, "time_nonfinite_or_nonnumeric")
-        .when(F.col("falls") > 0, "time_not_strictly_increasing").when(off, "cadence_mismatch")
+        .when(F.col("falls") > 0, "time_not_strictly_increasing").when(off, "cadence_mismatch").when(F.coalesce(complete > most_windows, F.lit(True)), "time_span_exceeds_window_index_limit")
     )
-    return out.select(key, "n", "t0", "t1", F.when(reason.isNull(), _div("t1 - t0", c.width)).alias("complete"), F.array_compact(F.array(reason)).alias("reasons"))
+    return out.select(key, "n", "t0", "t1", F.when(reason.isNull(), complete).alias("complete"), F.array_compact(F.array(reason)).alias("reasons"))
 
 
-def _placed(samples: DataFrame, states: DataFrame, key: str, t: str, c: Config, keep: list[Column]) -> DataFrame:
-    """Samples of valid files with their window k, the times beside them, and whether a gap beside them touches their window."""
-    valid = states.where(F.size("reasons") == 0).select(key, "t0", "t1", "complete")
-    w = Window.partitionBy(key).orderBy("t")
-    rows = samples.select(key, F.col(t).alias("t"), *keep).join(valid, key).withColumn("k", _div("t - t0", c.width))
-    rows = rows.withColumn("next", F.lead("t").over(w)).withColumn("before", F.lag("t").over(w)).withColumn("gap_next", F.coalesce(F.col("next") - F.col("t") > c.gap, F.lit(False)))
-    touched = (F.col("gap_next") & (_div(f"t + {c.period} - t0", c.width) == F.col("k"))) | F.coalesce(F.col("t") - F.col("before") > c.gap, F.lit(False))
-    return rows.withColumn("touched", touched)
-
+def windows(samples: DataFrame, states: DataFrame, key: str, t: str, axes: list[str], c: Config, mode: str = "vector") -> DataFrame:
+    """A row for each window of valid files that has samples, those of the tail too: all that `runs` and `file_summary` need, so
+    the samples are placed once. They are shuffled by file; sorting, placing and summing keep that partitioning.
 
-def runs(samples: DataFrame, states: DataFrame, key: str, t: str, axes: list[str], c: Config, mode: str = "vector") -> DataFrame:
-    """Rows (key, k, count, n, reasons, value) that cover every complete window of valid files once. value: root mean square
-    of an axis or of all (mode `vector`), where no reason speaks against it."""
+    (key, complete, t0, k, n, touched: by a gap beside a sample, broken and over: a value is, rms: of an axis or of all in mode
+    `vector`, n_gaps, near: samples close to a bound, last: the time of the last sample, then that of the next one in the file and
+    whether a gap lies between)."""
     x = [F.col(a).cast("double") for a in axes]
     broken = F.greatest(*[(v.isNull() | F.isnan(v) | (F.abs(v) == math.inf)).cast("int") for v in x], F.lit(0)) == 1
     over = F.greatest(*[(F.abs(v) > c.most).cast("int") for v in x], F.lit(0)) == 1
     used = x if mode == "vector" else [F.col(mode).cast("double")]
     square = sum([v * v for v in used[1:]], used[0] * used[0])
-    rows = _placed(samples, states, key, t, c, [broken.alias("broken"), over.alias("over"), F.when(~over, square).alias("square")])
-    full = rows.where(F.col("k") < F.col("complete")).groupBy(key, "k").agg(
-        F.count("*").alias("n"), F.max("touched").alias("touched"), F.max("broken").alias("broken"), F.max("over").alias("over"), F.sqrt(F.avg("square")).alias("rms"))
-    reasons = F.array_compact(F.array(
+    rows = samples.select(key, F.col(t).alias("t"), broken.alias("broken"), over.alias("over"), F.when(~over, square).alias("square"))
+    rows = rows.join(states.where(F.size("reasons") == 0).select(key, "t0", "complete"), key).withColumn("k", _div("t - t0", c.width))
+    w = Window.partitionBy(key).orderBy("t")
+    gap = lambda later, sooner: F.coalesce(F.col(later) - F.col(sooner) > c.gap, F.lit(False))
+    rows = rows.withColumns({"next": F.lead("t").over(w), "before": F.lag("t").over(w)}).withColumns({"gap_next": gap("next", "t"), "gap_before": gap("t", "before")})
+    touched = (F.col("gap_next") & (_div(f"t + {c.period} - t0", c.width) == F.col("k"))) | F.col("gap_before")
+    off = F.pmod(F.col("t") - F.col("t0"), F.lit(c.width))
+    near = (off > 0) & ((off <= c.edge) | (c.width - off <= c.edge))
+    return rows.groupBy(key, "complete", "t0", "k").agg(
+        F.count("*").alias("n"), F.max(touched).alias("touched"), F.max("broken").alias("broken"), F.max("over").alias("over"), F.sqrt(F.avg("square")).alias("rms"), F.count_if("gap_next").alias("n_gaps"),
+        F.count_if(near).alias("near"), F.max("t").alias("last"), F.max_by("next", "t").alias("next"), F.max_by("gap_next", "t").alias("gap_next"),
+    )
+
+
+def runs(placed: DataFrame, key: str, c: Config) -> DataFrame:
+    """Rows (key, k, count, n, reasons, value) that cover every complete window of valid files once, made of `windows` row by row.
+    value: root mean square, where no reason speaks against it."""
+    why = F.array_compact(F.array(
         F.when(F.col("touched"), "timestamp_gap"), F.when(F.col("n") < c.least, "insufficient_samples"),
         F.when(F.col("broken"), "nonfinite_value").when(F.col("over"), "value_out_of_range")))
-    full = full.withColumn("reasons", reasons).select(key, "k", F.lit(1).cast("long").alias("count"), "n", "reasons", F.when(F.size("reasons") == 0, F.col("rms")).alias("value"))
+    row = lambda k, count, n, reasons, value: F.struct(k.alias("k"), count.cast("long").alias("count"), n.cast("long").alias("n"), reasons.alias("reasons"), value.cast("double").alias("value"))
+    own = row(F.col("k"), (F.col("k") < F.col("complete")).cast("long"), F.col("n"), why, F.when(F.size(why) == 0, F.col("rms")))
 
-    # Empty windows lie between neighbouring samples; a gap touches those from one period behind its first sample on.
-    first, last = F.col("k") + 1, F.least(_div("next - t0", c.width), F.col("complete")) - 1
-    low = F.when(F.col("gap_next"), F.greatest(_div(f"t + {c.period} - t0", c.width), first)).otherwise(last + 1)
-    piece = lambda a, b, why: F.struct(a.alias("k"), (b - a + 1).alias("count"), F.array(*[F.lit(y) for y in why]).alias("reasons"))
-    both = F.array(piece(first, F.least(low - 1, last), ["insufficient_samples"]), piece(low, last, ["timestamp_gap", "insufficient_samples"]))
-    empty = rows.where(last >= first).select(key, F.inline(both)).where("count > 0")
-    return full.unionByName(empty.select(key, "k", "count", F.lit(0).cast("long").alias("n"), "reasons", F.lit(None).cast("double").alias("value")))
+    # Empty windows lie between a window and the file's next sample; a gap touches those from one period behind its first sample on.
+    first, end = F.col("k") + 1, F.least(_div("next - t0", c.width), F.col("complete")) - 1
+    low = F.when(F.col("gap_next"), F.greatest(_div(f"last + {c.period} - t0", c.width), first)).otherwise(end + 1)
+    piece = lambda a, b, reasons: row(a, b - a + 1, F.lit(0), F.array(*[F.lit(y) for y in reasons]), F.lit(None))
+    empty = piece(first, F.least(low - 1, end), ["insufficient_samples"]), piece(low, end, ["timestamp_gap", "insufficient_samples"])
+    return placed.select(key, F.inline(F.array(own, *empty))).where("count > 0")
 
 
-def file_summary(samples: DataFrame, states: DataFrame, run_table: DataFrame, key: str, t: str, c: Config) -> DataFrame:
+def file_summary(states: DataFrame, placed: DataFrame, run_table: DataFrame, key: str, c: Config) -> DataFrame:
     """By file of any state: durations, windows, exclusions by reason, gaps, tail and samples near a bound."""
-    rows = _placed(samples, states, key, t, c, [])
-    off = F.pmod(F.col("t") - F.col("t0"), F.lit(c.width))
-    near = (off > 0) & ((off <= c.edge) | (c.width - off <= c.edge))
-    tail = F.col("k") >= F.col("complete")
-    seen = rows.groupBy(key).agg(F.count_if("gap_next").alias("n_gaps"), F.count_if(near).alias("near_boundary"), F.count_if(tail).alias("tail_samples"))
+    tail = F.when(F.col("k") >= F.col("complete"), F.col("n")).otherwise(0)
+    seen = placed.groupBy(key).agg(F.sum("n_gaps").alias("n_gaps"), F.sum("near").alias("near_boundary"), F.sum(tail).alias("tail_samples"))
     names = ("timestamp_gap", "insufficient_samples", "nonfinite_value", "value_out_of_range")
     why = [F.sum(F.when(F.array_contains("reasons", r), F.col("count")).otherwise(0)).alias(r) for r in names]
     of_runs = run_table.groupBy(key).agg(F.count("value").alias("evaluable"), F.count_if(F.col("n") == 0).alias("empty_runs"), *why)

@@ -41,10 +41,14 @@ def samples(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
 
 
-def run_table(spark, d, c=CONFIG):
+def run_table(spark, d, c=CONFIG, keep=False):
+    """States, windows and runs. keep: windows are written first, where more than one table is made of them."""
     s = samples(spark, d)
     states = windowed.file_states(s, "user_id", ["ts", "event_id"], "t", c)
-    return s, states, windowed.runs(s, states, "user_id", "t", ["value"], c)
+    states = saved(states) if keep else states
+    placed = windowed.windows(s, states, "user_id", "t", ["value"], c)
+    placed = saved(placed) if keep else placed
+    return states, placed, windowed.runs(placed, "user_id", c)
 
 
 @query(f"""WITH {ALL}, i AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, n = 0, reasons ORDER BY k) AS island FROM w)
@@ -62,14 +66,14 @@ SELECT f.user_id, CASE WHEN why = '' THEN 'valid' ELSE 'invalid' END AS file_sta
   CASE WHEN why = '' THEN n_gaps END AS n_gaps, CASE WHEN why = '' THEN 0 END::BIGINT AS near_boundary, CASE WHEN why = '' THEN tail END AS tail_samples, CASE WHEN why = '' THEN t1 - t0 - complete * 43200000000 END AS tail_duration
 FROM f LEFT JOIN a ON a.user_id = f.user_id LEFT JOIN r ON r.user_id = f.user_id LEFT JOIN t ON t.user_id = f.user_id""")
 def spc_file_summary(spark, d):
-    s, states, runs = run_table(spark, d)
-    return rounded(windowed.file_summary(s, states, runs, "user_id", "t", CONFIG))
+    states, placed, runs = run_table(spark, d, keep=True)
+    return rounded(windowed.file_summary(states, placed, runs, "user_id", CONFIG))
 
 
 @query(f"""WITH {ALL} SELECT user_id, count(*) AS complete, count(value) AS evaluable, count_if(in_gap) AS timestamp_gap, count_if(n = 0) AS insufficient_samples, 0::BIGINT AS nonfinite_value, round(1 - count(value) / count(*), 6) AS excluded_share FROM w GROUP BY 1""")
 def spc_exclusions(spark, d):
-    s, states, runs = run_table(spark, d)
-    out = windowed.file_summary(s, states, runs, "user_id", "t", CONFIG).where("complete > 0")
+    states, placed, runs = run_table(spark, d, keep=True)
+    out = windowed.file_summary(states, placed, runs, "user_id", CONFIG).where("complete > 0")
     return rounded(out.select("user_id", "complete", "evaluable", "timestamp_gap", "insufficient_samples", "nonfinite_value", "excluded_share"))
 
 
@@ -128,9 +132,9 @@ def spc_reset_after_alarm(spark, d):
 @query(f"""WITH {ALL}, {STATS}, a AS (SELECT s.user_id, s.k, shewhart > 1 AS alarm, shewhart > 1 AND NOT coalesce(p.b, false) AS begins FROM stats s LEFT JOIN (SELECT user_id, k + 1 AS k, shewhart > 1 AS b FROM stats) p ON p.user_id = s.user_id AND p.k = s.k)
 SELECT (SELECT count(*) FROM f WHERE why = '') AS series, (SELECT sum(complete)::BIGINT FROM f WHERE why = '') AS complete, count(*) AS evaluable, count_if(alarm) AS alarms, count_if(begins) AS episodes, 0::BIGINT AS contradictions FROM a""")
 def spc_roll_up(spark, d):
-    s, states, runs = run_table(spark, d)
+    states, placed, runs = run_table(spark, d, keep=True)
     counts = windowed.alarm_counts(windowed.detect(runs, "user_id", CENTER, SCALE, "shewhart", 1.0, CONFIG), runs, "user_id", CONFIG)
-    return windowed.roll_up(windowed.file_summary(s, states, runs, "user_id", "t", CONFIG), counts, "user_id")
+    return windowed.roll_up(windowed.file_summary(states, placed, runs, "user_id", CONFIG), counts, "user_id")
 
 
 @query("""WITH c AS (SELECT o_custkey AS k, o_orderpriority AS p, min(o_orderkey) AS o FROM orders GROUP BY ALL), r AS (SELECT DISTINCT o_custkey AS k FROM orders),

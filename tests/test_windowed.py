@@ -40,7 +40,8 @@ def tables(spark, files, c=C):
     rows = [(f, i, t, v) for f, (ts, vs) in files.items() for i, (t, v) in enumerate(zip(ts, vs))]
     s = spark.createDataFrame(rows, "file string, pos int, t long, x double")
     states = windowed.file_states(s, "file", ["pos"], "t", c)
-    return s, states, windowed.runs(s, states, "file", "t", ["x"], c)
+    placed = windowed.windows(s, states, "file", "t", ["x"], c)
+    return states, placed, windowed.runs(placed, "file", c)
 
 
 def test_windows_equal_a_plain_loop(spark):
@@ -53,13 +54,13 @@ def test_windows_equal_a_plain_loop(spark):
             vs.append(r.choice([1.0, 2.0, 3.0] * 20 + [float("nan"), 500.0]))
             t += r.choice([8, 10, 12] * 8 + [60, 130, 400])
         files[f] = (ts, vs)
-    s, states, runs = tables(spark, files)
+    states, placed, runs = tables(spark, files)
     got = {}
     for x in runs.collect():
         for k in range(x["k"], x["k"] + x["count"]):
             assert (x["file"], k) not in got
             got[x["file"], k] = (x["n"], x["reasons"], x["value"])
-    summary = {x["file"]: x for x in windowed.file_summary(s, states, runs, "file", "t", C).collect()}
+    summary = {x["file"]: x for x in windowed.file_summary(states, placed, runs, "file", C).collect()}
     for f, (ts, vs) in files.items():
         want = loop(ts, vs, C)
         assert len(want) == summary[f]["complete"] == sum(1 for k in got if k[0] == f)
@@ -71,6 +72,25 @@ def test_windows_equal_a_plain_loop(spark):
         assert summary[f]["near_boundary"] == sum((t - ts[0]) % 50 in (1, 49) for t in ts) and summary[f]["n_gaps"] == sum(b - a > 15 for a, b in zip(ts, ts[1:]))
 
 
+def test_samples_are_shuffled_once_for_windows_runs_and_figures(spark):
+    s = spark.createDataFrame([("a", i, 10 * i, 1.0) for i in range(20)], "file string, pos int, t long, x double")
+    states = windowed.saved(windowed.file_states(s, "file", ["pos"], "t", C))
+    plan = windowed.runs(windowed.windows(s, states, "file", "t", ["x"], C), "file", C)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
+
+
+def test_spans_of_too_many_windows_are_refused(spark):
+    far = [("a", 0, 0), ("a", 1, 10), ("a", 2, 500), ("b", 0, -(2**63)), ("b", 1, 2**63 - 1), ("c", 0, 0), ("c", 1, 10), ("c", 2, 499)]
+    s = spark.createDataFrame([(f, i, t, 1.0) for f, i, t in far], "file string, pos int, t long, x double")
+    wide = replace(C, cadence=1e30)
+    states = windowed.file_states(s, "file", ["pos"], "t", wide, most_windows=9)
+    assert {r["file"]: (r["complete"], r["reasons"]) for r in states.collect()} == {f: (None, ["time_span_exceeds_window_index_limit"]) for f in "ab"} | {"c": (9, [])}
+    placed = windowed.windows(s, states, "file", "t", ["x"], wide)
+    assert {r["file"] for r in placed.select("file").collect()} == {"c"}
+    summary = windowed.file_summary(states, placed, windowed.runs(placed, "file", wide), "file", wide)
+    assert {r["file"]: (r["file_status"], r["n_gaps"], r["tail_samples"]) for r in summary.collect()} == {"a": ("invalid", None, None), "b": ("invalid", None, None), "c": ("valid", 1, 1)}
+
+
 def test_the_mask_holds_empty_windows(spark):
     ts = [t for t in range(0, 351, 10) if not 100 <= t < 250]
     _, _, runs = tables(spark, {"a": (ts, [1.0] * len(ts))}, replace(C, gap_factor=100.0))
@@ -80,13 +100,13 @@ def test_the_mask_holds_empty_windows(spark):
 
 def test_invalid_files_and_axes(spark):
     files = {"short": ([0], [1.0]), "back": ([0, 10, 5], [1.0] * 3), "null": ([0, None, 20], [1.0] * 3), "slow": ([0, 500, 1000], [1.0] * 3), "good": ([0, 10, 20, 60], [3.0] * 4)}
-    _, states, runs = tables(spark, files)
+    states, _, runs = tables(spark, files)
     assert {r["file"]: list(r["reasons"]) for r in states.collect()} == {"short": ["shape_invalid"], "back": ["time_not_strictly_increasing"], "null": ["time_nonfinite_or_nonnumeric"], "slow": ["cadence_mismatch"], "good": []}
     assert {r["file"] for r in runs.collect()} == {"good"}
     rows = spark.createDataFrame([("a", t, 3.0, 4.0) for t in range(0, 101, 10)], "file string, t long, x double, y double")
     st = windowed.file_states(rows, "file", ["t"], "t", C)
-    assert [r["value"] for r in windowed.runs(rows, st, "file", "t", ["x", "y"], C).orderBy("k").collect()] == [5.0, 5.0]
-    assert [r["value"] for r in windowed.runs(rows, st, "file", "t", ["x", "y"], C, mode="y").orderBy("k").collect()] == [4.0, 4.0]
+    assert [r["value"] for r in windowed.runs(windowed.windows(rows, st, "file", "t", ["x", "y"], C), "file", C).orderBy("k").collect()] == [5.0, 5.0]
+    assert [r["value"] for r in windowed.runs(windowed.windows(rows, st, "file", "t", ["x", "y"], C, mode="y"), "file", C).orderBy("k").collect()] == [4.0, 4.0]
 
 
 def walk(values, method, threshold, c):
