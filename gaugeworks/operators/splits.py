@@ -28,12 +28,11 @@ def walk_forward(df: DataFrame, ts: str, initial: float = 0.55, folds: int = 4)
     times = _boundaries(df, ts, cuts)
     if len(set(times)) < folds or None in times or not df.where(F.col(ts) < F.lit(times[0])).take(1):
         raise ValueError("too few distinct times for these folds")
-    out = None
-    for k, at in enumerate(times):
-        block = df if k + 1 == folds else df.where(F.col(ts) < F.lit(times[k + 1]))
-        block = block.select(F.lit(k + 1).alias("fold"), F.when(F.col(ts) < F.lit(at), "train").otherwise("test").alias("role"), "*")
-        out = block if out is None else out.unionByName(block)
-    return out
+    # One scan: each row is handed to the folds that hold it. Rows without a time belong to the last block alone.
+    role = lambda at: F.when(F.col(ts) < F.lit(at), "train").otherwise("test").alias("role")
+    until = [F.col(ts) < F.lit(at) for at in times[1:]] + [F.lit(True)]
+    held = F.array(*[F.when(end, F.struct(F.lit(k).alias("fold"), role(at))) for k, (at, end) in enumerate(zip(times, until, strict=True), 1)])
+    return df.select(F.inline(F.array_compact(held)), "*")
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, repeats: int = 5, seed: int = 20260822) -> DataFrame:
