@@ -95,11 +95,19 @@ def cmp_priority_changes(spark, d):
     return found.agg(*[F.count_if(F.exists("changes", lambda c: c["field"] == f)).alias(f) for f in ("score", "rank", "prediction", "selected")])
 
 
-@query("""SELECT 0::BIGINT AS in_both, 0::BIGINT AS in_neither, 0::BIGINT AS "foreign", count(*) AS original_count, count_if(o_orderkey % 3 <> 0) AS eligible_count, (count_if(o_orderkey % 3 <> 0) * 7 + 99) // 100 AS expected_k,
-CASE WHEN (count_if(o_orderkey % 3 <> 0) * 7 + 99) // 100 <> 50 THEN 'declared_k_differs' END AS reason FROM orders""")
+@query("""WITH c AS (SELECT count(*) AS n, count_if(o_orderkey % 3 <> 0) AS e, count_if(o_orderkey % 30 = 0) AS twice, count_if(o_orderkey % 21 = 0) AS lost, count_if(o_orderkey % 50 = 0) AS other FROM orders),
+g AS (SELECT 'parted' AS gate, 0::BIGINT AS in_both, 0::BIGINT AS in_neither, 0::BIGINT AS "foreign", n AS original_count, e AS eligible_count FROM c UNION ALL SELECT 'overlap', twice, 0, 0, n, e + twice FROM c UNION ALL SELECT 'not_parted', 0, lost, other, n, e FROM c)
+SELECT *, (eligible_count * 7 + 99) // 100 AS expected_k, CASE WHEN in_both > 0 THEN 'eligible_and_held_overlap' WHEN in_neither + "foreign" > 0 THEN 'original_not_parted' WHEN (eligible_count * 7 + 99) // 100 <> 50 THEN 'declared_k_differs' END AS reason FROM g""")
 def cmp_budget_gate(spark, d):
+    """Three gates over all orders: parted as declared; some orders on both sides; some on neither, and some that aren't orders."""
     o = table(spark, d, "orders").select("o_orderkey")
-    return compare.budget_gate(o, o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 = 0"), "o_orderkey", 50, numerator=7, denominator=100)
+    eligible, held = o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 = 0")
+    sides = {
+        "parted": (eligible, held), "overlap": (eligible.unionByName(o.where("o_orderkey % 30 = 0")), held),
+        "not_parted": (eligible, held.where("o_orderkey % 21 <> 0").unionByName(o.where("o_orderkey % 50 = 0").select((-1 - F.col("o_orderkey")).alias("o_orderkey")))),
+    }
+    found = [compare.budget_gate(o, a, b, "o_orderkey", 50, numerator=7, denominator=100).withColumn("gate", F.lit(name)) for name, (a, b) in sides.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(f"""WITH {SCORES}, k AS (SELECT d.lang, d.source, s.id, s.label, s.score FROM known s JOIN documents d ON d.doc_id = s.id), r AS (SELECT lang AS protocol, source AS domain, id, label, score FROM k UNION ALL SELECT lang, NULL, id, label, score FROM k),

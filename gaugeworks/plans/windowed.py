@@ -130,10 +130,13 @@ def spc_reset_after_alarm(spark, d):
 
 
 @query(f"""WITH {ALL}, {STATS}, a AS (SELECT s.user_id, s.k, shewhart > 1 AS alarm, shewhart > 1 AND NOT coalesce(p.b, false) AS begins FROM stats s LEFT JOIN (SELECT user_id, k + 1 AS k, shewhart > 1 AS b FROM stats) p ON p.user_id = s.user_id AND p.k = s.k)
-SELECT (SELECT count(*) FROM f WHERE why = '') AS series, (SELECT sum(complete)::BIGINT FROM f WHERE why = '') AS complete, count(*) AS evaluable, count_if(alarm) AS alarms, count_if(begins) AS episodes, 0::BIGINT AS contradictions FROM a""")
+SELECT (SELECT count(*) FROM f WHERE why = '') AS series, (SELECT sum(complete)::BIGINT FROM f WHERE why = '') AS complete, count(*) AS evaluable, count_if(alarm) + (SELECT (count(value) + count(DISTINCT user_id))::BIGINT FROM w WHERE user_id % 10 = 3) AS alarms, count_if(begins) AS episodes,
+  (SELECT count(DISTINCT user_id) FROM w WHERE user_id % 10 = 3) AS contradictions FROM a""")
 def spc_roll_up(spark, d):
     states, placed, runs = run_table(spark, d, keep=True)
     counts = windowed.alarm_counts(windowed.detect(runs, "user_id", CENTER, SCALE, "shewhart", 1.0, CONFIG), runs, "user_id", CONFIG)
+    # Planted contradictions: these users report more alarms than windows.
+    counts = counts.withColumn("alarms", F.col("alarms") + F.when(F.col("user_id") % 10 == 3, F.col("evaluable") + 1).otherwise(0))
     return windowed.roll_up(windowed.file_summary(states, placed, runs, "user_id", CONFIG), counts, "user_id")
 
 
