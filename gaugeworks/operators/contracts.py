@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.sources.readers import NUMBER
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -66,7 +68,7 @@ def board_rows(df: DataFrame, board: str, pad: str, value: str, position: str) -
     occurrence of a board and pad after the first in the order of `position`."""
     ids = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in (board, pad)]
     raw = F.trim(F.coalesce(F.col(value).cast("string"), F.lit("")))
-    x = F.when(raw.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), raw.try_cast("double"))
+    x = F.when(raw.rlike(NUMBER), raw.try_cast("double"))
     later = F.row_number().over(Window.partitionBy(*ids).orderBy(position)) > 1
     rules = [Rule("id_missing", (ids[0] == "") | (ids[1] == "")), Rule("value_not_valid", ~F.coalesce(finite(x) & (x >= 0), F.lit(False))), Rule("board_and_pad_repeated", later)]
     return with_reasons(df, rules).withColumn("number", x)
