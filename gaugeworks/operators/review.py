@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.ranking import saved
+from gaugeworks.functions.times import time_beside
 
 #: Fixed values.
 OUTCOMES = ("confirmed_issue", "false_alarm", "insufficient_evidence")
@@ -144,7 +145,7 @@ def roster_state(roster: DataFrame, received: DataFrame, key: str) -> DataFrame:
 def receipt_audit(roster: DataFrame, receipts: DataFrame, cutoff, key: str, group: str, scored: DataFrame | None = None) -> DataFrame:
     """By group: rows of the roster, admitted by the cutoff, late only, never received, scored (if a table of scored keys is given) and a
     verdict: BLOCKED (some were not admitted in time), MISSING (an admitted one wasn't scored) or MATCH."""
-    r = receipts.groupBy(key).agg(F.count_if(F.col("received_at") <= F.lit(cutoff)).alias("in_time"), F.count("*").alias("n"))
+    r = receipts.groupBy(key).agg(F.count_if(F.col("received_at") <= time_beside(receipts, "received_at", cutoff)).alias("in_time"), F.count("*").alias("n"))
     j = roster.join(r, key, "left")
     if scored is not None:
         j = j.join(scored.select(key, F.lit(1).alias("_scored")).distinct(), key, "left")

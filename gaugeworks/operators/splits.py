@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.ranking import global_rank, group_rank, running_sums
+from gaugeworks.functions.times import time_beside
 
 
 def _boundaries(df: DataFrame, ts: str, positions: list[int]) -> list:
@@ -17,7 +18,7 @@ def _boundaries(df: DataFrame, ts: str, positions: list[int]) -> list:
 def time_holdout(df: DataFrame, ts: str, train_size: int) -> DataFrame:
     """Adds split: train before the time at position train_size, test from it on; equal times stay together in test."""
     (at,) = _boundaries(df, ts, [train_size])
-    return df.withColumn("split", F.lit("train") if at is None else F.when(F.col(ts) < F.lit(at), "train").otherwise("test"))
+    return df.withColumn("split", F.lit("train") if at is None else F.when(F.col(ts) < time_beside(df, ts, at), "train").otherwise("test"))
 
 
 def walk_forward(df: DataFrame, ts: str, initial: float = 0.55, folds: int = 4) -> DataFrame:
@@ -26,11 +27,11 @@ def walk_forward(df: DataFrame, ts: str, initial: float = 0.55, folds: int = 4)
     first = int(n * initial)
     cuts = [int(first + (n - first) * i / folds) for i in range(folds)]
     times = _boundaries(df, ts, cuts)
-    if len(set(times)) < folds or None in times or not df.where(F.col(ts) < F.lit(times[0])).take(1):
+    if len(set(times)) < folds or None in times or not df.where(F.col(ts) < time_beside(df, ts, times[0])).take(1):
         raise ValueError("too few distinct times for these folds")
     # One scan: each row is handed to the folds that hold it. Rows without a time belong to the last block alone.
-    role = lambda at: F.when(F.col(ts) < F.lit(at), "train").otherwise("test").alias("role")
-    until = [F.col(ts) < F.lit(at) for at in times[1:]] + [F.lit(True)]
+    role = lambda at: F.when(F.col(ts) < time_beside(df, ts, at), "train").otherwise("test").alias("role")
+    until = [F.col(ts) < time_beside(df, ts, at) for at in times[1:]] + [F.lit(True)]
     held = F.array(*[F.when(end, F.struct(F.lit(k).alias("fold"), role(at))) for k, (at, end) in enumerate(zip(times, until, strict=True), 1)])
     return df.select(F.inline(F.array_compact(held)), "*")
 
@@ -54,7 +55,7 @@ def overlap(train: DataFrame, test: DataFrame, group: str, split: str) -> DataFr
 def inner_split(df: DataFrame, ts: str, share: float = 0.8) -> DataFrame:
     """Adds part: fit for the first share of the rows in time order, calibrate for the rest; equal times stay together in the latter."""
     (at,) = _boundaries(df, ts, [int(df.count() * share)])
-    return df.withColumn("part", F.lit("fit") if at is None else F.when(F.col(ts) < F.lit(at), "fit").otherwise("calibrate"))
+    return df.withColumn("part", F.lit("fit") if at is None else F.when(F.col(ts) < time_beside(df, ts, at), "fit").otherwise("calibrate"))
 
 
 def skip_reasons(folds: DataFrame, label: str = "label", least: int = 2) -> DataFrame:

@@ -460,11 +460,9 @@ def rev_roster(spark, d):
 SELECT o_custkey, count(*) AS listed, count_if(i > 0)::BIGINT AS admitted, count_if(i = 0)::BIGINT AS late_only, count_if(n IS NULL)::BIGINT AS lost, count_if(i > 0 AND o_orderkey % 11 <> 0)::BIGINT AS scored,
   CASE WHEN count_if(i > 0) < count(*) THEN 'BLOCKED' WHEN count_if(i > 0 AND o_orderkey % 11 = 0) > 0 THEN 'MISSING' ELSE 'MATCH' END AS verdict FROM orders LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY 1""")
 def rev_receipts(spark, d):
-    import datetime
-
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").alias("received_at"))
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
-    return review.receipt_audit(o, li, datetime.datetime(1998, 1, 1), "k", "o_custkey", scored=o.where("k % 11 <> 0"))
+    return review.receipt_audit(o, li, F.lit("1998-01-01").cast("timestamp_ntz"), "k", "o_custkey", scored=o.where("k % 11 <> 0"))
 
 
 # Readings

@@ -5,12 +5,14 @@ import gzip
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.ranking import exact_quantiles, group_rank, running_sums
 from gaugeworks.operators import compare, contracts, evaluate, features, models, profile, review, splits
+from gaugeworks.plans import registry
 from gaugeworks.sources import readers, sinks
 
 T = lambda m: datetime.datetime(2026, 1, 1, 0, m)
@@ -234,3 +236,34 @@ def test_saved_tables_and_budgets(spark):
     assert compare.budget_gate(ids, ids, ids.where("id = 1"), "id", 1).first()["reason"] == "eligible_and_held_overlap"
     s = spark.createDataFrame([("a", "p", 3.0), ("a", "q", 1.0), ("a", "q", 3.0)], "f string, l string, v double").withColumn("i", F.monotonically_increasing_id())
     assert profile.without_maximum(s.where("l = 'q'"), "f", "l", "v", "i").first()["mean_without_max"] == 1.0
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/New_York"])
+def test_times_without_a_zone_are_not_read_in_that_of_the_process(spark, monkeypatch, tmp_path, zone):
+    day = lambda n: datetime.datetime(1997, 12, 31) + datetime.timedelta(days=n)
+    lines = [(k, day(n)) for k, n in ((1, 0), (2, 1), (3, 2), (4, 1), (5, 3))]
+    spark.createDataFrame(lines, "l_orderkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 1) for k in (1, 2, 3, 4, 6)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        found = registry.QUERIES["rev_receipts"](spark, str(tmp_path)).collect()
+        parts = splits.time_holdout(spark.createDataFrame(lines, "k long, ts timestamp_ntz"), "ts", 1).where("split = 'train'").collect()
+    finally:
+        monkeypatch.delenv("TZ")
+        time.tzset()
+    assert [tuple(r) for r in found] == [(1, 5, 3, 1, 1, 3, "BLOCKED")]
+    assert [r["k"] for r in parts] == [1]
+
+
+def test_a_plain_cutoff_beside_receipts_without_a_zone(spark, monkeypatch):
+    cutoff = datetime.datetime(1998, 1, 1)
+    roster = spark.createDataFrame([(1, 1)], "k long, g long")
+    receipts = spark.createDataFrame([(1, cutoff)], "k long, received_at timestamp_ntz")
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        assert review.receipt_audit(roster, receipts, cutoff, "k", "g").first()["verdict"] == "MATCH"
+    finally:
+        monkeypatch.delenv("TZ")
+        time.tzset()
