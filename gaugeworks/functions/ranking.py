@@ -54,17 +54,27 @@ def group_rank(df: DataFrame, keys: list[str], *order: Column, name: str = "rank
     return ranked.join(other, [ranked[k].eqNullSafe(other[f"_{k}"]) for k in keys]).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first", *[f"_{k}" for k in keys])
 
 
+#: Ranks that are looked up together.
+RANKS = 65_536
+
+
 def exact_quantiles(df: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
-    """Rows (by, quantiles array): linear between neighbours, of the values that are not null. Only the ranks that are asked for are
-    looked up, so no group's values meet in one place."""
-    ranked = global_rank(df.where(F.col(value).isNotNull()).select(by, value), F.asc(by), F.asc(value), name="_rank")
-    groups = ranked.groupBy(by).agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
+    """Rows (by, quantiles array): linear between neighbours, of the values that are not null. Equal values are counted before they are
+    laid in order, and a group's values meet its ranks by blocks of ranks: neither a group nor a frequent value comes into one task."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_value")).agg(F.count("*").alias("_count"))
+    rows = running_sums(counted, [F.asc("_by"), F.asc("_value")], {"_end": "_count"}).withColumn("_start", F.col("_end") - F.col("_count"))
+    groups = rows.groupBy("_by").agg(F.min("_start").alias("_first"), F.sum("_count").alias("_n"))
     place = [F.lit(float(s)) * (F.col("_n") - 1) for s in shares]
     wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in place])))
-    asked = groups.withColumn("_at", F.explode(wanted)).withColumn("_rank", F.col("_first") + F.col("_at")).drop("_first")
-    found = asked.join(ranked.select("_rank", F.col(value).cast("double").alias("_x")), "_rank").groupBy(by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_x"))).alias("_of"))
-    at = lambda p: F.element_at("_of", p)
-    return found.select(by, F.array(*[at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * (p - F.floor(p)) for p in place]).alias("quantiles"))
+    block = lambda x: F.floor(x / RANKS)
+    blocks = F.explode(F.sequence(block(F.col("_first")), block(F.col("_first") + F.col("_n") - 1)))
+    asked = groups.select(F.col("_by").alias("_of"), "_first", "_n", wanted.alias("_wanted"), blocks.alias("_block"))
+    rows = rows.withColumn("_in", block(F.col("_start")))
+    met = rows.join(asked, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_in") == F.col("_block")))
+    here = F.filter("_wanted", lambda p: (p >= F.col("_start") - F.col("_first")) & (p < F.col("_end") - F.col("_first")))
+    found = met.select("_by", "_n", F.col("_value").cast("double").alias("_x"), F.explode(here).alias("_at")).groupBy("_by", "_n").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_x"))).alias("_found"))
+    at = lambda p: F.element_at("_found", p)
+    return found.select(F.col("_by").alias(by), F.array(*[at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * (p - F.floor(p)) for p in place]).alias("quantiles"))
 
 
 def column_quantiles(df: DataFrame, columns: list[str], share: float = 0.5) -> dict[str, float | None]:

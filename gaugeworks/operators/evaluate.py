@@ -74,10 +74,13 @@ def psi(reference: DataFrame, current: DataFrame, value: str, by: str | None = N
     inner = F.array_distinct("quantiles")
     inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
     edges = exact_quantiles(ref, by, "x", [i / bins for i in range(bins + 1)]).select(by, inner.alias("edges"))
-    both = ref.withColumn("w", F.lit(0)).unionByName(cur.withColumn("w", F.lit(1))).join(edges, by, "left")
+    # Equal values are counted first. The distinct ones are laid out in ranges, and a group's edges are handed to each range it has values in.
+    both = ref.withColumn("w", F.lit(0)).unionByName(cur.withColumn("w", F.lit(1))).groupBy(by, "x").agg(F.count_if(F.col("w") == 0).alias("r"), F.count_if(F.col("w") == 1).alias("c"))
+    both = saved(both.repartitionByRange(by, "x").withColumn("_part", F.spark_partition_id()))
+    both = both.join(both.select(by, "_part").distinct().join(edges, by, "left"), [by, "_part"])
     place = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e <= F.col("x"))))
-    side = lambda f, k: f(F.when(F.col("w") == k, F.col("x")))
-    counts = both.groupBy(by, place.alias("bin")).agg(F.count_if(F.col("w") == 0).alias("r"), F.count_if(F.col("w") == 1).alias("c"), side(F.min, 0).alias("r0"), side(F.max, 0).alias("r1"), side(F.min, 1).alias("c0"), side(F.max, 1).alias("c1"))
+    side = lambda f, k: f(F.when(F.col(k) > 0, F.col("x")))
+    counts = both.groupBy(by, place.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"), side(F.min, "r").alias("r0"), side(F.max, "r").alias("r1"), side(F.min, "c").alias("c0"), side(F.max, "c").alias("c1"))
     sums = counts.groupBy(by).agg(F.sum("r").alias("rn"), F.sum("c").alias("cn"), F.min("r0").alias("r_low"), F.max("r1").alias("r_high"), F.min("c0").alias("c_low"), F.max("c1").alias("c_high"))
     share = lambda n, of: F.greatest(F.try_divide(n, of), F.lit(1e-6))
     r, c = share("r", "rn"), share("c", "cn")

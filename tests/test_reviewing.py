@@ -267,3 +267,30 @@ def test_a_plain_cutoff_beside_receipts_without_a_zone(spark, monkeypatch):
     finally:
         monkeypatch.delenv("TZ")
         time.tzset()
+
+
+def test_frequent_values_and_large_groups_are_dealt_out(spark, monkeypatch):
+    from gaugeworks.functions import ranking
+
+    largest = []
+
+    def noted(df):
+        out = plain(df)
+        largest.append(max([r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()], default=0))
+        return out
+
+    plain = ranking.saved
+    monkeypatch.setattr(ranking, "saved", noted)
+    monkeypatch.setattr(evaluate, "saved", noted)
+    monkeypatch.setattr(ranking, "RANKS", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges aren't put together
+    ties = spark.range(20_000).select(F.lit("a").alias("g"), F.when(F.col("id") < 3, F.col("id")).otherwise(7).cast("double").alias("x"))
+    (got,) = exact_quantiles(ties, "g", "x", [0.0, 0.5, 1.0]).collect()
+    assert list(got["quantiles"]) == [0.0, 7.0, 7.0] and max(largest) < 100  # one value of nearly all rows
+    largest.clear()
+    apart = spark.range(20_000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("x"))
+    (got,) = evaluate.psi(apart, apart.withColumn("x", F.col("x") + 10_000), "x", "g").collect()
+    # Of ten bins the first five lose their rows, and the last one has six times its share.
+    low, same = 5 * (1e-6 - 0.1) * math.log(1e-6 / 0.1), (0.6 - 0.1) * math.log(0.6 / 0.1)
+    assert got["psi"] == pytest.approx(low + same, abs=1e-3) and len(largest) == 2 and max(largest) < 15_000  # one group of all rows
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
