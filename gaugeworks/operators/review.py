@@ -155,9 +155,21 @@ def receipt_audit(roster: DataFrame, receipts: DataFrame, cutoff, key: str, grou
     return out.withColumn("verdict", (verdict.when(F.col("scored") < F.col("admitted"), "MISSING") if seen else verdict).otherwise("MATCH"))
 
 
+#: Listed and received rows that one task compares, on average.
+TASK_ROWS = 1_000_000
+
+
 def receipt_sets(roster: DataFrame, received: DataFrame, roster_id: str, key: str) -> DataFrame:
-    """By roster: SUBSTITUTED (a foreign or a repeated key was received) before MISSING (a listed key wasn't) before MATCH."""
-    got = received.groupBy(roster_id, key).agg(F.count("*").alias("n"))
-    j = roster.select(roster_id, key, F.lit(1).alias("listed")).join(got, [roster_id, key], "full")
-    out = j.groupBy(roster_id).agg(F.max(F.col("listed").isNull() | (F.coalesce("n", F.lit(0)) > 1)).alias("odd"), F.max(F.col("n").isNull()).alias("lacks"))
+    """By roster: SUBSTITUTED (a foreign or a repeated key was received) before MISSING (a listed key wasn't) before MATCH. A row without
+    a key equals no other one; a key that is listed twice counts once.
+
+    Listed and received rows are counted side by side, without a join, by tasks whose number goes with the rows."""
+    side = lambda df, listed: df.select(roster_id, key, F.lit(listed).alias("_listed"))
+    both = side(roster, True).unionByName(side(received, False))
+    tasks = max(int(roster.sparkSession.conf.get("spark.sql.shuffle.partitions")), both.count() // TASK_ROWS + 1)
+    g = both.repartition(tasks, roster_id, key).groupBy(roster_id, key).agg(F.max("_listed").alias("listed"), F.count_if(~F.col("_listed")).alias("n"))
+    blank = F.col(roster_id).isNull() | F.col(key).isNull()
+    odd = F.when(blank, F.col("n") > 0).otherwise(~F.col("listed") | (F.col("n") > 1))
+    lacks = F.when(blank, F.col("listed")).otherwise(F.col("n") == 0)
+    out = g.groupBy(roster_id).agg(F.max(odd).alias("odd"), F.max(lacks).alias("lacks"))
     return out.select(roster_id, F.when(F.col("odd"), "SUBSTITUTED").when(F.col("lacks"), "MISSING").otherwise("MATCH").alias("state"))

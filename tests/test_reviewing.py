@@ -294,3 +294,16 @@ def test_frequent_values_and_large_groups_are_dealt_out(spark, monkeypatch):
     low, same = 5 * (1e-6 - 0.1) * math.log(1e-6 / 0.1), (0.6 - 0.1) * math.log(0.6 / 0.1)
     assert got["psi"] == pytest.approx(low + same, abs=1e-3) and len(largest) == 2 and max(largest) < 15_000  # one group of all rows
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_receipts_are_compared_by_tasks_that_go_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(review, "TASK_ROWS", 100, raising=False)
+    listed = [("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("d", 1), ("e", None), (None, 1)]
+    got = [("a", 1), ("a", 2), ("b", 1), ("c", 1), ("c", 9), ("d", 1), ("d", 1), ("e", None), (None, 1), ("f", 1)]
+    many = spark.range(1_000).select(F.lit("m").alias("r"), F.col("id").cast("int").alias("k"))
+    table = lambda rows: many.unionByName(spark.createDataFrame(rows, "r string, k int"))
+    found = review.receipt_sets(table(listed), table(got), "r", "k")
+    odd, no = "SUBSTITUTED", "MISSING"
+    assert {r["r"]: r["state"] for r in found.collect()} == {"a": "MATCH", "b": no, "c": odd, "d": odd, "e": odd, None: odd, "f": odd, "m": "MATCH"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and ", 21)" in plan  # 2,019 rows by 100
