@@ -182,7 +182,7 @@ SELECT run, run_status, array_to_string(why, ',') AS reasons, CASE WHEN NOT ok T
   CASE WHEN ok THEN a END AS threshold_shewhart, CASE WHEN ok THEN b END AS threshold_ewma, CASE WHEN ok THEN c END AS threshold_cusum FROM o""")
 def spc_protocol(spark, d):
     s = samples(spark, d).withColumn("file", F.col("user_id").cast("string"))
-    users = s.select("user_id", "file").distinct()
+    users = saved(s.select("user_id", "file").distinct())
     sha = F.sha2(F.col("file"), 256)
     role = F.element_at(F.array(*map(F.lit, protocol.ROLES)), (F.floor(F.col("user_id") / 10) % 3 + 1).cast("int"))
     files = users.select((F.col("user_id") % 10).alias("run"), "file", F.concat(F.lit("g"), "file").alias("recording_group"), role.alias("role"), F.when(F.col("user_id") % 20 == 4, F.sha2(F.lit("other"), 256)).otherwise(sha).alias("source_sha256"))
